@@ -66,6 +66,12 @@ def parse_designation(text: Column, name_mode: str = "rest") -> tuple[Column, Co
     return mpc_id, name
 
 
+def double_key(value: Column) -> Column:
+    """A double inside a key, by its bits: hashing one 8-byte value loses nothing, and unlike
+    the decimal text of a double it is the same under every Java version."""
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
+
 def row_key(kind: str, *parts: Column) -> Column:
     """A repeatable id: SHA-256 over the kind and the parts, null kept apart from empty."""
     texts = [F.coalesce(p.cast("string"), F.lit(KEY_NULL)) for p in parts]

@@ -96,15 +96,12 @@ def match_boxes(
         .withColumn("_col", _index(F.col("ra_deg"), cell_deg, n_ra))
     )
 
-    def inside(p, b):
-        ra_ok = F.when(
-            b["ra_min"] <= b["ra_max"], p["ra_deg"].between(b["ra_min"], b["ra_max"])
-        ).otherwise((p["ra_deg"] >= b["ra_min"]) | (p["ra_deg"] <= b["ra_max"]))
-        ok = ra_ok & p["dec_deg"].between(b["dec_min"], b["dec_max"])
-        if "t_min" in b.columns and "time" in p.columns:
-            ok = ok & p["time"].between(b["t_min"], b["t_max"])
-        return ok
-
+    ra = F.col("ra_deg")
+    ra_ok = F.when(F.col("ra_min") <= F.col("ra_max"), ra.between(F.col("ra_min"), F.col("ra_max"))).otherwise(
+        (ra >= F.col("ra_min")) | (ra <= F.col("ra_max")))
+    inside = ra_ok & F.col("dec_deg").between(F.col("dec_min"), F.col("dec_max"))
+    if "t_min" in boxes.columns and "time" in points.columns:
+        inside = inside & F.col("time").between(F.col("t_min"), F.col("t_max"))
     return salted_join(placed, covered, ["_row", "_col"], "inner", inside, hot_rows).drop("_row", "_col")
 
 

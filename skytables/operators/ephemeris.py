@@ -285,8 +285,10 @@ def time_bin(t: Column, bin_seconds: int) -> Column:
     return F.floor(unix_micros(t) / F.lit(bin_seconds * 1_000_000))
 
 
-def covers(seg: DataFrame, t: Column) -> Column:
-    return (seg["time0"] <= t) & ((t < seg["time1"]) | ((t == seg["time1"]) & (seg["time1"] == seg["t_max"])))
+def covers(t: Column, end: str = "t_max") -> Column:
+    """The segment holds `t`; `end` is the last time of the object."""
+    at_end = (t == F.col("time1")) & (F.col("time1") == F.col(end))
+    return (F.col("time0") <= t) & ((t < F.col("time1")) | at_end)
 
 
 def positions_at_times(
@@ -301,7 +303,7 @@ def positions_at_times(
     wanted = times.select(F.col("time").alias("t")).where(F.col("t").isNotNull()).distinct()
     wanted = wanted.withColumn("_bin", time_bin(F.col("t"), bin_seconds))
     seg = binned_segments(points, bin_seconds, hot_rows)
-    pairs = salted_join(seg, wanted, ["_bin"], "inner", lambda s, w: covers(s, w["t"]), hot_rows)
+    pairs = salted_join(seg, wanted, ["_bin"], "inner", covers(F.col("t")), hot_rows)
     ra, dec, flux = interpolate(F.col("t"), ra_mode)
     return pairs.select("sso_id", F.col("t").alias("time"), ra.alias("ra_deg"), dec.alias("dec_deg"),
                         flux.alias("flux_mJy"))
@@ -319,12 +321,7 @@ def positions_for(
     asked = salted_join(wanted, about, ["sso_id"], "left", hot_rows=hot_rows)
     seg = binned_segments(points, bin_seconds, hot_rows).drop(
         "t_min", "n_points", "do_flux").withColumnRenamed("t_max", "_end")
-
-    def reaches(r, s):
-        at_end = (r["t"] == s["time1"]) & (s["time1"] == s["_end"])
-        return (s["time0"] <= r["t"]) & ((r["t"] < s["time1"]) | at_end)
-
-    pairs = salted_join(asked, seg, ["sso_id", "_bin"], "left", reaches, hot_rows)
+    pairs = salted_join(asked, seg, ["sso_id", "_bin"], "left", covers(F.col("t"), "_end"), hot_rows)
     ra, dec, flux = interpolate(F.col("t"), ra_mode)
     ok = F.col("status") == "ok"
     result = pairs.withColumn("status", _status(F.col("t"))).select(

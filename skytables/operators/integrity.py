@@ -85,3 +85,9 @@ def integrity_report(fixed: DataFrame, ssos: DataFrame, points: DataFrame) -> Da
             F.col("value").alias("key"), F.col("n_rows").cast("string").alias("detail")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def catalog_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n) for each table."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import wrap_ra
-from ..functions.values import row_key
+from ..functions.values import double_key, row_key
 from ..schema import FIXED_SOURCES, MOVING_SOURCES, SERVICES, SOLARSYSTEM_OBJECTS, conform, names
 from .lookups import raise_if_any
 from .numbering import number_copies
@@ -66,7 +66,9 @@ def _identify(rows: DataFrame, schema, kind: str, tag: str = "") -> DataFrame:
     for m in maps:  # maps cannot be grouped, their JSON text can
         fresh = fresh.withColumn(m, F.to_json(m))
     fresh = number_copies(fresh, "_copy")
-    fresh = fresh.withColumn(key, row_key(kind, F.lit(tag), *[F.col(v) for v in values], F.col("_copy")))
+    doubles = {f.name for f in schema.fields if f.dataType.typeName() == "double"}
+    parts = [double_key(F.col(v)) if v in doubles else F.col(v) for v in values]
+    fresh = fresh.withColumn(key, row_key(kind, F.lit(tag), *parts, F.col("_copy")))
     for m in maps:
         fresh = fresh.withColumn(m, F.from_json(m, "map<string,string>"))
     fresh = fresh.select(*names(schema))

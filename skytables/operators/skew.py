@@ -82,7 +82,7 @@ def salted_join(
     other: DataFrame,
     keys: list[str],
     how: str = "inner",
-    condition=None,
+    condition: Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi join in which the hot keys of `rows` are spread over several tasks.
@@ -90,7 +90,8 @@ def salted_join(
     `how` is 'inner', 'left', 'left_semi' or 'left_anti'. The rows of `other`
     for a hot key are repeated once per salt; all other keys join as usual. The
     salt depends on row values and input partition, so a recomputed task gives
-    the same salts. `condition(rows, other)` is an optional further condition.
+    the same salts. `condition` is an optional further condition; apart from the
+    keys the two sides must not share the names it uses.
     """
     hot = hot_keys(rows, keys, hot_rows)
     on = list(keys)
@@ -109,14 +110,10 @@ def salted_join(
         on.append("_salt")
     if condition is None:
         return rows.join(other, on, how).drop("_salt")
-    cond = condition(rows, other)
+    other = other.withColumnsRenamed({k: f"_on_{k}" for k in on})
     for k in on:
-        cond = cond & (rows[k] == other[k])
-    joined = rows.join(other, cond, how)
-    if how in ("inner", "left"):
-        for k in on:
-            joined = joined.drop(other[k])
-    return joined.drop("_salt")
+        condition = condition & (F.col(k) == F.col(f"_on_{k}"))
+    return rows.join(other, condition, how).drop("_salt", *[f"_on_{k}" for k in on])
 
 
 def dimension_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
