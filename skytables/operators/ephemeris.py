@@ -16,7 +16,7 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
-from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, hot_keys, restrict, salted_join
+from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, hot_keys, restrict, salted_join, spread
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"
@@ -376,9 +376,8 @@ def packed(points: DataFrame, pack_rows: int = 100_000) -> DataFrame:
         full = hot_keys(sliced, ["sso_id", "_slice"], 2 * pack_rows)
         if full is not None:
             n_shares = F.ceil(F.col("n_rows") / F.lit(pack_rows)).cast("bigint")
-            spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in sliced.columns]), n_shares)
-            sliced = attach_hot(sliced.drop("n_rows"), full, ["sso_id", "_slice"])
-            share = F.coalesce(spread, F.lit(0)).cast("bigint")
+            share = F.coalesce(spread(sliced, n_shares), F.lit(0)).cast("bigint")
+            sliced = attach_hot(sliced, full, ["sso_id", "_slice"])
     return (
         sliced.withColumn("share", share)
         .groupBy("sso_id", F.col("_slice").alias("part"), "share")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .skew import broadcast_if_small
+from .skew import saved
 
 
 def orphan_ephem(points: DataFrame, ssos: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def orphan_ephem(points: DataFrame, ssos: DataFrame) -> DataFrame:
         F.when(F.col("MPC_id").isNotNull() & F.col("_mpc").isNull(), F.lit("MPC_id")),
         F.when(F.col("_name").isNull(), F.lit("name")))
     bad = checked.select(*[F.col(c).alias(f"_{c}") for c in triple], detail.alias("detail")).where("detail != ''")
-    bad = broadcast_if_small(bad)
+    bad = saved(bad, "orphans")
     cond = reduce(Column.__and__, [points[c].eqNullSafe(bad[f"_{c}"]) for c in triple])
     return points.join(bad, cond).drop(*[f"_{c}" for c in triple])
 

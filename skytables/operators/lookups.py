@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from .boxes import in_times
-from .skew import broadcast_if_small
+from .skew import dimension_join
 
 
 class Lookup(NamedTuple):
@@ -21,8 +21,8 @@ def lookup(table: DataFrame, keys: DataFrame, key: str, strict: bool = False) ->
     Keys are made distinct first, so a key asked for a million times is joined
     once; a key may match several rows. `strict` raises if any key is missing.
     """
-    wanted = broadcast_if_small(keys.select(key).where(F.col(key).isNotNull()).distinct())
-    found = table.join(wanted, key, "left_semi")
+    wanted = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    found = dimension_join(table, wanted, [key], "left_semi")
     known = found.select(key).distinct()
     missing = wanted.join(known, key, "left_anti")
     if strict:

@@ -17,7 +17,7 @@ from ..functions.values import double_key, row_key
 from ..schema import FIXED_SOURCES, MOVING_SOURCES, SERVICES, SOLARSYSTEM_OBJECTS, conform, names
 from .lookups import raise_if_any
 from .numbering import number_copies
-from .skew import broadcast_if_small, dimension_join, restrict
+from .skew import broadcast_if_small, dimension_join, is_small, restrict
 
 
 class Change(NamedTuple):
@@ -75,11 +75,14 @@ def _identify(rows: DataFrame, schema, kind: str, tag: str = "") -> DataFrame:
     return rows.where(F.col(key).isNotNull()).unionByName(fresh) if own else fresh
 
 
-def _append(table: DataFrame, new: DataFrame, schema, rejected: DataFrame) -> Insert:
-    """Appends the rows whose id is not there yet. The table is scanned for those ids, not shuffled."""
+def _append(table: DataFrame, rows: DataFrame, new: DataFrame, schema, rejected: DataFrame) -> Insert:
+    """Appends the rows whose id is not there yet.
+
+    If the incoming `rows` are few, the table is only scanned for their ids, not shuffled.
+    """
     key = schema.fields[0].name
     table = conform(table, schema)
-    there = restrict(table.select(key), new, [key]).distinct()
+    there = restrict(table.select(key), new, [key], small=is_small(rows))
     added = new.join(there, key, "left_anti").select(*names(schema))
     return Insert(table.unionByName(added), added, rejected)
 
@@ -94,7 +97,7 @@ def fixed_rows(rows: DataFrame, catalog: str = "") -> tuple[DataFrame, DataFrame
 def insert_fixed(table: DataFrame, rows: DataFrame, catalog: str = "") -> Insert:
     """Adds fixed sources; a position is required, name and flux are optional, flags default to false."""
     new, rejected = fixed_rows(rows, catalog)
-    return _append(table, new, FIXED_SOURCES, rejected)
+    return _append(table, rows, new, FIXED_SOURCES, rejected)
 
 
 def sso_id_of(name: Column) -> Column:
@@ -109,21 +112,24 @@ def insert_sso(table: DataFrame, rows: DataFrame) -> Insert:
     """
     rows = conform(_with_default(rows, {"sso_id": "string", "name": "string", "MPC_id": "bigint"}),
                    SOLARSYSTEM_OBJECTS)
-    usable, rejected = _split(rows, F.when(F.col("name").isNull(), F.lit("missing name")))
+    usable, unnamed = _split(rows, F.when(F.col("name").isNull(), F.lit("missing name")))
     usable = usable.withColumn("sso_id", F.coalesce("sso_id", sso_id_of(F.col("name")))).distinct()
     table = conform(table, SOLARSYSTEM_OBJECTS)
-    known = usable.join(table, names(SOLARSYSTEM_OBJECTS)[:1] + ["name"], "left_semi")
-    fresh = usable.join(known, "sso_id", "left_anti")
+    one = F.count(F.lit(1))
+    marked = usable
     for column in ("name", "MPC_id"):
-        taken = restrict(table.where(F.col(column).isNotNull()).select(column), fresh, [column])
-        repeated = fresh.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column)
-        bad = broadcast_if_small(taken.unionByName(repeated).distinct()).withColumn("_bad", F.lit(True))
-        marked = fresh.join(bad, column, "left")
-        clash = marked.where(F.col("_bad")).drop("_bad").withColumn("reason", F.lit(f"{column} not unique"))
-        rejected = rejected.unionByName(clash.select(*rejected.columns))
-        fresh = marked.where(F.col("_bad").isNull()).drop("_bad")
+        batch = usable.where(F.col(column).isNotNull()).groupBy(column).agg(one.alias(f"_{column}_rows"))
+        owner = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("sso_id").alias(f"_{column}_owner"))
+        marked = marked.join(batch, column, "left").join(owner, column, "left")
+
+    def clash(column: str) -> Column:
+        return (F.col(f"_{column}_rows") > 1) | F.col(f"_{column}_owner").isNotNull()
+
+    reason = F.when(clash("name"), F.lit("name not unique")).when(clash("MPC_id"), F.lit("MPC_id not unique"))
+    there = F.col("_name_owner") == F.col("sso_id")
+    fresh, rejected = _split(marked.where(~F.coalesce(there, F.lit(False))), reason)
     added = fresh.select(*names(SOLARSYSTEM_OBJECTS))
-    return Insert(table.unionByName(added), added, rejected)
+    return Insert(table.unionByName(added), added, unnamed.unionByName(rejected.select(*unnamed.columns)))
 
 
 def insert_ephem(table: DataFrame, ssos: DataFrame, rows: DataFrame) -> Insert:
@@ -149,7 +155,7 @@ def insert_ephem(table: DataFrame, ssos: DataFrame, rows: DataFrame) -> Insert:
         .withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
     )
     new = _identify(usable, MOVING_SOURCES, "ephem")
-    return _append(table, new, MOVING_SOURCES, rejected.drop("_mpc", "_name"))
+    return _append(table, rows, new, MOVING_SOURCES, rejected.drop("_mpc", "_name"))
 
 
 def ephem_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +169,7 @@ def insert_service(table: DataFrame, rows: DataFrame) -> Insert:
     """Adds providers; names may repeat."""
     none = F.col("name").isNull() | F.col("config").isNull()
     usable, rejected = _split(rows, F.when(none, F.lit("missing name or config")))
-    return _append(table, _identify(usable, SERVICES, "service"), SERVICES, rejected)
+    return _append(table, rows, _identify(usable, SERVICES, "service"), SERVICES, rejected)
 
 
 # --- update --------------------------------------------------------------------------------
@@ -197,12 +203,12 @@ def partial_update(
     else:
         latest = usable.groupBy(key).agg(
             *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in present])
-    latest = broadcast_if_small(latest)
+    small = is_small(updates)
     fields = latest.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in present])
-    joined = table.join(fields, key, "left")
+    joined = dimension_join(table, fields, [key], "left", small)
     new = joined.select(*[
         F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in present else F.col(c) for c in table.columns])
-    ids = restrict(table.select(key), latest, [key]).distinct()
+    ids = restrict(table.select(key), latest, [key], small).distinct()
     missing = latest.select(key).join(ids, key, "left_anti")
     if strict:
         raise_if_any(rejected, "rejected update")
@@ -238,9 +244,10 @@ class Cascade(NamedTuple):
 def update_sso_cascade(ssos, points, updates, order=None, strict=False) -> Cascade:
     """A changed name or MPC id also reaches the object's points."""
     change = update_sso(ssos, updates, order, strict)
-    changed = change.table.join(broadcast_if_small(updates.select("sso_id").distinct()), "sso_id", "left_semi")
+    small = is_small(updates)
+    changed = change.table.join(updates.select("sso_id").distinct(), "sso_id", "left_semi")
     fields = changed.select("sso_id", F.col("name").alias("_name"), F.col("MPC_id").alias("_mpc"), F.lit(True).alias("_to"))
-    joined = dimension_join(points, fields, ["sso_id"], "left")
+    joined = dimension_join(points, fields, ["sso_id"], "left", small)
     swap = {"name": "_name", "mpc_id": "_mpc"}
     moved = joined.select(*[
         F.when(F.col("_to"), F.col(swap[c.lower()])).otherwise(F.col(c)).alias(c) if c.lower() in swap else F.col(c)
@@ -253,12 +260,13 @@ def update_sso_cascade(ssos, points, updates, order=None, strict=False) -> Casca
 def delete(table: DataFrame, keys: DataFrame, key: str, strict: bool = False) -> Change:
     """Removes the rows with these keys. An unknown key is reported as missing and otherwise ignored."""
     gone = keys.select(key).where(F.col(key).isNotNull()).distinct()
-    ids = restrict(table.select(key), gone, [key]).distinct()
+    small = is_small(gone)
+    ids = restrict(table.select(key), gone, [key], small).distinct()
     missing = gone.join(ids, key, "left_anti")
     if strict:
         raise_if_any(missing, f"unknown {key}")
     nothing = keys.select(key).where(F.col(key).isNull()).withColumn("reason", F.lit("missing key"))
-    return Change(dimension_join(table, gone, [key], "left_anti"), missing, nothing)
+    return Change(dimension_join(table, gone, [key], "left_anti", small), missing, nothing)
 
 
 def delete_sso_cascade(ssos: DataFrame, points: DataFrame, keys: DataFrame, strict: bool = False) -> Cascade:

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import shared_folder
+
 #: Above this many rows a key is split.
 HOT_ROWS = 2_000_000
 #: A side is broadcast only when it was measured to be no larger.
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: At most this many hot keys are looked at on the driver; with more, the list stays distributed.
 MAX_HOT_KEYS = 10_000
+#: Rows of a key just at HOT_ROWS that the hot-key sample is expected to hold.
+SAMPLED_ROWS = 1_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -35,48 +39,76 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(_row_bytes(df).cast("bigint"))).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if measured to fit, else as it is (shuffle join, AQE skew split)."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+def is_small(df: DataFrame) -> bool:
+    return measured_bytes(df) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, small: bool | None = None) -> DataFrame:
+    """`df` with a broadcast hint if measured to fit, else as it is (shuffle join, AQE skew split).
+
+    `small` passes on the answer for a table known to be no smaller than `df`.
+    """
+    return F.broadcast(df) if (is_small(df) if small is None else small) else df
+
 
+def saved(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a costly result once to the shared folder and reads it back.
+
+    Later uses do not compute it again, it survives lost executors, and Spark
+    knows its size from the files when it picks a join.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-def restrict(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+
+def restrict(rows: DataFrame, wanted: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     """`rows` whose key is among `wanted`, if that list is small enough to broadcast; else all rows.
 
     A reduction only: it never shuffles `rows`, and the caller still joins.
     """
     listed = wanted.select(*keys).distinct()
-    if measured_bytes(listed) > BROADCAST_BYTES:
+    if not (is_small(listed) if small is None else small):
         return rows
     return rows.join(F.broadcast(listed), keys, "left_semi")
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than `hot_rows` rows, with their count `n_rows`; None if there are none.
+    """Keys with about `hot_rows` rows or more, with their estimated count `n_rows`; None if there are none.
 
-    One map-side-combined count. The list is as long as rows / hot_rows at most;
-    up to MAX_HOT_KEYS it comes back as a broadcast table.
+    Counted on a sample, so that a key space as large as the data is not
+    shuffled for it: at HOT_ROWS one row in 2,000. The estimate only decides how
+    rows are spread, never which rows are used. Up to MAX_HOT_KEYS keys come
+    back as a broadcast table.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > hot_rows)
+    share = min(1.0, SAMPLED_ROWS / hot_rows)
+    sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=17)
+    estimate = (F.count(F.lit(1)) / F.lit(share)).cast("bigint")
+    floor = hot_rows if share == 1.0 else hot_rows // 2
+    counts = sampled.groupBy(*keys).agg(estimate.alias("n_rows")).where(F.col("n_rows") > floor)
     found = counts.limit(MAX_HOT_KEYS + 1).collect()
     if not found:
         return None
     if len(found) > MAX_HOT_KEYS:
-        return counts
+        return saved(counts, "hot-keys")
     return F.broadcast(df.sparkSession.createDataFrame(found, counts.schema))
 
 
-
-
 def attach_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """`df` with `n_rows` of its key, null for ordinary keys."""
+    """`df` with `n_rows` of its key, null for ordinary keys. Null keys count as equal."""
     renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "n_rows")
     cond = F.lit(True)
     for k in keys:
-        cond = cond & df[k].eqNullSafe(renamed[f"_hot_{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
     return df.join(renamed, cond, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
+def spread(df: DataFrame, n: Column) -> Column:
+    """0 .. n-1 by row values and input partition: copies of a row spread too, and a
+    recomputed task gives the same numbers."""
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns]), n)
+
+
 def salted_join(
     rows: DataFrame,
     other: DataFrame,
@@ -88,20 +120,16 @@ def salted_join(
     """Equi join in which the hot keys of `rows` are spread over several tasks.
 
     `how` is 'inner', 'left', 'left_semi' or 'left_anti'. The rows of `other`
-    for a hot key are repeated once per salt; all other keys join as usual. The
-    salt depends on row values and input partition, so a recomputed task gives
-    the same salts. `condition` is an optional further condition; apart from the
-    keys the two sides must not share the names it uses.
+    for a hot key are repeated once per salt; all other keys join as usual.
+    `condition` is an optional further condition; apart from the keys the two
+    sides must not share the names it uses.
     """
     hot = hot_keys(rows, keys, hot_rows)
     on = list(keys)
     if hot is not None:
         n_salts = F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("bigint")
-        salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in rows.columns]), n_salts)
-        rows = (
-            attach_hot(rows, hot, keys)
-            .withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("bigint")).drop("n_rows")
-        )
+        salt = F.coalesce(spread(rows, n_salts), F.lit(0)).cast("bigint")
+        rows = attach_hot(rows, hot, keys).withColumn("_salt", salt).drop("n_rows")
         last = F.coalesce(n_salts, F.lit(1)).cast("bigint") - F.lit(1)
         other = (
             attach_hot(other, hot, keys)
@@ -116,8 +144,10 @@ def salted_join(
     return rows.join(other, condition, how).drop("_salt", *[f"_on_{k}" for k in on])
 
 
-def dimension_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dimension_join(
+    rows: DataFrame, other: DataFrame, keys: list[str], how: str, small: bool | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Joins `rows` to a side with one row per key: broadcast if measured to fit, else salted."""
-    if measured_bytes(other) <= BROADCAST_BYTES:
+    if is_small(other) if small is None else small:
         return rows.join(F.broadcast(other), keys, how)
     return salted_join(rows, other, keys, how, hot_rows=hot_rows)

@@ -8,7 +8,8 @@ from ..functions import angles, times, values
 from ..operators.boxes import split_boxes
 from ..schema import FIXED_SOURCES, conform
 from ..session import shared_folder
-from ..sources import catalogs, jpl, mpc, snapshot
+from ..sources import catalogs, fits, jpl, mpc, snapshot
+from .fits_files import write_parts
 from .registry import query
 
 FIXED = ["ra_deg", "dec_deg", "flux_mJy", "name", "monitored", "pointing"]
@@ -238,3 +239,9 @@ def boxes_rejected(v):
         F.when(third, F.col("t_max")).otherwise(F.col("t_min")).alias("t_min"),
         F.when(third, F.col("t_min")).otherwise(F.col("t_max")).alias("t_max"))
     return split_boxes(mixed)[1].select("box_id", "reason")
+
+
+@query("scan_fits", "SELECT radeg, decdeg, fluxjy, name FROM act_rows", "act_rows")
+def scan_fits(v):
+    folder = write_parts(v.act_rows.select("radeg", "decdeg", "fluxjy", "name"))
+    return fits.read_fits(v.spark, folder, split_bytes=500_000)
