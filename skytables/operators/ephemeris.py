@@ -16,7 +16,7 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
-from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, hot_keys, restrict, salted_join, spread
+from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, hot_keys, restrict, salted_join, saved, spread
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"
@@ -69,10 +69,10 @@ def coverage_aggs() -> list[Column]:
     ]
 
 
-def duplicate_times(points: DataFrame) -> DataFrame:
+def duplicate_times(points: DataFrame, time: str = "time") -> DataFrame:
     """Objects in which two points share a time."""
     return (
-        points.groupBy("sso_id", "time").agg(F.count(F.lit(1)).alias("n"))
+        points.groupBy("sso_id", time).agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1).select("sso_id").distinct()
     )
 
@@ -103,12 +103,15 @@ def _status(t: Column) -> Column:
     )
 
 
-def interpolate(t: Column, ra_mode: str = "linear") -> tuple[Column, Column, Column]:
-    """(RA, Dec, flux) on the segment (time0, ...)-(time1, ...); `time1` null means at `time0`."""
+def interpolate(us: Column, ra_mode: str = "linear") -> tuple[Column, Column, Column]:
+    """(RA, Dec, flux) at `us` on the segment from (`us0`, `ra_deg0`, ...) to (`us1`, ...).
+
+    Times are whole microseconds here, so that joins and formulas over segments
+    do no calendar arithmetic. A null `us1` means the segment is its first point.
+    """
     if ra_mode not in ("linear", "shortest"):
         raise ValueError("ra_mode must be 'linear' or 'shortest'")
-    whole = unix_micros(F.col("time1")) - unix_micros(F.col("time0"))
-    share = F.coalesce((unix_micros(t) - unix_micros(F.col("time0"))) / whole, F.lit(0.0))
+    share = F.coalesce((us - F.col("us0")) / (F.col("us1") - F.col("us0")), F.lit(0.0))
 
     def along(name: str, end: Column) -> Column:
         start = F.col(f"{name}0")
@@ -153,8 +156,9 @@ def object_states(points: DataFrame, t, *, hit: Column | None = None, check_dupl
 def positions_from_states(states: DataFrame, t, ra_mode: str = "linear") -> DataFrame:
     """Position and flux at `t` for rows made by `object_states`."""
     t = ntz(t)
-    ra, dec, flux = interpolate(t, ra_mode)
+    ra, dec, flux = interpolate(unix_micros(t), ra_mode)
     ok = F.col("status") == "ok"
+    states = states.withColumn("us0", unix_micros(F.col("time0"))).withColumn("us1", unix_micros(F.col("time1")))
     return states.withColumn("status", _status(t)).select(
         "sso_id", "t_min", "t_max", "n_points", "do_flux",
         F.when(ok, ra).alias("ra_deg"), F.when(ok, dec).alias("dec_deg"),
@@ -180,28 +184,26 @@ def _strict(result: DataFrame) -> DataFrame:
 # --- segments ------------------------------------------------------------------------------
 
 def time_slices(points: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """(points with `_slice`, whether any object was cut).
+    """(points with `_slice`, whether any object was cut); the points carry their time as `us`.
 
-    Objects with at most `hot_rows` points stay whole (slice 0). A hotter one is
-    cut along time into equal widths, and its width is halved as long as some
-    slice is still too full, so that no window has to hold the object.
+    Objects with about `hot_rows` points or fewer stay whole (slice 0). A hotter
+    one is cut along time into equal widths, and its width is halved as long as
+    some slice is still too full, so that no window has to hold the object.
     """
-    micros = unix_micros(F.col("time"))
-    whole = points.withColumn("_slice", F.lit(0).cast("bigint"))
     hot = hot_keys(points, ["sso_id"], hot_rows) if hot is None else hot
     if hot is None:
-        return whole, False
-    own = points.join(hot, "sso_id").groupBy("sso_id").agg(
-        F.min(micros).alias("_lo"), F.max(micros).alias("_hi"), F.count(F.lit(1)).alias("n_rows"))
-    widths = own.select("sso_id", "_lo", F.greatest(F.lit(1), F.floor(
-        (F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("n_rows") / F.lit(hot_rows)))).cast("bigint").alias("_width"))
+        return points.withColumn("_slice", F.lit(0).cast("bigint")), False
+    own = points.join(hot.select("sso_id"), "sso_id").groupBy("sso_id").agg(
+        F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    n_slices = F.ceil(F.col("n") / F.lit(hot_rows))
+    width = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo") + 1) / n_slices)).cast("bigint")
+    widths = own.select("sso_id", "_lo", width.alias("_width"))
     rows = widths.limit(MAX_HOT_KEYS + 1).collect()
     if len(rows) > MAX_HOT_KEYS:
-        return _slice(points, widths, micros), True
-    spark = points.sparkSession
-    for _ in range(30):
-        table = F.broadcast(spark.createDataFrame(rows, widths.schema))
-        sliced = _slice(points, table, micros)
+        return _slice(points, saved(widths, "slices")), True
+    sliced = points
+    for _ in range(40):
+        sliced = _slice(points, F.broadcast(points.sparkSession.createDataFrame(rows, widths.schema)))
         full = (
             sliced.where("_width > 1").groupBy("sso_id", "_slice").count()
             .where(F.col("count") > 2 * hot_rows).select("sso_id").distinct().collect()
@@ -213,82 +215,76 @@ def time_slices(points: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | No
     return sliced, True
 
 
-def _slice(points: DataFrame, widths: DataFrame, micros: Column) -> DataFrame:
-    joined = points.join(widths, "sso_id", "left")
-    index = F.floor((micros - F.col("_lo")) / F.col("_width"))
-    return joined.withColumn("_slice", F.coalesce(index, F.lit(0)).cast("bigint"))
+def _slice(points: DataFrame, widths: DataFrame) -> DataFrame:
+    index = F.floor((F.col("us") - F.col("_lo")) / F.col("_width"))
+    return points.join(widths, "sso_id", "left").withColumn("_slice", F.coalesce(index, F.lit(0)).cast("bigint"))
 
 
 def segments(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per point with the next point of the object beside it, and the object's coverage.
 
-    (`time0`, `ra_deg0`, ...) to (`time1`, `ra_deg1`, ...); the last point of an
-    object has no next one. Objects with duplicate times give no rows. One
-    shuffle by object serves the neighbours and the whole-object columns.
+    (`us0`, `ra_deg0`, ...) to (`us1`, `ra_deg1`, ...), times in microseconds
+    since 1970; the last point of an object has no next one. `us_end` is the
+    object's last time. Objects with duplicate times give no rows.
+
+    One shuffle by object serves the neighbours and the whole-object columns.
     Objects above `hot_rows` points are cut into time slices, and slices are
     linked by their first points.
     """
-    values = ("time", "ra_deg", "dec_deg", "flux_mJy")
-    points = points.select("sso_id", *values)
+    values = ("us", "ra_deg", "dec_deg", "flux_mJy")
+    points = points.select("sso_id", unix_micros(F.col("time")).alias("us"), *values[1:])
     hot = hot_keys(points, ["sso_id"], hot_rows)
     if hot is not None:
-        copies = duplicate_times(points.join(hot, "sso_id", "left_semi"))
+        copies = duplicate_times(points.join(hot, "sso_id", "left_semi"), "us")
         points = points.join(broadcast_if_small(copies), "sso_id", "left_anti")
-    sliced, cut = time_slices(points, hot_rows, hot)
+        points, cut = time_slices(points, hot_rows, hot)
+    else:
+        points, cut = points.withColumn("_slice", F.lit(0).cast("bigint")), False
     part = ["sso_id", "_slice"] if cut else ["sso_id"]
-    ordered = Window.partitionBy(*part).orderBy("time")
-    rows = sliced.select("sso_id", "_slice", *[F.col(v).alias(f"{v}0") for v in values],
+    ordered = Window.partitionBy(*part).orderBy("us")
+    rows = points.select("sso_id", "_slice", *[F.col(v).alias(f"{v}0") for v in values],
                          *[F.lead(v).over(ordered).alias(f"{v}1") for v in values])
-    same = F.coalesce(F.col("time1") == F.col("time0"), F.lit(False))
+    same = F.coalesce(F.col("us1") == F.col("us0"), F.lit(False))
     object_wide = [
-        (F.min, F.col("time0"), "t_min"), (F.max, F.col("time0"), "t_max"),
-        (F.count, F.lit(1), "n_points"),
+        (F.max, F.col("us0"), "us_end"),
         (F.bool_and, F.col("flux_mJy0").isNotNull(), "do_flux"), (F.bool_or, same, "duplicate_times"),
     ]
+    columns = ["sso_id", *[f"{v}0" for v in values]]
     if not cut:
         per_object = Window.partitionBy("sso_id")
-        return rows.select(
-            "sso_id", *[f"{v}{i}" for i in (0, 1) for v in values],
-            *[f(c).over(per_object).alias(n) for f, c, n in object_wide],
-        ).where(~F.col("duplicate_times")).drop("duplicate_times")
+        wide = rows.select(
+            *columns, *[f"{v}1" for v in values], *[f(c).over(per_object).alias(n) for f, c, n in object_wide])
+        return wide.where(~F.col("duplicate_times")).drop("duplicate_times")
     per_object, by_slice = Window.partitionBy("sso_id"), Window.partitionBy("sso_id").orderBy("_slice")
     heads = rows.groupBy("sso_id", "_slice").agg(
         *[f(c).alias(n) for f, c, n in object_wide],
-        *[F.min_by(f"{v}0", "time0").alias(f"_head_{v}") for v in values])
-    total = {"n_points": F.sum, "t_min": F.min, "t_max": F.max, "do_flux": F.bool_and, "duplicate_times": F.bool_or}
+        *[F.min_by(f"{v}0", "us0").alias(f"_head_{v}") for v in values])
     linked = heads.select(
-        "sso_id", "_slice", *[f(n).over(per_object).alias(n) for n, f in total.items()],
+        "sso_id", "_slice", *[f(n).over(per_object).alias(n) for f, _, n in object_wide],
         *[F.lead(f"_head_{v}").over(by_slice).alias(f"_next_{v}") for v in values])
-    last_in_slice = F.col("time1").isNull()
-    return rows.join(linked, ["sso_id", "_slice"]).select(
-        "sso_id", *[f"{v}0" for v in values],
-        *[F.when(last_in_slice, F.col(f"_next_{v}")).otherwise(F.col(f"{v}1")).alias(f"{v}1") for v in values],
-        "t_min", "t_max", "n_points", "do_flux", "duplicate_times",
-    ).where(~F.col("duplicate_times")).drop("duplicate_times")
+    last_in_slice = F.col("us1").isNull()
+    wide = rows.join(linked, ["sso_id", "_slice"]).select(
+        *columns, *[F.when(last_in_slice, F.col(f"_next_{v}")).otherwise(F.col(f"{v}1")).alias(f"{v}1") for v in values],
+        "us_end", "do_flux", "duplicate_times")
+    return wide.where(~F.col("duplicate_times")).drop("duplicate_times")
 
 
 # --- many times ----------------------------------------------------------------------------
 
 def binned_segments(points: DataFrame, bin_seconds: int, hot_rows: int) -> DataFrame:
-    """Usable segments, one row per time bin they touch. Half-open, the object's last one closed."""
-    width = F.lit(bin_seconds * 1_000_000)
-    first = F.floor(unix_micros(F.col("time0")) / width)
-    last = F.floor(unix_micros(F.col("time1")) / width)
-    return (
-        segments(points, hot_rows)
-        .where(F.col("time1").isNotNull())
-        .withColumn("_bin", F.explode(F.sequence(first, last)))
-    )
+    """Segments, one row per time bin they touch. Half-open, the object's last one closed."""
+    return segments(points, hot_rows).where(F.col("us1").isNotNull()).withColumn(
+        "_bin", F.explode(F.sequence(time_bin(F.col("us0"), bin_seconds), time_bin(F.col("us1"), bin_seconds))))
 
 
-def time_bin(t: Column, bin_seconds: int) -> Column:
-    return F.floor(unix_micros(t) / F.lit(bin_seconds * 1_000_000))
+def time_bin(us: Column, bin_seconds: int) -> Column:
+    return F.floor(us / F.lit(bin_seconds * 1_000_000))
 
 
-def covers(t: Column, end: str = "t_max") -> Column:
-    """The segment holds `t`; `end` is the last time of the object."""
-    at_end = (t == F.col("time1")) & (F.col("time1") == F.col(end))
-    return (F.col("time0") <= t) & ((t < F.col("time1")) | at_end)
+def covers(us: Column) -> Column:
+    """The segment holds the time."""
+    at_end = (us == F.col("us1")) & (F.col("us1") == F.col("us_end"))
+    return (F.col("us0") <= us) & ((us < F.col("us1")) | at_end)
 
 
 def positions_at_times(
@@ -301,10 +297,10 @@ def positions_at_times(
     segments is salted.
     """
     wanted = times.select(F.col("time").alias("t")).where(F.col("t").isNotNull()).distinct()
-    wanted = wanted.withColumn("_bin", time_bin(F.col("t"), bin_seconds))
+    wanted = wanted.withColumn("us", unix_micros(F.col("t"))).withColumn("_bin", time_bin(F.col("us"), bin_seconds))
     seg = binned_segments(points, bin_seconds, hot_rows)
-    pairs = salted_join(seg, wanted, ["_bin"], "inner", covers(F.col("t")), hot_rows)
-    ra, dec, flux = interpolate(F.col("t"), ra_mode)
+    pairs = salted_join(seg, wanted, ["_bin"], "inner", covers(F.col("us")), hot_rows)
+    ra, dec, flux = interpolate(F.col("us"), ra_mode)
     return pairs.select("sso_id", F.col("t").alias("time"), ra.alias("ra_deg"), dec.alias("dec_deg"),
                         flux.alias("flux_mJy"))
 
@@ -315,14 +311,13 @@ def positions_for(
 ) -> DataFrame:
     """One row per distinct (`sso_id`, `time`) request, with a status."""
     wanted = requests.select("sso_id", F.col("time").alias("t")).distinct()
-    wanted = wanted.withColumn("_bin", time_bin(F.col("t"), bin_seconds))
+    wanted = wanted.withColumn("us", unix_micros(F.col("t"))).withColumn("_bin", time_bin(F.col("us"), bin_seconds))
     points = restrict(points, wanted, ["sso_id"])
-    about = mark_duplicates(coverage(points), points, True)
+    about = mark_duplicates(coverage(points).drop("do_flux"), points, True)
     asked = salted_join(wanted, about, ["sso_id"], "left", hot_rows=hot_rows)
-    seg = binned_segments(points, bin_seconds, hot_rows).drop(
-        "t_min", "n_points", "do_flux").withColumnRenamed("t_max", "_end")
-    pairs = salted_join(asked, seg, ["sso_id", "_bin"], "left", covers(F.col("t"), "_end"), hot_rows)
-    ra, dec, flux = interpolate(F.col("t"), ra_mode)
+    seg = binned_segments(points, bin_seconds, hot_rows)
+    pairs = salted_join(asked, seg, ["sso_id", "_bin"], "left", covers(F.col("us")), hot_rows)
+    ra, dec, flux = interpolate(F.col("us"), ra_mode)
     ok = F.col("status") == "ok"
     result = pairs.withColumn("status", _status(F.col("t"))).select(
         "sso_id", F.col("t").alias("time"), F.when(ok, ra).alias("ra_deg"), F.when(ok, dec).alias("dec_deg"),
@@ -370,7 +365,7 @@ def packed(points: DataFrame, pack_rows: int = 100_000) -> DataFrame:
     overfill a part are shared out over `share` 0, 1, ...
     """
     point = F.struct("time", "ra_deg", "dec_deg", "flux_mJy")
-    sliced, cut = time_slices(points, pack_rows)
+    sliced, cut = time_slices(points.withColumn("us", unix_micros(F.col("time"))), pack_rows)
     share = F.lit(0).cast("bigint")
     if cut:
         full = hot_keys(sliced, ["sso_id", "_slice"], 2 * pack_rows)

@@ -13,10 +13,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import flat_distance, wrap_ra
+from .maintain import insert_fixed
 from .skew import HOT_ROWS, restrict
 from .sky_join import within_radius
 
 
+#: A search names its providers one by one in the plan, so their number is limited by what a plan can hold.
+MAX_PROVIDERS = 1_000
+
+
 class Provider(NamedTuple):
     name: str
     table: DataFrame
@@ -42,6 +47,19 @@ def provider_table(provider: Provider) -> DataFrame:
         F.col(config["dec_col"]).cast("double").alias("dec_deg"), flux.alias("flux_mJy"))
 
 
+def load_providers(services: DataFrame, tables: dict[str, DataFrame]) -> list[Provider]:
+    """The registered services (`name`, `config` map) for which a table is at hand.
+
+    Only services named in `tables` are looked at, each distinct config once.
+    """
+    configs = F.array_sort(F.map_entries("config"))
+    listed = services.where(F.col("name").isin(sorted(tables))).select("name", configs.alias("entries")).distinct()
+    found = sorted(listed.limit(MAX_PROVIDERS + 1).collect())
+    if len(found) > MAX_PROVIDERS:
+        raise ValueError(f"more than {MAX_PROVIDERS} providers in one search")
+    return [Provider(r.name, tables[r.name], {e.key: e.value for e in r.entries}) for r in found]
+
+
 def all_providers(providers: list[Provider]) -> DataFrame:
     return reduce(DataFrame.unionByName, [provider_table(p) for p in providers])
 
@@ -87,3 +105,20 @@ def resolve_name(
         F.min_by(values, F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n_matches"))
     found = usable.join(first, keys).select(*keys, "first.*", "n_matches")
     return Resolved(found, usable.join(first, keys, "left_anti"), rejected)
+
+
+class Created(NamedTuple):
+    table: DataFrame
+    added: DataFrame
+    missing: DataFrame
+    rejected: DataFrame
+
+
+def create_by_name(
+    fixed: DataFrame, names: DataFrame, catalog: DataFrame, services: DataFrame,
+    order: tuple[str, ...] = ("ra_deg", "dec_deg", "flux_mJy"),
+) -> Created:
+    """Resolves names and adds what was found to the fixed sources."""
+    resolved = resolve_name(names, catalog, services, order)
+    done = insert_fixed(fixed, resolved.found.select("name", "ra_deg", "dec_deg", "flux_mJy"), "by-name")
+    return Created(done.table, done.added, resolved.missing, resolved.rejected)

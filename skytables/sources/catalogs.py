@@ -12,6 +12,9 @@ from ..operators.maintain import fixed_rows
 from ..schema import require_columns
 
 
+DOUBLE, TEXT = T.DoubleType(), T.StringType()
+
+
 class Ingested(NamedTuple):
     rows: DataFrame
     rejected: DataFrame
@@ -22,7 +25,7 @@ def strip_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def _read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, columns: dict[str, T.DataType]) -> DataFrame:
     """CSV with a header. The header line alone is read to find the columns; values get fixed types."""
     header = spark.read.text(path).first()
     if header is None:
@@ -31,16 +34,16 @@ def _read_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFr
     missing = sorted(set(columns) - set(found))
     if missing:
         raise ValueError(f"Missing required columns in {path}: {missing}")
-    schema = T.StructType([T.StructField(c, T._parse_datatype_string(columns.get(c, "string"))) for c in found])
+    schema = T.StructType([T.StructField(c, columns.get(c, TEXT)) for c in found])
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
 
 
 def read_websky(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, {"flux(Jy)": "double", "RA(deg)": "double", "dec(deg)": "double"})
+    return _read_csv(spark, path, {"flux(Jy)": DOUBLE, "RA(deg)": DOUBLE, "dec(deg)": DOUBLE})
 
 
 def read_text_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, {"ra": "double", "dec": "double", "name": "string", "monitored": "string"})
+    return _read_csv(spark, path, {"ra": DOUBLE, "dec": DOUBLE, "name": TEXT, "monitored": TEXT})
 
 
 def ingest_act(
@@ -77,6 +80,9 @@ def ingest_text(rows: DataFrame, catalog: str = "text") -> Ingested:
 
 def ingest_summary(ssos: DataFrame, points: DataFrame, source: str) -> DataFrame:
     """(source_file, number_of_ssos, number_of_ephems) of one ingest."""
-    a = ssos.agg(F.count(F.lit(1)).alias("number_of_ssos"))
-    b = points.agg(F.count(F.lit(1)).alias("number_of_ephems"))
-    return a.join(b).select(F.lit(source).alias("source_file"), "number_of_ssos", "number_of_ephems")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    marks = ssos.select(one.alias("sso"), none.alias("ephem")).unionByName(
+        points.select(none.alias("sso"), one.alias("ephem")))
+    return marks.agg(
+        F.coalesce(F.sum("sso"), none).alias("number_of_ssos"), F.coalesce(F.sum("ephem"), none).alias("number_of_ephems"),
+    ).select(F.lit(source).alias("source_file"), "number_of_ssos", "number_of_ephems")

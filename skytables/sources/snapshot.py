@@ -7,22 +7,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..schema import TABLES, conform
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
+def write_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | None = None) -> None:
     """One folder per table.
 
     Ephemerides are partitioned by day and sorted by (object, time). The range
     partitioning is sampled, so a crowded day or object is spread over several
-    tasks while a quiet day stays in one file. The other tables are sorted by
-    position or id for row-group statistics.
+    tasks while a quiet day stays in one file. Fixed sources are sorted by
+    position for row-group statistics. `partitions` sets the number of tasks;
+    the default is the session's number of shuffle partitions.
     """
+    count = [] if partitions is None else [partitions]
     for name, df in tables.items():
         target = f"{path}/{name}"
         if name == "moving_sources":
             dated = df.withColumn("day", F.to_date("time"))
-            (dated.repartitionByRange("day", "sso_id", "time").sortWithinPartitions("day", "sso_id", "time")
+            (dated.repartitionByRange(*count, "day", "sso_id", "time").sortWithinPartitions("day", "sso_id", "time")
              .write.mode("overwrite").partitionBy("day").parquet(target))
         elif name == "fixed_sources":
-            (df.repartitionByRange("dec_deg", "ra_deg").sortWithinPartitions("dec_deg", "ra_deg")
+            (df.repartitionByRange(*count, "dec_deg", "ra_deg").sortWithinPartitions("dec_deg", "ra_deg")
              .write.mode("overwrite").parquet(target))
         else:
             df.write.mode("overwrite").parquet(target)

@@ -87,6 +87,16 @@ def test_config_must_name_the_columns(spark):
         providers.provider_table(providers_of(spark)[0]._replace(config={"name_col": "id", "ra_col": "ra"}))
 
 
+def test_load_providers(spark):
+    services = spark.createDataFrame(
+        [("Simbad", {"name_col": "id", "ra_col": "ra", "dec_col": "d"}), ("Gone", {"name_col": "x"})],
+        "name string, config map<string,string>")
+    table = providers_of(spark)[0].table
+    loaded = providers.load_providers(services, {"Simbad": table, "VizieR": table})
+    assert [(p.name, p.config["ra_col"]) for p in loaded] == [("Simbad", "ra")]
+    assert providers.all_providers(loaded).count() == 3
+
+
 def test_resolve_name(spark):
     names = spark.createDataFrame([("Simbad", "x"), ("Simbad", "q"), ("Gaia", "x"), ("VizieR", "x"), ("Simbad", "x")],
                                   "provider string, name string")
@@ -95,6 +105,10 @@ def test_resolve_name(spark):
     assert rows(done.found, "provider", "ra_deg", "n_matches") == [("Simbad", 5.0, 2), ("VizieR", 10.0, 1)]
     assert rows(done.missing, "provider", "name") == [("Simbad", "q")]
     assert rows(done.rejected, "provider") == [("Gaia",)]
+    made = providers.create_by_name(
+        fixed(spark, [("a", 0, 0)]), names, providers.all_providers(providers_of(spark)), services)
+    assert rows(made.added, "name", "ra_deg") == [("x", 5.0), ("x", 10.0)] and made.table.count() == 3
+    assert made.missing.count() == made.rejected.count() == 1
 
 
 # --- guards -----------------------------------------------------------------------------------

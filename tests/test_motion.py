@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from skytables.functions.times import unix_micros
 from skytables.operators import crossmatch, ephemeris
 from skytables.operators.boxes import Box
 from skytables.plans import unified
@@ -127,7 +128,7 @@ def test_hot_bursts_are_cut_down(spark):
     burst = [(f"b{i}", "a", None, "a", T0 + seconds(i / 1000), float(i % 360), 0.0, 1.0) for i in range(60)]
     late = track("a", T0 + hours(1000), hours(1000), [(1, 1, 1.0)] * 3)
     moving = spark.createDataFrame(burst + late, points(spark, late).schema)
-    sliced, cut = ephemeris.time_slices(moving, 10)
+    sliced, cut = ephemeris.time_slices(moving.withColumn("us", unix_micros(F.col("time"))), 10)
     assert cut and sliced.groupBy("sso_id", "_slice").count().agg(F.max("count")).first()[0] <= 20
     assert rows(ephemeris.segments(moving, 10)) == rows(ephemeris.segments(moving))
 
@@ -148,8 +149,8 @@ def test_many_times_equal_plain_range_join(spark, hot, bin_seconds):
     moments = v.moving_sources.select("time").union(
         v.moving_sources.select((F.col("time") + F.expr("interval 17 minutes")).alias("time")))
     found = ephemeris.positions_at_times(v.moving_sources, moments, bin_seconds=bin_seconds, hot_rows=hot)
-    seg = ephemeris.segments(v.moving_sources).where("time1 is not null")
-    plain = seg.crossJoin(moments.distinct().withColumnRenamed("time", "t")).where(ephemeris.covers(F.col("t")))
+    seg = ephemeris.segments(v.moving_sources).where("us1 is not null")
+    plain = seg.crossJoin(moments.distinct().withColumnRenamed("time", "t")).where(ephemeris.covers(unix_micros(F.col("t"))))
     got = rows(found, "sso_id", "time")
     assert got == rows(plain, "sso_id", "t") and len(got) == len(set(got)) > 1000
 
