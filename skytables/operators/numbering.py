@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .skew import HOT_ROWS
+from .skew import HOT_ROWS, hot_keys
 
 
 def number_rows(
@@ -44,21 +44,21 @@ def number_copies(df: DataFrame, out: str, block: int = HOT_ROWS) -> DataFrame:
     """Equal rows numbered 1, 2, 3, ...
 
     Copies are counted (map-side combined) and written out again from the count,
-    so a group of copies never has to meet in one task. A count above `block`
-    is first cut into blocks that are spread over the cluster.
+    so a group of copies never has to meet in one task. Where groups of more
+    than `block` copies turn up, those are written out in blocks that are spread
+    over the cluster.
     """
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    few = (
-        counted.where(F.col("_n") <= block)
-        .withColumn(out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    )
-    last_block = F.floor((F.col("_n") - 1) / F.lit(block)).cast("bigint")
-    many = (
-        counted.where(F.col("_n") > block)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
-        .repartition(*cols, "_block")
-        .withColumn(out, F.explode(F.sequence(
-            F.col("_block") * block + 1, F.least(F.col("_n"), (F.col("_block") + 1) * block))))
-    )
-    return few.select(*cols, out).unionByName(many.select(*cols, out))
+
+    def write_out(groups: DataFrame, first, last) -> DataFrame:
+        return groups.withColumn(out, F.explode(F.sequence(first, last))).select(*cols, out)
+
+    one, n = F.lit(1).cast("bigint"), F.col("_n")
+    if hot_keys(df, cols, block) is None:
+        return write_out(counted, one, n)
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(block)).cast("bigint"))
+    many = counted.where(n > block).withColumn("_block", F.explode(blocks)).repartition(*cols, "_block")
+    start = F.col("_block") * block
+    return write_out(counted.where(n <= block), one, n).unionByName(
+        write_out(many, start + 1, F.least(n, start + block)))

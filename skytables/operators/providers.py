@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import flat_distance, wrap_ra
 from .maintain import insert_fixed
-from .skew import HOT_ROWS, restrict
+from .skew import HOT_ROWS, restrict, saved
 from .sky_join import within_radius
 
 
@@ -97,9 +97,10 @@ def resolve_name(
     """
     keys = ["provider", "name"]
     wanted = names.select(*keys).distinct()
-    registered = services.select(F.col("name").alias("provider")).distinct()
-    rejected = wanted.join(registered, "provider", "left_anti").withColumn("reason", F.lit("unknown provider"))
-    usable = wanted.join(registered, "provider", "left_semi")
+    registered = services.select(F.col("name").alias("provider")).distinct().withColumn("_known", F.lit(True))
+    marked = wanted.join(registered, "provider", "left")
+    rejected = marked.where(F.col("_known").isNull()).select(*keys, F.lit("unknown provider").alias("reason"))
+    usable = marked.where(F.col("_known")).select(*keys)
     values = F.struct("ra_deg", "dec_deg", "flux_mJy")
     first = restrict(catalog, wanted, keys).groupBy(*keys).agg(
         F.min_by(values, F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n_matches"))
@@ -120,5 +121,6 @@ def create_by_name(
 ) -> Created:
     """Resolves names and adds what was found to the fixed sources."""
     resolved = resolve_name(names, catalog, services, order)
-    done = insert_fixed(fixed, resolved.found.select("name", "ra_deg", "dec_deg", "flux_mJy"), "by-name")
+    found = saved(resolved.found.select("name", "ra_deg", "dec_deg", "flux_mJy"), "resolved")
+    done = insert_fixed(fixed, found, "by-name")
     return Created(done.table, done.added, resolved.missing, resolved.rejected)

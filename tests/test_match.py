@@ -107,7 +107,7 @@ def test_resolve_name(spark):
     assert rows(done.rejected, "provider") == [("Gaia",)]
     made = providers.create_by_name(
         fixed(spark, [("a", 0, 0)]), names, providers.all_providers(providers_of(spark)), services)
-    assert rows(made.added, "name", "ra_deg") == [("x", 5.0), ("x", 10.0)] and made.table.count() == 3
+    assert rows(made.added, "name", "ra_deg") == [("x", 10.0), ("x", 5.0)] and made.table.count() == 3
     assert made.missing.count() == made.rejected.count() == 1
 
 
