@@ -16,7 +16,7 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
-from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, hot_keys, restrict, salted_join, saved, spread
+from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved, spread
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"
@@ -48,9 +48,12 @@ def flagged_sso(ssos: DataFrame, points: DataFrame, flag: str, t_min, t_max) ->
 def attach_ephem(
     selected: DataFrame, points: DataFrame, t_min, t_max, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """All points in the time range of the selected objects, whether inside a box or not."""
+    """All points in the time range of the selected objects, whether inside a box or not.
+
+    The points are shuffled only if the selected objects are too many to broadcast.
+    """
     ids = selected.select("sso_id")
-    return salted_join(points.where(in_times(t_min, t_max)), ids, ["sso_id"], "left_semi", hot_rows=hot_rows)
+    return dimension_join(points.where(in_times(t_min, t_max)), ids, ["sso_id"], "left_semi", hot_rows=hot_rows)
 
 
 # --- one row per object --------------------------------------------------------------------

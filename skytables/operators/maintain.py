@@ -50,33 +50,50 @@ def position_fault(required: bool = True) -> Column:
 
 
 def _with_default(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    have = {c.lower() for c in rows.columns}
     for name, kind in columns.items():
-        if name not in rows.columns:
+        if name.lower() not in have:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     return rows
 
 
-def _identify(rows: DataFrame, schema, kind: str, tag: str = "") -> DataFrame:
-    """Rows in `schema`, with an id (its first column) where the caller gave none."""
+def _identify(rows: DataFrame, schema, kind: str, tag: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows in `schema` with an id, its first column, where the caller gave none; rejected).
+
+    Equal rows with one given id count once; different rows with one given id are rejected.
+    """
     key, *values = names(schema)
     own = key in rows.columns
     rows = conform(_with_default(rows, {key: "string"}), schema)
     maps = [f.name for f in schema.fields if f.dataType.typeName() == "map"]
-    fresh = rows.where(F.col(key).isNull()).drop(key)
     for m in maps:  # maps cannot be grouped, their JSON text can
-        fresh = fresh.withColumn(m, F.to_json(m))
-    fresh = number_copies(fresh, "_copy")
+        rows = rows.withColumn(m, F.to_json(m))
+
+    def finish(df: DataFrame) -> DataFrame:
+        for m in maps:
+            df = df.withColumn(m, F.from_json(m, "map<string,string>"))
+        return df.select(*names(schema))
+
     doubles = {f.name for f in schema.fields if f.dataType.typeName() == "double"}
     parts = [double_key(F.col(v)) if v in doubles else F.col(v) for v in values]
-    fresh = fresh.withColumn(key, row_key(kind, F.lit(tag), *parts, F.col("_copy")))
-    for m in maps:
-        fresh = fresh.withColumn(m, F.from_json(m, "map<string,string>"))
-    fresh = fresh.select(*names(schema))
-    return rows.where(F.col(key).isNotNull()).unionByName(fresh) if own else fresh
+    fresh = number_copies(rows.where(F.col(key).isNull()).drop(key), "_copy")
+    fresh = finish(fresh.withColumn(key, row_key(kind, F.lit(tag), *parts, F.col("_copy"))))
+    if not own:
+        return fresh, fresh.limit(0).withColumn("reason", F.lit("duplicate key"))
+    given = rows.where(F.col(key).isNotNull()).distinct()
+    repeated = given.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    marked = dimension_join(given, repeated, [key], "left")
+    clash = finish(marked.where(F.col("_n").isNotNull())).withColumn("reason", F.lit("duplicate key"))
+    return finish(marked.where(F.col("_n").isNull())).unionByName(fresh), clash
+
+
+def _with_clashes(rejected: DataFrame, clash: DataFrame) -> DataFrame:
+    """Both lists of rejected rows; columns that only one of them has are null in the other."""
+    return rejected.unionByName(clash, allowMissingColumns=True)
 
 
 def _append(table: DataFrame, rows: DataFrame, new: DataFrame, schema, rejected: DataFrame) -> Insert:
-    """Appends the rows whose id is not there yet.
+    """Appends the rows whose id is not there yet; a row whose id is there is left out.
 
     If the incoming `rows` are few, the table is only scanned for their ids, not shuffled.
     """
@@ -91,7 +108,8 @@ def fixed_rows(rows: DataFrame, catalog: str = "") -> tuple[DataFrame, DataFrame
     """(rows in the fixed-source schema with defaults and ids, rejected)."""
     usable, rejected = _split(rows, position_fault())
     usable = usable.withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
-    return _identify(usable, FIXED_SOURCES, "fixed", catalog), rejected
+    named, clash = _identify(usable, FIXED_SOURCES, "fixed", catalog)
+    return named, _with_clashes(rejected, clash) if "source_id" in rows.columns else rejected
 
 
 def insert_fixed(table: DataFrame, rows: DataFrame, catalog: str = "") -> Insert:
@@ -154,22 +172,23 @@ def insert_ephem(table: DataFrame, ssos: DataFrame, rows: DataFrame) -> Insert:
         usable.withColumn("name", F.col("_name")).withColumn("MPC_id", F.col("_mpc"))
         .withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
     )
-    new = _identify(usable, MOVING_SOURCES, "ephem")
-    return _append(table, rows, new, MOVING_SOURCES, rejected.drop("_mpc", "_name"))
+    new, clash = _identify(usable, MOVING_SOURCES, "ephem")
+    return _append(table, rows, new, MOVING_SOURCES, _with_clashes(rejected.drop("_mpc", "_name"), clash))
 
 
 def ephem_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows in the ephemeris schema with ids, rejected) for objects known to exist."""
     fault = F.coalesce(position_fault(), F.when(F.col("time").isNull(), F.lit("missing time")))
     usable, rejected = _split(rows, fault)
-    return _identify(usable, MOVING_SOURCES, "ephem"), rejected
+    return _identify(usable, MOVING_SOURCES, "ephem")[0], rejected
 
 
 def insert_service(table: DataFrame, rows: DataFrame) -> Insert:
     """Adds providers; names may repeat."""
     none = F.col("name").isNull() | F.col("config").isNull()
     usable, rejected = _split(rows, F.when(none, F.lit("missing name or config")))
-    return _append(table, rows, _identify(usable, SERVICES, "service"), SERVICES, rejected)
+    new, clash = _identify(usable, SERVICES, "service")
+    return _append(table, rows, new, SERVICES, _with_clashes(rejected, clash))
 
 
 # --- update --------------------------------------------------------------------------------
@@ -184,7 +203,8 @@ def partial_update(
     several updates of one key. With `order`, later updates win column by
     column. Each column's last value is a partial aggregate.
     """
-    present = [c for c in columns if c in updates.columns]
+    offered = {c.lower() for c in updates.columns}
+    present = [c for c in columns if c.lower() in offered]
     nothing = F.lit(True)
     for c in present:
         nothing = nothing & F.col(c).isNull()
@@ -204,10 +224,12 @@ def partial_update(
         latest = usable.groupBy(key).agg(
             *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in present])
     small = is_small(updates)
-    fields = latest.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in present])
+    fields = latest.select(F.col(key), *[F.col(c).alias(f"_new_{c.lower()}") for c in present])
     joined = dimension_join(table, fields, [key], "left", small)
+    changed = {c.lower() for c in present}
     new = joined.select(*[
-        F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in present else F.col(c) for c in table.columns])
+        F.coalesce(F.col(f"_new_{c.lower()}"), F.col(c)).alias(c) if c.lower() in changed else F.col(c)
+        for c in table.columns])
     ids = restrict(table.select(key), latest, [key], small).distinct()
     missing = latest.select(key).join(ids, key, "left_anti")
     if strict:

@@ -107,7 +107,7 @@ def update_source(v):
         F.when(key % 3 == 0, F.col("o_totalprice")).alias("flux_mJy"),
         F.when(key % 4 == 0, F.col("o_orderstatus") == "F").alias("monitored"),
         F.when(key % 5 == 0, F.concat(F.lit("renamed"), key.cast("string"))).alias("name"))
-    return maintain.update_source(v.fixed_sources.withColumnRenamed("flux_mjy", "flux_mJy"), updates, order="ord").table
+    return maintain.update_source(v.fixed_sources, updates, order="ord").table
 
 
 SSO_UPDATES = """
@@ -123,7 +123,7 @@ def _sso_updates(v):
 
 
 def _ssos(v):
-    return v.solarsystem_objects.withColumnRenamed("mpc_id", "MPC_id")
+    return v.solarsystem_objects
 
 
 @query("update_sso", f"""
@@ -168,7 +168,7 @@ def update_ephem(v):
         key.alias("ephem_id"), F.col("o_orderdate").alias("time"),
         F.when(key % 2 == 0, key % 90 * 1e0).alias("dec_deg"),
         F.when(key % 3 == 0, F.col("o_totalprice")).alias("flux_mJy"))
-    return maintain.update_ephem(v.moving_sources.withColumnRenamed("flux_mjy", "flux_mJy"), updates).table
+    return maintain.update_ephem(v.moving_sources, updates).table
 
 
 @query("update_service", """

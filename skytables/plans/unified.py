@@ -15,6 +15,7 @@ from ..operators.ephemeris import (
     FIXED_T_MAX, FIXED_T_MIN, coverage_aggs, fixed_at, object_states, positions_from_states,
 )
 from ..operators.lookups import flagged
+from ..operators.skew import restrict
 
 
 def _fixed_part(fixed: DataFrame) -> DataFrame:
@@ -69,8 +70,14 @@ def box_at_time(
     fixed: DataFrame, ssos: DataFrame, points: DataFrame, box: Box, t_min, t_max, t, *,
     ra_mode: str = "linear", check_duplicates: bool = True,
 ) -> DataFrame:
-    """`get_box` evaluated at one time: position, flux and status of each source."""
+    """`get_box` evaluated at one time: position, flux and status of each source.
+
+    For the duplicate check, points of objects outside the box are left out of
+    the shuffle where the objects inside are few enough to broadcast.
+    """
     inside = points.where(in_times(t_min, t_max))
+    if check_duplicates:
+        inside = restrict(inside, inside.where(in_box(box)), ["sso_id"])
     states = object_states(inside, t, hit=in_box(box), check_duplicates=check_duplicates)
     moving = positions_from_states(states, t, ra_mode).join(ssos.select("sso_id", "name"), "sso_id").select(
         F.lit("sso").alias("kind"), F.col("sso_id").cast("string").alias("id"), "name",

@@ -24,6 +24,10 @@ def test_insert_keeps_given_ids(spark):
     added = maintain.insert_fixed(fixed(spark, [("a", 1, 1)]), new).added
     ids = [r[0] for r in rows(added, "source_id")]
     assert "mine" in ids and len(ids) == 2
+    twice = spark.createDataFrame([("m", 1.0, 2.0), ("m", 1.0, 2.0), ("n", 1.0, 2.0), ("n", 1.0, 3.0), ("a", 9.0, 9.0)], new.schema)
+    done = maintain.insert_fixed(fixed(spark, [("a", 1, 1)]), twice)
+    assert rows(done.added, "source_id") == [("m",)]
+    assert rows(done.rejected, "source_id", "reason") == [("n", "duplicate key")] * 2
 
 
 def test_insert_sso_is_unique(spark):
