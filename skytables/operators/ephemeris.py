@@ -16,7 +16,9 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
-from .skew import HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved, spread
+from .skew import (
+    HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved, spread,
+)
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"

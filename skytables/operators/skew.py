@@ -106,7 +106,8 @@ def attach_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
 def spread(df: DataFrame, n: Column) -> Column:
     """0 .. n-1 by row values and input partition: copies of a row spread too, and a
     recomputed task gives the same numbers."""
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in df.columns]), n)
+    hashable = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), n)
 
 
 def salted_join(

@@ -131,6 +131,12 @@ def test_salted_join_equals_plain(spark, how):
     assert rows(salted) == rows(plain)
 
 
+def test_salted_join_with_a_map_column(spark):
+    left = spark.createDataFrame([("a", {"x": "1"})] * 30 + [("b", {"y": "2"})], "k string, config map<string,string>")
+    right = spark.createDataFrame([("a",)], "k string")
+    assert skew.salted_join(left, right, ["k"], "left_anti", hot_rows=5).collect()[0].k == "b"
+
+
 def test_salt_spreads_the_hot_key(spark):
     left = skewed(spark, 600).repartition(4)
     hot = skew.hot_keys(left, ["k"], 20)
