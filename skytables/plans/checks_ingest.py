@@ -10,7 +10,7 @@ from ..schema import FIXED_SOURCES, conform
 from ..session import shared_folder
 from ..sources import catalogs, fits, jpl, mpc, snapshot
 from .fits_files import write_parts
-from .registry import query
+from .registry import nine, nine_digits, query
 
 FIXED = ["ra_deg", "dec_deg", "flux_mJy", "name", "monitored", "pointing"]
 POINT = ["MPC_id", "name", "time", "ra_deg", "dec_deg", "flux_mJy"]
@@ -123,7 +123,7 @@ MPC_DEC = ("(CASE WHEN substr(line, 30, 1) = '-' THEN -1e0 ELSE 1e0 END) * (CAST
     FROM mpc_lines""", "mpc_lines")
 def ingest_mpc_sky(v):
     parsed = mpc.parse_sky(v.mpc_lines)
-    return parsed.select("row_idx", "time", F.round("ra_deg", 9).alias("ra_deg"), F.round("dec_deg", 9).alias("dec_deg"))
+    return parsed.select("row_idx", "time", *nine("ra_deg", "dec_deg"))
 
 
 @query("ingest_mpc_vectors", """
@@ -197,7 +197,7 @@ def unix_seconds(v):
 def sexagesimal_to_deg(v):
     ra = angles.sexagesimal_to_deg(F.substring("line", 19, 10), hours=True)
     dec = angles.sexagesimal_to_deg(F.substring("line", 30, 9))
-    return v.mpc_lines.select("row_idx", F.round(ra, 9).alias("ra_deg"), F.round(dec, 9).alias("dec_deg"))
+    return v.mpc_lines.select("row_idx", nine_digits(ra).alias("ra_deg"), nine_digits(dec).alias("dec_deg"))
 
 
 @query("deg_to_sexagesimal", """

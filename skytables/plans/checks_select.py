@@ -8,7 +8,7 @@ from ..functions import angles, times
 from ..operators import boxes, ephemeris, lookups
 from . import unified
 from .registry import (
-    BOX, IN_BOX, IN_WRAPPED, RANGE, T_AT, T_MAX, T_MIN, WRAPPED, nine, query, separation_sql,
+    BOX, IN_BOX, IN_WRAPPED, RANGE, T_AT, T_MAX, T_MIN, WRAPPED, nine, nine_digits, query, separation_sql,
 )
 
 
@@ -90,7 +90,7 @@ def lookup_service_name(v):
     """, "detections", "fixed_sources")
 def flat_distance(v):
     d = angles.flat_distance(F.col("d_ra"), F.col("d_dec"), F.col("ra_deg"), F.col("dec_deg"))
-    return _ordered_pairs(v).select("det_id", F.round(d, 9).alias("distance"))
+    return _ordered_pairs(v).select("det_id", nine_digits(d).alias("distance"))
 
 
 @query("separation", f"""
@@ -99,7 +99,7 @@ def flat_distance(v):
     """, "detections", "fixed_sources")
 def separation(v):
     d = angles.separation(F.col("d_ra"), F.col("d_dec"), F.col("ra_deg"), F.col("dec_deg"))
-    return _ordered_pairs(v).select("det_id", F.round(d, 9).alias("separation_deg"))
+    return _ordered_pairs(v).select("det_id", nine_digits(d).alias("separation_deg"))
 
 
 def _ordered_pairs(v):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.boxes import Box
 from .fixtures import view, with_views
@@ -55,9 +55,15 @@ def query(name: str, sql: str | None, *used: str):
     return register
 
 
+def nine_digits(value: Column) -> Column:
+    """Rounded to nine decimals, halves away from zero, in double arithmetic as DuckDB does it."""
+    size = F.floor(F.abs(value) * 1e9 + 0.5) / 1e9
+    return F.when(value < 0, -size).otherwise(size)
+
+
 def nine(*columns: str) -> list:
     """Columns rounded to nine decimals, for results of trigonometry and interpolation."""
-    return [F.round(c, 9).alias(c.lower()) for c in columns]
+    return [nine_digits(F.col(c)).alias(c.lower()) for c in columns]
 
 
 def separation_sql(ra1: str, dec1: str, ra2: str, dec2: str) -> str:
