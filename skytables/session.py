@@ -29,10 +29,14 @@ def local_session(cpus: int | str = "*", app: str = "skytables", shuffle_partiti
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under `spark.checkpoint.dir`.
 
-    The cluster names that folder. Only where it is unset (a test on one
-    machine) is a temporary folder taken instead.
+    The cluster names that folder. Where it is unset, a session on one machine
+    gets a temporary folder, once; any other raises, as executors on several
+    machines would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="skytables-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/skytables/{purpose}-{uuid.uuid4().hex}"
