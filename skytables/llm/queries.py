@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, url_filter
+from ..session import shared_folder
+from . import fingerprints, language_id, quality_rules, token_files, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +58,53 @@ fits AS (SELECT p.*, r.*, row_number() OVER (PARTITION BY page_id, host, path OR
     FROM parts p LEFT JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
 """
+
+
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_rules.with_features(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    judged = quality_rules.judge(rows)
+    return judged.select("doc_id", *[
+        F.col(f"_rule_{c}").alias(c)
+        for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    ])
+
+
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    rows = token_files.with_crc32(token_files.read_token_files(spark, files))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, folder, "pages"))
+    return read.select(
+        F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+ORACLE_SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS BIGINT) // CAST(32 ** (3 - i % 4) AS BIGINT)) % 32 + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.train(docs)
+    rows = language_id.predict(docs.select("doc_id", "text"), model)
+    return rows.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+        F.array_join("languages", ",").alias("languages"),
+    )
