@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import fingerprints, language_id, quality_rules, token_files, url_filter, warc
+from . import fingerprints, language_id, quality_rules, suffix_dedup, token_files, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
         F.array_join("languages", ",").alias("languages"),
     )
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    return rows.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
+        F.size("_removed").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+    )
