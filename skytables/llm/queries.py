@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import fingerprints, language_id, quality_rules, suffix_dedup, token_files, url_filter, warc
+from . import fingerprints, jaccard_join, language_id, quality_rules, suffix_dedup, token_files, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
         F.size("_removed").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.with_components(table(spark, folder, "documents").select("doc_id", "text"))
