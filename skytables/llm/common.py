@@ -33,6 +33,11 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct `_doc`, so that no other name can clash with theirs; `_doc.*` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns, `_id` (never null) and `_hash`, that name a document by its content.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, row_key, saved, text_or_empty
+from .common import as_bytes, row_key, saved, text_or_empty, whole_row
 
 SHINGLE_WORDS = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
@@ -327,7 +327,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = near_duplicates(docs, doc_id, text)
     by = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_hash")))
     kept = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(by.alias("at")).select("at._id", "at._hash")
-    keyed = docs.select(*docs.columns, *row_key(doc_id, text))
-    bare = ~text_or_empty(text).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(whole_row(docs), *row_key(doc_id, text), text_or_empty(text).alias("_text"))
+    bare = ~F.col("_text").rlike(r"[^\x20\x09-\x0D]")
     chosen = keyed.where(~bare).join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
-    return chosen.select(*docs.columns).union(docs.where(bare))
+    return chosen.select("_doc.*").union(keyed.where(bare).select("_doc.*"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import as_bytes, saved
+from .common import as_bytes, saved, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -159,4 +159,5 @@ def judge(rows: DataFrame, rules: dict[str, Column] | None = None, threshold: fl
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(with_features(docs, text)).where(_f("kept")).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(text).alias("_text"))
+    return judge(with_features(rows, "_text").drop("_text")).where(_f("kept")).select("_doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import fingerprints, jaccard_join, language_id, quality_rules, suffix_dedup, token_files, url_filter, warc
+from . import fingerprints, jaccard_join, language_id, packing, quality_rules, sentence_pieces, suffix_dedup, token_files, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,9 +113,9 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    n_bytes = F.octet_length(F.coalesce("_doc.text", F.lit(""))).cast("bigint")
     return rows.select(
-        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
+        "_doc.doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"),
         F.size("_removed").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
     )
 
@@ -123,3 +123,21 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.with_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    rows = sentence_pieces.with_crc32(rows.withColumn("text", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))))
+    return rows.select(
+        "doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"), "n_byte_pieces", "ids_crc32",
+        F.col("text").alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of byte tokens, with an end token after each document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.best_fit(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 1)

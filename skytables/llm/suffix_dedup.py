@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, row_key, saved, text_or_empty
+from .common import as_bytes, per_batch, row_key, saved, text_or_empty, whole_row
 
 LIMIT = 400
 #: Length of the short strings whose least hash is a window's key.
@@ -286,20 +286,20 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tu
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
-    """`docs` with `_kept`, the bytes of the text that are left (binary), and `_removed`, the maximal ranges cut out of it.
+    """Each row of `docs` as `_doc`, with `_kept`, the bytes of the text that are left (binary), and `_removed`, the maximal ranges cut out of it.
 
     Every copy of a repeated string goes, the first too. Null text counts as empty and
     keeps nothing; texts shorter than the limit are left whole, and so are empty
     tables. Repeated rows are each other's copies, also where their ids are equal or
     null. Other columns are carried as they are.
     """
-    keyed = docs.select(*docs.columns, *row_key(doc_id, text), text_or_empty(text).alias("_text"))
+    keyed = docs.select(whole_row(docs), *row_key(doc_id, text), text_or_empty(text).alias("_text"))
     spans = repeated_spans(keyed.select("_id", "_hash", F.col("_text").alias("text")), **settings)
     # Ranges of one document: bounded by its length.
     by_doc = spans.distinct().groupBy("_id", "_hash").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
-    rows = keyed.join(by_doc, ["_id", "_hash"], "left").select(*docs.columns, "_text", "_spans")
+    rows = keyed.join(by_doc, ["_id", "_hash"], "left").select("_doc", "_text", "_spans")
     schema = T.StructType([
-        *docs.schema.fields, T.StructField("_kept", T.BinaryType()),
+        rows.schema["_doc"], T.StructField("_kept", T.BinaryType()),
         T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))),
     ])
     range_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -314,3 +314,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.binary()), pa.array(removed, range_type)], names=schema.names)
 
     return rows.mapInArrow(cut_out, schema)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str | None = None, **settings: int) -> DataFrame:
+    """`docs` with the repeats cut out of the text. A character that a cut splits goes as a whole.
+
+    `size` names a column that is set to the new number of characters.
+    """
+    rows = remove_repeats(docs, doc_id, text, **settings)
+    schema = T.StructType([*rows.schema.fields[:1], T.StructField("_new", T.StringType())])
+
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=schema.names)
+
+    cut = rows.where(F.size("_removed") > 0).select("_doc", "_kept").mapInArrow(per_batch(decode), schema)
+    rows = rows.where(F.size("_removed") == 0).select("_doc", F.lit(None).cast("string").alias("_new")).union(cut)
+    new = {text: F.coalesce("_new", F.col("_doc")[text])} | ({size: F.when(F.col("_new").isNull(), F.col("_doc")[size]).otherwise(F.length("_new").cast(docs.schema[size].dataType))} if size else {})
+    return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
