@@ -2,8 +2,10 @@
 returns the new table with what could not be applied; nothing is overwritten in place.
 
 The big table is shuffled only if the changes are too many to broadcast.
-Ids are repeatable: the SHA-256 of all values of a row and the number of the
-copy among equal rows, so that the same batch inserted twice gives the same ids.
+Ids are repeatable: the SHA-256 of a row's natural key (fixed source: catalog,
+name, RA, Dec; point: object, time) and its number among the rows of the batch with
+that key, so that the same batch inserted twice gives the same ids. Of every batch,
+rows in = added + already there with equal values + rejected.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import wrap_ra
 from ..functions.values import double_key, row_key
-from ..schema import FIXED_SOURCES, MOVING_SOURCES, SERVICES, SOLARSYSTEM_OBJECTS, conform, names
+from ..schema import FIXED_SOURCES, MOVING_SOURCES, SERVICES, SOLARSYSTEM_OBJECTS, conform, folded, names
 from .lookups import raise_if_any
-from .numbering import number_copies
+from .numbering import number_occurrences
 from .skew import broadcast_if_small, dimension_join, is_small, restrict
 
 
@@ -39,14 +41,17 @@ def _split(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
 
 
-def position_fault(required: bool = True) -> Column:
-    """Why a position is not acceptable, else null."""
-    outside = (F.abs(F.col("dec_deg")) > 90.0) | F.isnan("dec_deg") | F.isnan("ra_deg")
+def position_fault(required: bool = True, columns: tuple[str, ...] = ("ra_deg", "dec_deg")) -> Column:
+    """Why a position is not acceptable, else null. `columns` are those that are there."""
+    outside, none = F.lit(False), F.lit(False)
+    for c in columns:
+        value = F.col(c)
+        none = none | value.isNull()
+        outside = outside | F.isnan(c) | (F.abs(value) == float("inf"))
+        if c == "dec_deg":
+            outside = outside | (F.abs(value) > 90.0)
     fault = F.when(outside, F.lit("position out of range"))
-    if required:
-        none = F.col("ra_deg").isNull() | F.col("dec_deg").isNull()
-        return F.when(none, F.lit("missing position")).otherwise(fault)
-    return fault
+    return F.coalesce(F.when(none, F.lit("missing position")), fault) if required else fault
 
 
 def _with_default(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -57,34 +62,46 @@ def _with_default(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows
 
 
-def _identify(rows: DataFrame, schema, kind: str, tag: str = "") -> tuple[DataFrame, DataFrame]:
+def _by_json(df: DataFrame, schema) -> DataFrame:
+    """Maps as JSON text, which unlike maps can be grouped and compared."""
+    for f in schema.fields:
+        if f.dataType.typeName() == "map":
+            df = df.withColumn(f.name, F.to_json(f.name))
+    return df
+
+
+def _from_json(df: DataFrame, schema, *more: str) -> DataFrame:
+    for f in schema.fields:
+        if f.dataType.typeName() == "map":
+            df = df.withColumn(f.name, F.from_json(f.name, "map<string,string>"))
+    return df.select(*names(schema), *more)
+
+
+def _identify(rows: DataFrame, schema, kind: str, natural: list[str], tag: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows in `schema` with an id, its first column, where the caller gave none; rejected).
 
-    Equal rows with one given id count once; different rows with one given id are rejected.
+    Equal rows with one given id count once; different rows with one given id are
+    rejected. Ids are made where the rows are: only rows whose `natural` key occurs
+    again, found by counting a hash of it, are shuffled to be numbered.
     """
     key, *values = names(schema)
     own = key in rows.columns
-    rows = conform(_with_default(rows, {key: "string"}), schema)
-    maps = [f.name for f in schema.fields if f.dataType.typeName() == "map"]
-    for m in maps:  # maps cannot be grouped, their JSON text can
-        rows = rows.withColumn(m, F.to_json(m))
-
-    def finish(df: DataFrame) -> DataFrame:
-        for m in maps:
-            df = df.withColumn(m, F.from_json(m, "map<string,string>"))
-        return df.select(*names(schema))
-
+    rows = _by_json(conform(_with_default(rows, {key: "string"}), schema), schema)
     doubles = {f.name for f in schema.fields if f.dataType.typeName() == "double"}
-    parts = [double_key(F.col(v)) if v in doubles else F.col(v) for v in values]
-    fresh = number_copies(rows.where(F.col(key).isNull()).drop(key), "_copy")
-    fresh = finish(fresh.withColumn(key, row_key(kind, F.lit(tag), *parts, F.col("_copy"))))
+    fresh = rows.where(F.col(key).isNull()).drop(key).withColumn("_natural", F.xxhash64(*natural))
+    again = fresh.groupBy("_natural").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_natural", F.lit(True).alias("_again"))
+    marked = fresh.join(broadcast_if_small(again), "_natural", "left").drop("_natural")
+    once = marked.where(F.col("_again").isNull()).select(*values, F.lit(1).cast("bigint").alias("_copy"))
+    fresh = once.unionByName(number_occurrences(marked.where("_again").select(*values), natural, "_copy"))
+    parts = [double_key(F.col(v)) if v in doubles else F.col(v) for v in natural]
+    fresh = _from_json(fresh.withColumn(key, row_key(kind, F.lit(tag), *parts, F.col("_copy"))), schema)
     if not own:
         return fresh, fresh.limit(0).withColumn("reason", F.lit("duplicate key"))
     given = rows.where(F.col(key).isNotNull()).distinct()
     repeated = given.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     marked = dimension_join(given, repeated, [key], "left")
-    clash = finish(marked.where(F.col("_n").isNotNull())).withColumn("reason", F.lit("duplicate key"))
-    return finish(marked.where(F.col("_n").isNull())).unionByName(fresh), clash
+    clash = _from_json(marked.where(F.col("_n").isNotNull()), schema).withColumn("reason", F.lit("duplicate key"))
+    return _from_json(marked.where(F.col("_n").isNull()), schema).unionByName(fresh), clash
 
 
 def _with_clashes(rejected: DataFrame, clash: DataFrame) -> DataFrame:
@@ -93,22 +110,31 @@ def _with_clashes(rejected: DataFrame, clash: DataFrame) -> DataFrame:
 
 
 def _append(table: DataFrame, rows: DataFrame, new: DataFrame, schema, rejected: DataFrame) -> Insert:
-    """Appends the rows whose id is not there yet; a row whose id is there is left out.
+    """Appends the rows whose id is not there yet. Of the others, those with equal values are there already; the rest are rejected.
 
     If the incoming `rows` are few, the table is only scanned for their ids, not shuffled.
     """
-    key = schema.fields[0].name
+    key, *values = names(schema)
     table = conform(table, schema)
-    there = restrict(table.select(key), new, [key], small=is_small(rows))
-    added = new.join(there, key, "left_anti").select(*names(schema))
-    return Insert(table.unionByName(added), added, rejected)
+    there = restrict(_by_json(table, schema), new, [key], small=is_small(rows)).dropDuplicates([key])
+    there = there.select(key, F.struct(*values).alias("_there"))
+    marked = _by_json(new, schema).join(there, key, "left")
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(v).eqNullSafe(F.col("_there")[v])
+    added = _from_json(marked.where(F.col("_there").isNull()), schema)
+    clash = marked.where(F.col("_there").isNotNull() & ~same).withColumn("reason", F.lit("duplicate key"))
+    return Insert(table.unionByName(added), added, _with_clashes(rejected, _from_json(clash, schema, "reason")))
 
 
 def fixed_rows(rows: DataFrame, catalog: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows in the fixed-source schema with defaults and ids, rejected)."""
+    rows = folded(rows, *names(FIXED_SOURCES))
     usable, rejected = _split(rows, position_fault())
     usable = usable.withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
-    named, clash = _identify(usable, FIXED_SOURCES, "fixed", catalog)
+    if "name" not in rows.columns:
+        usable = usable.withColumn("name", F.lit(None).cast("string"))
+    named, clash = _identify(usable, FIXED_SOURCES, "fixed", ["name", "ra_deg", "dec_deg"], catalog)
     return named, _with_clashes(rejected, clash) if "source_id" in rows.columns else rejected
 
 
@@ -123,30 +149,38 @@ def sso_id_of(name: Column) -> Column:
 
 
 def insert_sso(table: DataFrame, rows: DataFrame) -> Insert:
-    """Adds solar-system objects. Name and MPC id are unique, also against the table.
+    """Adds solar-system objects. Id, name and MPC id are unique, also against the table.
 
-    Equal rows count once. Rows that contradict each other over a name or an
-    MPC id are all rejected, since a batch has no first one.
+    Equal rows count once, and rows equal to one of the table are there already.
+    Rows that contradict each other over an id, a name or an MPC id are all rejected,
+    since a batch has no first one.
     """
-    rows = conform(_with_default(rows, {"sso_id": "string", "name": "string", "MPC_id": "bigint"}),
-                   SOLARSYSTEM_OBJECTS)
+    schema = names(SOLARSYSTEM_OBJECTS)
+    rows = _with_default(folded(rows, *schema), {"sso_id": "string", "name": "string", "MPC_id": "bigint"})
+    rows = conform(rows, SOLARSYSTEM_OBJECTS)
     usable, unnamed = _split(rows, F.when(F.col("name").isNull(), F.lit("missing name")))
     usable = usable.withColumn("sso_id", F.coalesce("sso_id", sso_id_of(F.col("name")))).distinct()
     table = conform(table, SOLARSYSTEM_OBJECTS)
-    one = F.count(F.lit(1))
     marked = usable
-    for column in ("name", "MPC_id"):
-        batch = usable.where(F.col(column).isNotNull()).groupBy(column).agg(one.alias(f"_{column}_rows"))
-        owner = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("sso_id").alias(f"_{column}_owner"))
-        marked = marked.join(batch, column, "left").join(owner, column, "left")
+    for column in ("sso_id", "name", "MPC_id"):
+        batch = usable.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(f"_{column}_rows"))
+        owner = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*schema)).alias(f"_{column}_owner"))
+        # Nulls match nothing: without them they do not meet in one task.
+        known = marked.where(F.col(column).isNotNull()).join(batch, column, "left").join(owner, column, "left")
+        marked = known.unionByName(marked.where(F.col(column).isNull()), allowMissingColumns=True)
 
     def clash(column: str) -> Column:
         return (F.col(f"_{column}_rows") > 1) | F.col(f"_{column}_owner").isNotNull()
 
-    reason = F.when(clash("name"), F.lit("name not unique")).when(clash("MPC_id"), F.lit("MPC_id not unique"))
-    there = F.col("_name_owner") == F.col("sso_id")
-    fresh, rejected = _split(marked.where(~F.coalesce(there, F.lit(False))), reason)
-    added = fresh.select(*names(SOLARSYSTEM_OBJECTS))
+    reason = F.lit(None).cast("string")
+    for column in ("sso_id", "MPC_id", "name"):
+        reason = F.when(clash(column), F.lit(f"{column} not unique")).otherwise(reason)
+    same = F.lit(True)
+    for column in schema:
+        same = same & F.col("_sso_id_owner")[column].eqNullSafe(F.col(column))
+    there = F.col("_sso_id_owner").isNotNull() & same
+    fresh, rejected = _split(marked.where(~there), reason)
+    added = fresh.select(*schema)
     return Insert(table.unionByName(added), added, unnamed.unionByName(rejected.select(*unnamed.columns)))
 
 
@@ -155,6 +189,7 @@ def insert_ephem(table: DataFrame, ssos: DataFrame, rows: DataFrame) -> Insert:
 
     Missing MPC id or name is filled in from the object.
     """
+    rows = folded(rows, *names(MOVING_SOURCES))
     rows = _with_default(rows, {"ephem_id": "string", "MPC_id": "bigint", "name": "string", "flux_mJy": "double"})
     owner = ssos.select(F.col("sso_id").cast("string").alias("sso_id"), F.col("MPC_id").alias("_mpc"),
                         F.col("name").alias("_name"))
@@ -172,22 +207,24 @@ def insert_ephem(table: DataFrame, ssos: DataFrame, rows: DataFrame) -> Insert:
         usable.withColumn("name", F.col("_name")).withColumn("MPC_id", F.col("_mpc"))
         .withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
     )
-    new, clash = _identify(usable, MOVING_SOURCES, "ephem")
+    new, clash = _identify(usable, MOVING_SOURCES, "ephem", ["sso_id", "time"])
     return _append(table, rows, new, MOVING_SOURCES, _with_clashes(rejected.drop("_mpc", "_name"), clash))
 
 
 def ephem_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows in the ephemeris schema with ids, rejected) for objects known to exist."""
+    rows = folded(rows, *names(MOVING_SOURCES))
     fault = F.coalesce(position_fault(), F.when(F.col("time").isNull(), F.lit("missing time")))
     usable, rejected = _split(rows, fault)
-    return _identify(usable, MOVING_SOURCES, "ephem")[0], rejected
+    return _identify(usable, MOVING_SOURCES, "ephem", ["sso_id", "time"])[0], rejected
 
 
 def insert_service(table: DataFrame, rows: DataFrame) -> Insert:
     """Adds providers; names may repeat."""
+    rows = folded(rows, *names(SERVICES))
     none = F.col("name").isNull() | F.col("config").isNull()
     usable, rejected = _split(rows, F.when(none, F.lit("missing name or config")))
-    new, clash = _identify(usable, SERVICES, "service")
+    new, clash = _identify(usable, SERVICES, "service", ["name", "config"])
     return _append(table, rows, new, SERVICES, _with_clashes(rejected, clash))
 
 
@@ -195,22 +232,29 @@ def insert_service(table: DataFrame, rows: DataFrame) -> Insert:
 
 def partial_update(
     table: DataFrame, updates: DataFrame, key: str, columns: list[str], order: str | None = None,
-    strict: bool = False,
+    strict: bool = False, unique: tuple[str, ...] = (), parents: dict[str, DataFrame] | None = None,
 ) -> Change:
     """Sets the non-null `columns` of `updates`; null leaves a value alone.
 
-    Rejected: no key, nothing set, a position out of range, or (without `order`)
-    several updates of one key. With `order`, later updates win column by
-    column. Each column's last value is a partial aggregate.
+    Rejected: no key, nothing set, a position out of range, (without `order`)
+    several updates of one key, (with it) no order. With `order`, later updates win
+    column by column, of equally late ones the greater value. Each column's last value
+    is a partial aggregate. All updates of a key are rejected if its new value of a
+    `unique` column is another row's or another update's, or if that of a column in
+    `parents` is not among that table's values.
     """
-    offered = {c.lower() for c in updates.columns}
-    present = [c for c in columns if c.lower() in offered]
+    updates = folded(updates, key, *columns, *([order] if order else []))
+    present = [c for c in columns if c in updates.columns]
     nothing = F.lit(True)
     for c in present:
         nothing = nothing & F.col(c).isNull()
     reason = F.when(F.col(key).isNull(), F.lit("missing key")).when(nothing, F.lit("nothing to update"))
-    if "dec_deg" in present:
-        reason = reason.when(F.abs(F.col("dec_deg")) > 90.0, F.lit("position out of range"))
+    placed = tuple(c for c in ("ra_deg", "dec_deg") if c in present)
+    if placed:
+        fault = position_fault(False, placed)
+        reason = reason.when(fault.isNotNull(), fault)
+    if order is not None:
+        reason = reason.when(F.col(order).isNull(), F.lit("missing order"))
     usable, rejected = _split(updates, reason)
     if "ra_deg" in present:
         usable = usable.withColumn("ra_deg", wrap_ra(F.col("ra_deg")))
@@ -221,9 +265,17 @@ def partial_update(
         rejected = rejected.unionByName(again.select(*rejected.columns))
         latest = marked.where(F.col("_many").isNull()).select(key, *present)
     else:
-        latest = usable.groupBy(key).agg(
-            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in present])
+        def rank(c: str) -> Column:
+            value = F.to_json(c) if updates.schema[c].dataType.typeName() == "map" else F.col(c)
+            return F.when(F.col(c).isNotNull(), F.struct(F.col(order), value))
+
+        latest = usable.groupBy(key).agg(*[F.max_by(c, rank(c)).alias(c) for c in present])
     small = is_small(updates)
+    refused = _refused(table, latest, key, [c for c in unique if c in present], {c: p for c, p in (parents or {}).items() if c in present})
+    if refused is not None:
+        bad = usable.join(refused, key)
+        rejected = rejected.unionByName(bad.select(*rejected.columns))
+        latest = latest.join(refused, key, "left_anti")
     fields = latest.select(F.col(key), *[F.col(c).alias(f"_new_{c.lower()}") for c in present])
     joined = dimension_join(table, fields, [key], "left", small)
     changed = {c.lower() for c in present}
@@ -238,18 +290,38 @@ def partial_update(
     return Change(new, missing, rejected)
 
 
+def _refused(table: DataFrame, latest: DataFrame, key: str, unique: list[str], parents: dict[str, DataFrame]) -> DataFrame | None:
+    """(key, reason) of updates whose values are in use, or are no value of the parent table."""
+    found = []
+    for c in unique:
+        values = latest.where(F.col(c).isNotNull()).select(key, c)
+        owners = table.select(F.col(key).alias("_owner"), c).union(values.select(F.col(key).alias("_owner"), c))
+        taken = values.join(owners, c).where(F.col(key) != F.col("_owner"))
+        found.append(taken.select(key, F.lit(f"{c} not unique").alias("reason")))
+    for c, parent in parents.items():
+        values = latest.where(F.col(c).isNotNull()).select(key, c)
+        found.append(values.join(parent.select(c), c, "left_anti").select(key, F.lit(f"unknown {c}").alias("reason")))
+    if not found:
+        return None
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
+    return rows.groupBy(key).agg(F.min("reason").alias("reason"))
+
+
 def update_source(table, updates, order=None, strict=False) -> Change:
     columns = ["ra_deg", "dec_deg", "flux_mJy", "name", "monitored", "pointing"]
     return partial_update(table, updates, "source_id", columns, order, strict)
 
 
 def update_sso(table, updates, order=None, strict=False) -> Change:
-    return partial_update(table, updates, "sso_id", ["name", "MPC_id"], order, strict)
+    return partial_update(table, updates, "sso_id", ["name", "MPC_id"], order, strict, ("name", "MPC_id"))
 
 
-def update_ephem(table, updates, order=None, strict=False) -> Change:
+def update_ephem(table, updates, order=None, strict=False, ssos: DataFrame | None = None) -> Change:
+    """With `ssos`, a point can only be given to an object that is there."""
     columns = ["sso_id", "MPC_id", "name", "time", "ra_deg", "dec_deg", "flux_mJy"]
-    return partial_update(table, updates, "ephem_id", columns, order, strict)
+    return partial_update(table, updates, "ephem_id", columns, order, strict, parents=None if ssos is None else {"sso_id": ssos})
 
 
 def update_service(table, updates, order=None, strict=False) -> Change:
@@ -265,6 +337,7 @@ class Cascade(NamedTuple):
 
 def update_sso_cascade(ssos, points, updates, order=None, strict=False) -> Cascade:
     """A changed name or MPC id also reaches the object's points."""
+    updates = folded(updates, "sso_id")
     change = update_sso(ssos, updates, order, strict)
     small = is_small(updates)
     changed = change.table.join(updates.select("sso_id").distinct(), "sso_id", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .skew import HOT_ROWS, hot_keys
+from .skew import HOT_ROWS
 
 
 def number_rows(
@@ -40,23 +40,22 @@ def number_rows(
     )
 
 
-def number_copies(df: DataFrame, out: str, block: int = HOT_ROWS) -> DataFrame:
-    """Equal rows numbered 1, 2, 3, ...
+def number_occurrences(df: DataFrame, keys: list[str], out: str, block: int = HOT_ROWS) -> DataFrame:
+    """Rows with equal `keys` numbered 1, 2, 3, ... in the order of their other columns; equal rows follow each other.
 
-    Copies are counted (map-side combined) and written out again from the count,
-    so a group of copies never has to meet in one task. Where groups of more
-    than `block` copies turn up, those are written out in blocks that are spread
-    over the cluster.
+    Equal rows are counted (map-side combined) and written out again from the count,
+    so a group of copies never has to meet in one task; where it has more than
+    `block` rows it is written out in blocks that are spread over the cluster.
     """
     cols = df.columns
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    rest = [c for c in cols if c not in keys]
+    before = Window.partitionBy(*keys).orderBy(*(rest or keys)).rowsBetween(Window.unboundedPreceding, -1)
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
     def write_out(groups: DataFrame, first, last) -> DataFrame:
-        return groups.withColumn(out, F.explode(F.sequence(first, last))).select(*cols, out)
+        return groups.withColumn(out, F.explode(F.sequence(first, last))).withColumn(out, F.col(out) + F.col("_before")).select(*cols, out)
 
     one, n = F.lit(1).cast("bigint"), F.col("_n")
-    if hot_keys(df, cols, block) is None:
-        return write_out(counted, one, n)
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(block)).cast("bigint"))
     many = counted.where(n > block).withColumn("_block", F.explode(blocks)).repartition(*cols, "_block")
     start = F.col("_block") * block

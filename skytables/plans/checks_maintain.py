@@ -184,6 +184,65 @@ def update_service(v):
     return done.select("service_id", "name", F.col("config")["ra_col"].alias("ra_col"))
 
 
+@query("insert_sso_rejected", """
+    SELECT name, mpc_id, 'name not unique' AS reason FROM solarsystem_objects
+    UNION ALL SELECT concat('fresh', CAST(s_suppkey AS VARCHAR)), mpc_id, 'MPC_id not unique'
+    FROM supplier JOIN solarsystem_objects ON sso_id = s_suppkey WHERE mpc_id IS NOT NULL""", "solarsystem_objects")
+def insert_sso_rejected(v):
+    """Known ids with another flag, and new names with the MPC id of a known object."""
+    known = v.solarsystem_objects
+    changed = known.withColumn("monitored", ~F.col("monitored"))
+    taken = known.join(v.table("supplier"), known.sso_id == F.col("s_suppkey")).where(F.col("MPC_id").isNotNull()).select(
+        F.lit(None).cast("string").alias("sso_id"), "MPC_id", F.concat(F.lit("fresh"), F.col("sso_id").cast("string")).alias("name"),
+        F.lit(False).alias("monitored"), F.lit(False).alias("pointing"))
+    return maintain.insert_sso(known, changed.unionByName(taken)).rejected.select("name", "mpc_id", "reason")
+
+
+@query("insert_given_ids", """
+    SELECT 'added' AS what, CAST(p_partkey + 10000000 AS VARCHAR) AS source_id FROM part
+    UNION ALL SELECT 'rejected', CAST(source_id AS VARCHAR) FROM fixed_sources WHERE source_id % 2 = 1""", "fixed_sources")
+def insert_given_ids(v):
+    """New ids are added; of the ids that are there, equal rows count as there and changed ones are rejected."""
+    there = v.fixed_sources.withColumn("dec_deg", F.when(F.col("source_id") % 2 == 1, -F.col("dec_deg") / 2 + 1e0).otherwise(F.col("dec_deg")))
+    new = v.table("part").select((F.col("p_partkey") + 10_000_000).alias("source_id"), F.lit(1e0).alias("ra_deg"), F.lit(2e0).alias("dec_deg"))
+    done = maintain.insert_fixed(v.fixed_sources, there.unionByName(new, allowMissingColumns=True))
+    return done.added.select(F.lit("added").alias("what"), "source_id").union(done.rejected.select(F.lit("rejected"), "source_id"))
+
+
+@query("insert_ephem_ids", """
+    SELECT count(*) AS n_added, count(*) AS n_ids FROM orders JOIN solarsystem_objects ON sso_id = o_custkey""", "solarsystem_objects")
+def insert_ephem_ids(v):
+    done = maintain.insert_ephem(v.moving_sources, v.solarsystem_objects, _new_points(v))
+    return done.added.agg(F.count("ephem_id").alias("n_added"), F.countDistinct("ephem_id").alias("n_ids"))
+
+
+@query("update_sso_rejected", """
+    SELECT a.sso_id, 'name not unique' AS reason FROM solarsystem_objects a
+    JOIN solarsystem_objects b ON b.sso_id = a.sso_id + 1""", "solarsystem_objects")
+def update_sso_rejected(v):
+    """Every object is to take the name of the next one."""
+    known = v.solarsystem_objects
+    following = known.select((F.col("sso_id") - 1).alias("sso_id"), "name")
+    updates = following.join(known.select("sso_id"), "sso_id")
+    return maintain.update_sso(known, updates).rejected.select("sso_id", "reason")
+
+
+@query("update_ephem_rejected", """
+    SELECT ephem_id, 'unknown sso_id' AS reason FROM moving_sources WHERE ephem_id % 3 = 0""", "moving_sources")
+def update_ephem_rejected(v):
+    updates = v.moving_sources.where(F.col("ephem_id") % 3 == 0).select("ephem_id", (F.col("sso_id") + 1_000_000_000).alias("sso_id"))
+    return maintain.update_ephem(v.moving_sources, updates, ssos=v.solarsystem_objects).rejected.select("ephem_id", "reason")
+
+
+@query("update_order_rejected", """
+    SELECT o_custkey AS source_id, 'missing order' AS reason FROM orders WHERE o_orderkey % 2 = 0""")
+def update_order_rejected(v):
+    updates = v.table("orders").select(
+        F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderkey")).alias("ord"),
+        F.col("o_totalprice").alias("flux_mJy"))
+    return maintain.update_source(v.fixed_sources, updates, order="ord").rejected.select("source_id", "reason")
+
+
 @query("delete_source", "SELECT * FROM fixed_sources WHERE source_id NOT IN (SELECT s_suppkey FROM supplier)",
        "fixed_sources")
 def delete_source(v):

@@ -82,6 +82,12 @@ def conform(df: DataFrame, schema: T.StructType, keep_ids: bool = False) -> Data
     return df.select(*[one(f) for f in schema.fields])
 
 
+def folded(df: DataFrame, *known: str) -> DataFrame:
+    """Columns that match a known name but for case get that name."""
+    proper = {k.lower(): k for k in known}
+    return df.toDF(*[proper.get(c.lower(), c) for c in df.columns])
+
+
 def require_columns(df: DataFrame, required: set[str], where: str = "input") -> None:
     """Raise naming the sorted missing columns; looks at the schema only, runs no job."""
     missing = sorted(required - set(df.columns))

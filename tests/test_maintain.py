@@ -27,7 +27,9 @@ def test_insert_keeps_given_ids(spark):
     twice = spark.createDataFrame([("m", 1.0, 2.0), ("m", 1.0, 2.0), ("n", 1.0, 2.0), ("n", 1.0, 3.0), ("a", 9.0, 9.0)], new.schema)
     done = maintain.insert_fixed(fixed(spark, [("a", 1, 1)]), twice)
     assert rows(done.added, "source_id") == [("m",)]
-    assert rows(done.rejected, "source_id", "reason") == [("n", "duplicate key")] * 2
+    assert rows(done.rejected, "source_id", "reason") == [("a", "duplicate key")] + [("n", "duplicate key")] * 2
+    named = twice.withColumnsRenamed({"source_id": "Source_Id", "ra_deg": "RA_DEG"})
+    assert rows(maintain.insert_fixed(fixed(spark, [("a", 1, 1)]), named).added, "source_id") == [("m",)]
 
 
 def test_insert_sso_is_unique(spark):
@@ -42,6 +44,28 @@ def test_insert_sso_is_unique(spark):
         ("name-a", "name not unique")], key=repr)
     again = maintain.insert_sso(done.table, spark.createDataFrame([("new", 60)], "name string, MPC_id bigint"))
     assert again.added.count() == 0 and again.rejected.count() == 0
+    other = maintain.insert_sso(done.table, spark.createDataFrame([("new", 61)], "name string, MPC_id bigint"))
+    assert other.added.count() == 0 and rows(other.rejected, "name", "reason") == [("new", "name not unique")]
+    given = spark.createDataFrame([("a", "z1", None), ("q", "z2", None), ("q", "z3", None), ("r", "z4", None)],
+                                  "SSO_ID string, name string, MPC_id bigint")
+    done = maintain.insert_sso(table, given)
+    assert rows(done.added, "sso_id") == [("r",)]
+    assert rows(done.rejected, "name", "reason") == [(n, "sso_id not unique") for n in ("z1", "z2", "z3")]
+
+
+def test_infinite_position_is_rejected(spark):
+    new = spark.createDataFrame([(float("inf"), 1.0), (float("nan"), 1.0), (1.0, float("-inf"))], "ra_deg double, dec_deg double")
+    done = maintain.insert_fixed(fixed(spark, [("a", 1, 1)]), new)
+    assert done.added.count() == 0 and rows(done.rejected, "reason") == [("position out of range",)] * 3
+
+
+def test_refined_point_is_reported(spark):
+    objects = ssos(spark, [("a",)])
+    kind = "sso_id string, time timestamp_ntz, ra_deg double, dec_deg double, flux_mJy double"
+    first = maintain.insert_ephem(points(spark, []), objects, spark.createDataFrame([("a", T0, 1.0, 1.0, 5.0)], kind))
+    again = maintain.insert_ephem(first.table, objects, spark.createDataFrame([("a", T0, 1.0, 1.0, 6.0)], kind))
+    assert first.added.count() == 1 and again.added.count() == 0
+    assert rows(again.rejected, "sso_id", "reason") == [("a", "duplicate key")]
 
 
 def test_insert_ephem_needs_its_object(spark):
@@ -93,6 +117,28 @@ def test_several_updates_of_one_key(spark):
     assert rows(unordered.table) == rows(table) and unordered.rejected.count() == 2
 
 
+def test_update_order_and_values(spark):
+    table = fixed(spark, [("a", 1, 2, 3.0)])
+    tie = updates(spark, [("a", 10.0, None, None, 1), ("a", 20.0, None, None, 1), ("a", 30.0, None, None, None)])
+    done = maintain.update_source(table, tie, order="ord")
+    assert rows(done.table, "flux_mJy") == [(20.0,)] and rows(done.rejected, "reason") == [("missing order",)]
+    bad = spark.createDataFrame([("a", float("nan")), ("b", float("inf"))], "source_id string, ra_deg double")
+    done = maintain.update_source(table, bad)
+    assert rows(done.table) == rows(table) and rows(done.rejected, "reason") == [("position out of range",)] * 2
+
+
+def test_update_keeps_keys_unique(spark):
+    objects = ssos(spark, [("a",), ("b",), ("c",)])
+    change = spark.createDataFrame([("a", "name-b"), ("b", "same"), ("c", "same"), ("x", "fresh")], "SSO_ID string, Name string")
+    done = maintain.update_sso(objects, change)
+    assert rows(done.table) == rows(objects) and rows(done.missing) == [("x",)]
+    assert rows(done.rejected, "sso_id", "reason") == [(k, "name not unique") for k in "abc"]
+    moving = points(spark, track("a", T0, hours(1), [(0, 0, None)]))
+    lost = spark.createDataFrame([("a-0", "nobody")], "ephem_id string, sso_id string")
+    done = maintain.update_ephem(moving, lost, ssos=objects)
+    assert rows(done.table) == rows(moving) and rows(done.rejected, "reason") == [("unknown sso_id",)]
+
+
 def test_sso_cascade(spark):
     objects = ssos(spark, [("a", True), ("b",)])
     moving = points(spark, track("a", T0, hours(1), [(0, 0, None)] * 2), track("b", T0, hours(1), [(0, 0, None)]))

@@ -162,10 +162,11 @@ def test_number_rows(spark, slice_rows):
 
 
 @pytest.mark.parametrize("block", [3, 10**6])
-def test_number_copies(spark, block):
-    df = spark.createDataFrame([("a", 1)] * 10 + [("b", None)] * 2 + [("c", 3)], "k string, v int")
-    assert rows(numbering.number_copies(df, "n", block)) == sorted(
-        [("a", 1, i) for i in range(1, 11)] + [("b", None, 1), ("b", None, 2), ("c", 3, 1)], key=repr)
+def test_number_occurrences(spark, block):
+    df = spark.createDataFrame([("a", 1)] * 10 + [("a", 2)] * 5 + [("b", None)] * 2 + [("c", 3)], "k string, v int")
+    assert rows(numbering.number_occurrences(df, ["k"], "n", block)) == sorted(
+        [("a", 1, i) for i in range(1, 11)] + [("a", 2, i) for i in range(11, 16)]
+        + [("b", None, 1), ("b", None, 2), ("c", 3, 1)], key=repr)
 
 
 def test_broadcast_only_when_measured_small(spark, monkeypatch):
