@@ -49,4 +49,7 @@ def jd_to_time(jd: Column) -> Column:
 
 def mpc_date(text: Column) -> Column:
     """`YYYY MM DD HHMMSS` (UT) to a time; anything else gives null."""
-    return F.try_to_timestamp(F.trim(text), F.lit("yyyy MM dd HHmmss")).cast("timestamp_ntz")
+    pattern = r"^(\d{4}) (\d{2}) (\d{2}) (\d{2})(\d{2})(\d{2})$"
+    text = F.trim(text)
+    # Straight to a time without zone: the session's zone and its clock changes have no part in it.
+    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, r"$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz"))

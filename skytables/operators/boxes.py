@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import ntz
+from ..schema import folded
 from .skew import HOT_ROWS, salted_join
 
 
@@ -53,8 +54,13 @@ def box_fixed(fixed: DataFrame, box: Box) -> DataFrame:
     return fixed.where(in_box(box))
 
 
+def _named(boxes: DataFrame) -> DataFrame:
+    return folded(boxes, "box_id", "ra_min", "ra_max", "dec_min", "dec_max", "t_min", "t_max")
+
+
 def split_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, rejected with `reason`). RA order is free: it says whether the box wraps."""
+    boxes = _named(boxes)
     no_bounds = (
         F.col("ra_min").isNull() | F.col("ra_max").isNull() | F.col("dec_min").isNull() | F.col("dec_max").isNull()
     )
@@ -80,6 +86,7 @@ def match_boxes(
     for the cells it covers (at most the whole grid, a fixed number). Cells that
     hold very many points are salted.
     """
+    boxes = _named(boxes)
     n_ra, n_dec = int(360 // cell_deg), int(180 // cell_deg)
     ra_lo, ra_hi = _index(F.col("ra_min"), cell_deg, n_ra), _index(F.col("ra_max"), cell_deg, n_ra)
     columns = F.when(F.col("ra_min") <= F.col("ra_max"), F.sequence(ra_lo, ra_hi)).otherwise(
@@ -106,6 +113,7 @@ def match_boxes(
 
 
 def boxes_fixed(fixed: DataFrame, boxes: DataFrame, cell_deg: float = 10.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    boxes = _named(boxes)
     bounds = [c for c in boxes.columns if c not in ("t_min", "t_max")]
     return match_boxes(fixed, boxes.select(*bounds), cell_deg, hot_rows)
 

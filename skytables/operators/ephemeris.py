@@ -16,9 +16,8 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
-from .skew import (
-    HOT_ROWS, MAX_HOT_KEYS, attach_hot, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved, spread,
-)
+from .numbering import number_occurrences
+from .skew import HOT_ROWS, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"
@@ -188,36 +187,33 @@ def _strict(result: DataFrame) -> DataFrame:
 
 # --- segments ------------------------------------------------------------------------------
 
-def time_slices(points: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def time_slices(points: DataFrame, hot_rows: int = HOT_ROWS, among: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(points with `_slice`, whether any object was cut); the points carry their time as `us`.
 
-    Objects with about `hot_rows` points or fewer stay whole (slice 0). A hotter
-    one is cut along time into equal widths, and its width is halved as long as
-    some slice is still too full, so that no window has to hold the object.
+    Objects with `hot_rows` points or fewer stay whole (slice 0). A larger one is cut
+    along time into equal widths, which shrink as long as some slice holds more than
+    twice that, so that no window has to hold the object. Counts are exact and widths
+    depend on the points only, so another layout of the table gives the same slices.
+    `among` names the objects that may be that large, if that is known.
     """
-    hot = hot_keys(points, ["sso_id"], hot_rows) if hot is None else hot
-    if hot is None:
+    some = points if among is None else points.join(among.select("sso_id"), "sso_id", "left_semi")
+    own = some.groupBy("sso_id").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    width = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("n") / F.lit(hot_rows)))).cast("bigint")
+    widths = saved(own.select("sso_id", "_lo", width.alias("_width")), "slices")
+    if not widths.take(1):
         return points.withColumn("_slice", F.lit(0).cast("bigint")), False
-    own = points.join(hot.select("sso_id"), "sso_id").groupBy("sso_id").agg(
-        F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count(F.lit(1)).alias("n"))
-    n_slices = F.ceil(F.col("n") / F.lit(hot_rows))
-    width = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo") + 1) / n_slices)).cast("bigint")
-    widths = own.select("sso_id", "_lo", width.alias("_width"))
-    rows = widths.limit(MAX_HOT_KEYS + 1).collect()
-    if len(rows) > MAX_HOT_KEYS:
-        return _slice(points, saved(widths, "slices")), True
-    sliced = points
-    for _ in range(40):
-        sliced = _slice(points, F.broadcast(points.sparkSession.createDataFrame(rows, widths.schema)))
+    while True:
+        sliced = _slice(points, broadcast_if_small(widths))
         full = (
-            sliced.where("_width > 1").groupBy("sso_id", "_slice").count()
-            .where(F.col("count") > 2 * hot_rows).select("sso_id").distinct().collect()
+            sliced.where("_width > 1").groupBy("sso_id", "_slice").count().where(F.col("count") > 2 * hot_rows)
+            .groupBy("sso_id").agg(F.max("count").alias("_most"))
         )
-        if not full:
-            break
-        again = {r[0] for r in full}
-        rows = [(r[0], r[1], max(1, r[2] // 2) if r[0] in again else r[2]) for r in rows]
-    return sliced, True
+        full = saved(full, "full-slices")
+        if not full.take(1):
+            return sliced, True
+        less = F.greatest(F.lit(1), F.floor(F.col("_width") * hot_rows / F.col("_most"))).cast("bigint")
+        widths = saved(widths.join(full, "sso_id", "left").select(
+            "sso_id", "_lo", F.when(F.col("_most").isNull(), F.col("_width")).otherwise(less).alias("_width")), "slices")
 
 
 def _slice(points: DataFrame, widths: DataFrame) -> DataFrame:
@@ -369,17 +365,15 @@ def packed(points: DataFrame, pack_rows: int = 100_000) -> DataFrame:
     several, `part` 0, 1, ... in time order; points that share a time and would
     overfill a part are shared out over `share` 0, 1, ...
     """
-    point = F.struct("time", "ra_deg", "dec_deg", "flux_mJy")
+    point = ("time", "ra_deg", "dec_deg", "flux_mJy")
     sliced, cut = time_slices(points.withColumn("us", unix_micros(F.col("time"))), pack_rows)
-    share = F.lit(0).cast("bigint")
+    sliced = sliced.select("sso_id", F.col("_slice").alias("part"), *point)
+    shared = sliced.withColumn("share", F.lit(0).cast("bigint"))
     if cut:
-        full = hot_keys(sliced, ["sso_id", "_slice"], 2 * pack_rows)
-        if full is not None:
-            n_shares = F.ceil(F.col("n_rows") / F.lit(pack_rows)).cast("bigint")
-            share = F.coalesce(spread(sliced, n_shares), F.lit(0)).cast("bigint")
-            sliced = attach_hot(sliced, full, ["sso_id", "_slice"])
-    return (
-        sliced.withColumn("share", share)
-        .groupBy("sso_id", F.col("_slice").alias("part"), "share")
-        .agg(F.count(F.lit(1)).alias("n_points"), F.array_sort(F.collect_list(point)).alias("points"))
-    )
+        key = ["sso_id", "part"]
+        full = saved(sliced.groupBy(*key).count().where(F.col("count") > 2 * pack_rows).select(*key), "full-slices")
+        numbered = number_occurrences(sliced.join(full, key, "left_semi"), key, "_n", pack_rows)
+        shares = numbered.withColumn("share", F.floor((F.col("_n") - 1) / pack_rows).cast("bigint")).drop("_n")
+        shared = shared.join(full, key, "left_anti").unionByName(shares)
+    return shared.groupBy("sso_id", "part", "share").agg(
+        F.count(F.lit(1)).alias("n_points"), F.array_sort(F.collect_list(F.struct(*point))).alias("points"))

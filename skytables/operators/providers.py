@@ -14,18 +14,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.angles import flat_distance, wrap_ra
 from .maintain import insert_fixed
-from .skew import HOT_ROWS, restrict, saved
+from .skew import HOT_ROWS, broadcast_if_small, restrict, saved
 from .sky_join import within_radius
 
-
-#: A search names its providers one by one in the plan, so their number is limited by what a plan can hold.
-MAX_PROVIDERS = 1_000
+NEEDED = ("name_col", "ra_col", "dec_col")
 
 
 class Provider(NamedTuple):
     name: str
     table: DataFrame
-    config: dict[str, str]
+    config: dict[str, str] | DataFrame  # one config, or a table of them in column `config`
 
 
 class Resolved(NamedTuple):
@@ -37,7 +35,9 @@ class Resolved(NamedTuple):
 def provider_table(provider: Provider) -> DataFrame:
     """(provider, name, ra_deg, dec_deg, flux_mJy) read through the provider's config."""
     config = provider.config
-    lacking = sorted({"name_col", "ra_col", "dec_col"} - set(config))
+    if isinstance(config, DataFrame):
+        return _through_configs(provider.name, provider.table, config)
+    lacking = sorted(set(NEEDED) - set(config))
     if lacking:
         raise ValueError(f"config of {provider.name} lacks {lacking}")
     flux = F.col(config["flux_col"]).cast("double") if "flux_col" in config else F.lit(None).cast("double")
@@ -47,17 +47,39 @@ def provider_table(provider: Provider) -> DataFrame:
         F.col(config["dec_col"]).cast("double").alias("dec_deg"), flux.alias("flux_mJy"))
 
 
-def load_providers(services: DataFrame, tables: dict[str, DataFrame]) -> list[Provider]:
-    """The registered services (`name`, `config` map) for which a table is at hand.
+def _through_configs(name: str, table: DataFrame, configs: DataFrame) -> DataFrame:
+    """`provider_table` for every config in a table: rows carry the columns that some config names, and each config picks from them."""
+    keys = F.map_keys("config")
+    bad = configs.where(F.size(F.array_intersect(keys, F.lit([*NEEDED]))) < len(NEEDED)).take(1)
+    if bad:
+        raise ValueError(f"config of {name} lacks {sorted(set(NEEDED) - set(bad[0].config))}")
+    known = {c.lower(): c for c in table.columns}
+    named = configs.select(F.explode(F.map_values("config")).alias("c")).distinct()
+    strange = named.where(~F.lower("c").isin(list(known))).take(1)
+    if strange:
+        raise ValueError(f"{name} has no column {strange[0].c}")
+    used = sorted(known[r.c] for r in named.select(F.lower("c").alias("c")).distinct().collect())  # no more than the table has columns
+    values = F.create_map(*[x for c in used for x in (F.lit(c.lower()), F.col(f"`{c}`").cast("string"))])
+    rows = table.select(F.lit(name).alias("provider"), values.alias("_values"))
+    each = configs.select(F.lit(name).alias("provider"), "config")
 
-    Only services named in `tables` are looked at, each distinct config once.
-    """
-    configs = F.array_sort(F.map_entries("config"))
-    listed = services.where(F.col("name").isin(sorted(tables))).select("name", configs.alias("entries")).distinct()
-    found = sorted(listed.limit(MAX_PROVIDERS + 1).collect())
-    if len(found) > MAX_PROVIDERS:
-        raise ValueError(f"more than {MAX_PROVIDERS} providers in one search")
-    return [Provider(r.name, tables[r.name], {e.key: e.value for e in r.entries}) for r in found]
+    def pick(key: str) -> Column:
+        return F.try_element_at("_values", F.lower(F.try_element_at("config", F.lit(key))))
+
+    return rows.join(broadcast_if_small(each), "provider").select(
+        "provider", pick("name_col").alias("name"), wrap_ra(pick("ra_col").cast("double")).alias("ra_deg"),
+        pick("dec_col").cast("double").alias("dec_deg"), pick("flux_col").cast("double").alias("flux_mJy"))
+
+
+def load_providers(services: DataFrame, tables: dict[str, DataFrame]) -> list[Provider]:
+    """The tables at hand that are registered as services (`name`, `config` map), each with its distinct configs."""
+    configs = F.map_from_entries("entries").alias("config")
+    found = []
+    for name in sorted(tables):
+        own = services.where(F.col("name") == name).select(F.array_sort(F.map_entries("config")).alias("entries")).distinct().select(configs)
+        if own.take(1):
+            found.append(Provider(name, tables[name], own))
+    return found
 
 
 def all_providers(providers: list[Provider]) -> DataFrame:

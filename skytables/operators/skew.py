@@ -16,7 +16,7 @@ from ..session import shared_folder
 HOT_ROWS = 2_000_000
 #: A side is broadcast only when it was measured to be no larger.
 BROADCAST_BYTES = 32 * 1024 * 1024
-#: At most this many hot keys are looked at on the driver; with more, the list stays distributed.
+#: At most this many hot keys are listed on the driver; with more, the list stays a table.
 MAX_HOT_KEYS = 10_000
 #: Rows of a key just at HOT_ROWS that the hot-key sample is expected to hold.
 SAMPLED_ROWS = 1_000
@@ -78,8 +78,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
     Counted on a sample, so that a key space as large as the data is not
     shuffled for it: at HOT_ROWS one row in 2,000. The estimate only decides how
-    rows are spread, never which rows are used. Up to MAX_HOT_KEYS keys come
-    back as a broadcast table.
+    rows are spread, never which rows are used.
     """
     share = min(1.0, SAMPLED_ROWS / hot_rows)
     sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=17)

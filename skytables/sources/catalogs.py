@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -25,15 +27,31 @@ def strip_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(`header`, `files`): the first lines of the files, and which files have each."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return first.groupBy("header").agg(F.collect_list("file").alias("files"))
+
+
 def _read_csv(spark: SparkSession, path: str, columns: dict[str, T.DataType]) -> DataFrame:
-    """CSV with a header. The header line alone is read to find the columns; values get fixed types."""
-    header = spark.read.text(path).first()
-    if header is None:
+    """CSV with headers, in which files may order their columns differently. Values get fixed types."""
+    found = _headers(spark, path).limit(2).collect()
+    if not found:
         raise ValueError(f"{path} is empty")
-    found = [c.strip() for c in header[0].split(",")]
+    if len(found) == 1:
+        return _read_one_header(spark, path, found[0].header, columns)
+    parts = [_read_one_header(spark, r.files, r.header, columns) for r in sorted(_headers(spark, path).collect())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_one_header(spark: SparkSession, path: str | list[str], header: str, columns: dict[str, T.DataType]) -> DataFrame:
+    found = [c.strip() for c in next(csv.reader([header]))]
     missing = sorted(set(columns) - set(found))
     if missing:
-        raise ValueError(f"Missing required columns in {path}: {missing}")
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
     schema = T.StructType([T.StructField(c, columns.get(c, TEXT)) for c in found])
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
 

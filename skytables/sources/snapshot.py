@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schema import TABLES, conform
+from ..schema import TABLES, conform, folded
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, partitions: int | None = None) -> None:
@@ -47,6 +47,7 @@ def between_days(spark: SparkSession, path: str, t_min: str, t_max: str, keep_id
 
 def upgrade_flags(df: DataFrame) -> DataFrame:
     """Adds `monitored` and `pointing`, false where absent or null."""
+    df = folded(df, "monitored", "pointing")
     for flag in ("monitored", "pointing"):
         have = flag in df.columns
         df = df.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) if have else F.lit(False))

@@ -108,6 +108,11 @@ def test_flags_and_dates(spark):
     assert [one(spark, values.to_flag(F.lit(x))) for x in ("True", "False", "maybe")] == [True, False, None]
     assert one(spark, times.mpc_date(F.lit("2024 01 05 123000"))) == datetime(2024, 1, 5, 12, 30)
     assert one(spark, times.mpc_date(F.lit("2024 13 05"))) is None
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, times.mpc_date(F.lit("2024 03 10 023000")).cast("string")) == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_keys_keep_null_apart(spark):

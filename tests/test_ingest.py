@@ -177,6 +177,15 @@ def test_snapshot(spark, tmp_path):
 def test_upgrade_flags(spark):
     old = fixed(spark, [("a", 1, 2)]).drop("pointing").withColumn("monitored", F.lit(None).cast("boolean"))
     assert rows(snapshot.upgrade_flags(old), "monitored", "pointing") == [(False, False)]
+    set_ = spark.createDataFrame([("a", True)], "source_id string, Monitored boolean")
+    assert rows(snapshot.upgrade_flags(set_), "monitored", "pointing") == [(True, False)]
+
+
+def test_files_with_other_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('ra,dec,"name",monitored\n1,2,"x,y",true\n')
+    (tmp_path / "b.csv").write_text("dec, ra,monitored,name\n4,3,false,z\n")
+    got = catalogs.read_text_catalog(spark, str(tmp_path))
+    assert rows(got, "ra", "dec", "name", "monitored") == [(1.0, 2.0, "x,y", "true"), (3.0, 4.0, "z", "false")]
 
 
 def test_downsample_in_slices(spark):

@@ -93,8 +93,12 @@ def test_load_providers(spark):
         "name string, config map<string,string>")
     table = providers_of(spark)[0].table
     loaded = providers.load_providers(services, {"Simbad": table, "VizieR": table})
-    assert [(p.name, p.config["ra_col"]) for p in loaded] == [("Simbad", "ra")]
-    assert providers.all_providers(loaded).count() == 3
+    assert [(p.name, [r.config["ra_col"] for r in p.config.collect()]) for p in loaded] == [("Simbad", ["ra"])]
+    assert rows(providers.all_providers(loaded)) == rows(providers.provider_table(providers_of(spark)[0]._replace(
+        config={"name_col": "id", "ra_col": "ra", "dec_col": "d"})))
+    many = spark.createDataFrame([("Simbad", {"name_col": "ID", "ra_col": "ra", "dec_col": "d", "n": str(i)}) for i in range(3)], services.schema)
+    with pytest.raises(ValueError, match="no column"):
+        providers.all_providers(providers.load_providers(many, {"Simbad": table}))
 
 
 def test_resolve_name(spark):

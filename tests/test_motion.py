@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytables.functions.times import unix_micros
-from skytables.operators import crossmatch, ephemeris
+from skytables.operators import crossmatch, ephemeris, skew
 from skytables.operators.boxes import Box
 from skytables.plans import unified
 from skytables.plans.registry import Views
-from tables import T0, fixed, hours, points, rows, seconds, ssos, track
+from tables import POINT, T0, fixed, hours, points, rows, seconds, ssos, track
 
 DATA = "/root/testdata/sf0.001"
 
@@ -212,3 +212,13 @@ def test_moving_match_slow_object(spark):
     assert rows(near, "det_id") == [(1,)]
     wide = crossmatch.crossmatch_moving(seen, table, 1.0, ra_mode="shortest")
     assert rows(wide, "det_id") == [(1,), (2,)]
+
+
+def test_packed_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 1)
+    rows_ = [p for k in range(7) for p in track(f"o{k}", T0, seconds(1 + k), [(i, 0, None) for i in range(40 + k)])]
+    rows_ += track("same", T0, seconds(0), [(i % 3, 0, None) for i in range(30)])
+    moving = spark.createDataFrame(rows_, POINT)
+    one, many = (rows(ephemeris.packed(moving.repartition(n), 5), "sso_id", "part", "share", "n_points", "points") for n in (1, 16))
+    assert one == many and sum(r[3] for r in one) == len(rows_)
+    assert max(r[3] for r in one) <= 10
