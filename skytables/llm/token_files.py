@@ -14,6 +14,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +36,22 @@ FILE_OPTIONS = {
     "parquet.enable.dictionary#shard_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Words whose ids a worker remembers; rarer ones are encoded again.
-CACHED_WORDS = 400_000
+#: Stretches whose ids a worker remembers; others are encoded again.
+CACHED_WORDS = 600_000
 #: Documents encoded together.
 STEP = 200
-#: White space of any reading, before a space. No token spans the change from other
-#: characters to white space, so a text without this is cut before each of its spaces.
-UNSAFE = re.compile("[%s] " % re.escape("".join(c for c in map(chr, range(0x10000)) if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf"))))
+#: Characters that regular expression libraries may class differently; a text with one is encoded whole.
+ODD = re.compile("[%s]" % re.escape("".join(
+    c for c in map(chr, range(0x10000)) if (c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf", "Co", "Cn")) and c not in "\t\n\v\f\r " and not 0xD800 <= ord(c) < 0xE000
+)))
+_LATIN = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
+#: Stretches that a byte-level pre-tokenizer never joins: Latin letters with the space before them; other
+#: characters, with what follows an apostrophe; white space of two characters or more with all that follows it.
+STRETCH = re.compile(rf"\s\s+\S*| ?[{_LATIN}]+| ?(?:[^\s{_LATIN}']|'[{_LATIN}]*)+|\s")
 
 
 class _Known(dict):
-    """Ids of remembered words, and of the words at hand in `now`."""
+    """Ids of remembered stretches, and of those at hand in `now`."""
 
     now: dict[str, bytes] = {}
 
@@ -54,41 +60,39 @@ class _Known(dict):
 
 
 class WordEncoder:
-    """Encodes texts with a byte-level tokenizer file, remembering the ids of words.
+    """Encodes texts with a byte-level tokenizer file, remembering the ids of short stretches.
 
-    Equal to encoding whole texts: a byte-level pre-tokenizer never joins a space to
-    what stands before it unless that is white space too. Texts where it is, and
-    those with a special token, are encoded whole.
+    Equal to encoding whole texts, as a byte-level pre-tokenizer cuts between
+    stretches too. Texts with odd characters or a special token, and all texts of
+    other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        before = self.tokenizer.pre_tokenizer
+        self.by_stretch = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        whole = {i for i, t in enumerate(texts) if UNSAFE.search(t) or any(s in t for s in self.special)}
-        words = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)]
+        split = STRETCH.findall
+        parts = [split(t) if self.by_stretch and not ODD.search(t) and not any(s in t for s in self.special) else [t] for t in texts]
         known = self.known
-        new = list({w for ws in words for w in ws[1:] if w not in known})
-        now = dict(zip(new, self._library([" " + w for w in new]), strict=True))
-        first, order = list({ws[0] for ws in words if ws}), sorted(whole)
-        heads = dict(zip(first, self._library(first), strict=True))
-        full = dict(zip(order, self._library([texts[i] for i in order]), strict=True))
-        known.now = now
-        out = [full[i] if i in whole else heads[ws[0]] + b"".join(map(known.__getitem__, ws[1:])) for i, ws in enumerate(words)]
-        for w in new:
+        new = list({p for ps in parts for p in ps if p not in known})
+        known.now = now = dict(zip(new, self._library(new), strict=True))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        for p in new:
             if len(known) >= CACHED_WORDS:
                 break
-            if len(w) <= 40:
-                known[w] = now[w]
+            if len(p) <= 40:
+                known[p] = now[p]
         return out
 
 
