@@ -342,10 +342,10 @@ def fixed_at(fixed: DataFrame, t, keep: list[str] = []) -> DataFrame:
     return fixed.select("source_id", *keep, ntz(t).alias("time"), *_fixed_at(ntz(t)))
 
 
-def fixed_at_times(fixed: DataFrame, times: list) -> DataFrame:
+def fixed_at_times(fixed: DataFrame, times: list, keep: list[str] = []) -> DataFrame:
     """Every fixed source at each time of a list the caller typed: no join, one row generator."""
     moments = fixed.withColumn("time", F.explode(F.array(*[ntz(t) for t in times])))
-    return moments.select("source_id", "time", *_fixed_at(F.col("time")))
+    return moments.select("source_id", *keep, "time", *_fixed_at(F.col("time")))
 
 
 def fixed_for(fixed: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -245,3 +245,50 @@ def boxes_rejected(v):
 def scan_fits(v):
     folder = write_parts(v.act_rows.select("radeg", "decdeg", "fluxjy", "name"))
     return fits.read_fits(v.spark, folder, split_bytes=500_000)
+
+
+# --- from files ----------------------------------------------------------------------------
+
+@query("ingest_websky_file", f"""
+    SELECT ra_deg, dec_deg, flux_jy * 1e3 AS flux_mjy, {IAU_SQL} AS name, false AS monitored, false AS pointing
+    FROM ({IAU_TICKS} FROM (SELECT flux_jy, dec_deg, {WEBSKY_RA} AS ra_deg FROM websky_rows WHERE NOT flux_jy < 95e-3))
+    """, "websky_rows")
+def ingest_websky_file(v):
+    folder = shared_folder(v.spark, "websky")
+    rows = v.websky_rows.select(F.col("flux_jy").alias(" flux(Jy)"), F.col("ra_deg").alias(" RA(deg)"), F.col("dec_deg").alias(" dec(deg) "))
+    rows.write.csv(folder, header=True)
+    return catalogs.ingest_websky(catalogs.read_websky(v.spark, folder), flux_lower_limit_jy=0.095).rows.select(*FIXED)
+
+
+@query("ingest_text_file", """
+    SELECT ra AS ra_deg, dec AS dec_deg, CAST(NULL AS DOUBLE) AS flux_mjy, name,
+           monitored = 'True' AS monitored, false AS pointing
+    FROM text_rows""", "text_rows")
+def ingest_text_file(v):
+    """Half of the files have their columns in another order."""
+    folder, odd = shared_folder(v.spark, "text"), F.pmod(F.hash("name"), F.lit(2)) == 1
+    v.text_rows.where(odd).select("ra", "dec", "name", "monitored").write.csv(folder, header=True)
+    v.text_rows.where(~odd).select("monitored", "dec", "ra", "name").write.mode("append").csv(folder, header=True)
+    return catalogs.ingest_text(catalogs.read_text_catalog(v.spark, folder)).rows.select(*FIXED)
+
+
+@query("ingest_act_file", """
+    SELECT radeg AS ra_deg, decdeg AS dec_deg, fluxjy * 1e3 AS flux_mjy, name,
+           fluxjy * 1e3 >= 2e1 AS monitored, fluxjy * 1e3 >= 3e2 AS pointing
+    FROM act_rows""", "act_rows")
+def ingest_act_file(v):
+    folder = write_parts(v.act_rows.select(
+        F.col("radeg").alias("raDeg"), F.col("decdeg").alias("decDeg"), F.col("fluxjy").alias("fluxJy"), "name"))
+    return catalogs.ingest_act(fits.read_fits(v.spark, folder, split_bytes=500_000)).rows.select(*FIXED)
+
+
+@query("ingest_jpl_file", f"""
+    SELECT CAST(split_part(designation, ' ', 1) AS BIGINT) AS mpc_id,
+           substr(designation, strpos(designation, ' ') + 1) AS name, {JPL_TIME} AS time, ra_deg, dec_deg, flux_mjy
+    FROM (SELECT *, row_number() OVER (PARTITION BY designation ORDER BY row_idx) AS rn FROM jpl_rows)
+    WHERE (rn - 1) % 10 = 0""", "jpl_rows")
+def ingest_jpl_file(v):
+    """Every tenth row of an object, in the order of the files and of the rows in them."""
+    folder = shared_folder(v.spark, "jpl")
+    v.jpl_rows.orderBy("row_idx").drop("row_idx").write.parquet(folder)
+    return jpl.ingest_jpl(jpl.read_jpl(v.spark, folder), every=10).points.select(*POINT)

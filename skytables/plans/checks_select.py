@@ -285,3 +285,37 @@ def pointing_sources(v):
 def box_at_time(v):
     found = unified.box_at_time(v.fixed_sources, v.solarsystem_objects, v.moving_sources, BOX, T_MIN, T_MAX, T_AT)
     return found.select("kind", "id", "name", *nine("ra_deg", "dec_deg", "flux_mJy"), "status")
+
+
+#: Moments inside the time range, at its edge, and before any validity (fixed values).
+MOMENTS = [T_AT, "2024-01-08 06:30:00", T_MAX, "1960-01-01 00:00:00"]
+
+
+def _at_times_sql(fixed: str, sso: str) -> str:
+    return f"""
+    , pts AS (SELECT * FROM moving_sources WHERE {RANGE}), seg AS ({SEGMENTS.format(points='pts')}),
+    moments AS (SELECT unnest([{', '.join(f"TIMESTAMP '{t}'" for t in MOMENTS)}]) AS t),
+    obj AS (SELECT sso_id, min(time) AS t_min, max(time) AS t_max, count(*) AS n FROM pts GROUP BY sso_id {sso})
+    SELECT 'fixed' AS kind, CAST(source_id AS VARCHAR) AS id, name, t AS time,
+           CASE WHEN year(t) >= 1970 THEN round(ra_deg, 9) END AS ra_deg, CASE WHEN year(t) >= 1970 THEN round(dec_deg, 9) END AS dec_deg,
+           CASE WHEN year(t) >= 1970 THEN round(nullif(flux_mjy, 0e0), 9) END AS flux_mjy,
+           CASE WHEN year(t) >= 1970 THEN 'ok' ELSE 'out_of_range' END AS status
+    FROM fixed_sources, moments WHERE {fixed}
+    UNION ALL
+    SELECT 'sso', CAST(s.sso_id AS VARCHAR), s.name, t, round({along_sql('ra', 't')}, 9), round({along_sql('dec', 't')}, 9),
+           round({flux_sql('t')}, 9),
+           CASE WHEN t < obj.t_min OR t > obj.t_max THEN 'out_of_range' WHEN n < 2 THEN 'too_few_points' ELSE 'ok' END
+    FROM obj JOIN solarsystem_objects s ON s.sso_id = obj.sso_id CROSS JOIN moments
+      LEFT JOIN seg ON seg.sso_id = obj.sso_id AND time0 <= t AND (t < time1 OR (t = time1 AND time1 = seg.t_max))"""
+
+
+@query("box_at_times", _at_times_sql(IN_BOX, f"HAVING bool_or({IN_BOX})"), *ALL)
+def box_at_times(v):
+    found = unified.box_at_times(v.fixed_sources, v.solarsystem_objects, v.moving_sources, BOX, T_MIN, T_MAX, MOMENTS)
+    return found.select("kind", "id", "name", "time", *nine("ra_deg", "dec_deg", "flux_mJy"), "status")
+
+
+@query("flagged_at_times", _at_times_sql("monitored", "HAVING sso_id IN (SELECT sso_id FROM solarsystem_objects WHERE monitored)"), *ALL)
+def flagged_at_times(v):
+    found = unified.flagged_at_times(v.fixed_sources, v.solarsystem_objects, v.moving_sources, "monitored", T_MIN, T_MAX, MOMENTS)
+    return found.select("kind", "id", "name", "time", *nine("ra_deg", "dec_deg", "flux_mJy"), "status")

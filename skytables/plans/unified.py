@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.times import ntz
 from ..operators.boxes import Box, in_box, in_times
 from ..operators.ephemeris import (
-    FIXED_T_MAX, FIXED_T_MIN, coverage_aggs, fixed_at, object_states, positions_from_states,
+    FIXED_T_MAX, FIXED_T_MIN, coverage_aggs, fixed_at, fixed_at_times, object_states, positions_for, positions_from_states,
+    with_point_in,
 )
 from ..operators.lookups import flagged
 from ..operators.skew import restrict
@@ -86,3 +87,31 @@ def box_at_time(
         F.lit("fixed").alias("kind"), F.col("source_id").cast("string").alias("id"), "name",
         "ra_deg", "dec_deg", "flux_mJy", "status")
     return placed.unionByName(moving)
+
+
+def _at_times(fixed: DataFrame, ssos: DataFrame, points: DataFrame, times: list, options: dict) -> DataFrame:
+    """Chosen sources at each time of a list the caller typed."""
+    placed = fixed_at_times(fixed, times, keep=["name"]).select(
+        F.lit("fixed").alias("kind"), F.col("source_id").cast("string").alias("id"), "name", "time", "ra_deg", "dec_deg", "flux_mJy", "status")
+    chosen = ssos.select("sso_id", "name")
+    asked = chosen.select("sso_id", F.explode(F.array(*[ntz(t) for t in times])).alias("time"))
+    moving = positions_for(points, asked, **options).join(chosen, "sso_id").select(
+        F.lit("sso").alias("kind"), F.col("sso_id").cast("string").alias("id"), "name", "time", "ra_deg", "dec_deg", "flux_mJy", "status")
+    return placed.unionByName(moving)
+
+
+def box_at_times(
+    fixed: DataFrame, ssos: DataFrame, points: DataFrame, box: Box, t_min, t_max, times: list, **options,
+) -> DataFrame:
+    """`get_box` evaluated at each of several times; `options` are those of `positions_for`."""
+    inside = points.where(in_times(t_min, t_max))
+    return _at_times(fixed.where(in_box(box)), with_point_in(ssos, inside, in_box(box)), inside, times, options)
+
+
+def flagged_at_times(
+    fixed: DataFrame, ssos: DataFrame, points: DataFrame, flag: str, t_min, t_max, times: list, box: Box | None = None, **options,
+) -> DataFrame:
+    """`flagged_sources` evaluated at each of several times."""
+    inside = points.where(in_times(t_min, t_max))
+    chosen = flagged(fixed, flag) if box is None else flagged(fixed, flag).where(in_box(box))
+    return _at_times(chosen, with_point_in(flagged(ssos, flag), inside, F.lit(True) if box is None else in_box(box)), inside, times, options)
