@@ -29,6 +29,16 @@ def saved(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of fixed-width keys that may be broadcast: some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """A written table of a few fixed-width columns, with a broadcast hint if it has no more than BROADCAST_ROWS
+    rows. Beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

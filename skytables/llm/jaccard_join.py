@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, row_key, saved, text_or_empty, whole_row
+from .common import as_bytes, broadcast_if_few, row_key, saved, text_or_empty, whole_row
 
 SHINGLE_WORDS = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
@@ -34,7 +34,11 @@ PERCENT = 75
 BAND = 16
 #: Documents sampled to find frequent segments, how often these must occur there, and how many are listed at most.
 SAMPLE_DOCS, SAMPLE_TIMES, SAMPLE_LIST = 10_000, 3, 200_000
-#: Shared segments that are asked for, where a set has enough of them.
+#: Pairs with one set that are compared in one task.
+PART_PAIRS = 2_000
+#: Rounds in which each set is compared with the likeliest center of another class, before classes are paired.
+STAR_ROUNDS = 2
+#: Segments indexed beyond those that the farthest partner may lack.
 SHARED = 2
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -114,31 +118,41 @@ class Frequent(NamedTuple):
     times: np.ndarray
 
 
-def index_entries(tokens: np.ndarray, frequent: Frequent | None, every: bool = False) -> tuple[np.ndarray, int]:
-    """The signatures a set is indexed by, and how many of them it shares with each partner at least.
+def index_entries(tokens: np.ndarray, frequent: Frequent | None, every: bool = False) -> list[tuple[np.ndarray, int]]:
+    """The signatures a set is indexed by in each of its bands, and how many of its own segments they are.
 
-    `every` gives all exact signatures.
+    That number is 0 where the set has too few segments and is indexed with all of
+    them and their one-deletion neighbourhoods. `every` gives all exact signatures.
     """
-    out, need = [], SHARED
+    out = []
     for band, differ in bands_of(len(tokens)):
         number, total, size, h = segments(tokens, band)
         exact = _signature(number, total, band)
         if every:
-            out.append(exact)
+            out.append((exact, len(exact)))
         elif len(exact) > differ:
             order = np.argsort(exact)
             if frequent is not None and len(frequent.signatures):
                 at = np.minimum(np.searchsorted(frequent.signatures, exact), len(frequent.signatures) - 1)
                 cost = np.where(frequent.signatures[at] == exact, frequent.times[at], 0)
                 order = np.lexsort((exact, cost))
-            out.append(exact[order[:differ + SHARED]])
-            need = min(need, len(exact) - differ)
+            first = exact[order[:differ + SHARED]]
+            out.append((first, len(first)))
         else:
             of = np.repeat(np.arange(len(number)), size)
             less = _signature(number[of], total[of] - h, band)[size[of] > 1]
-            out += [exact, less]
-            need = 1
-    return np.unique(np.concatenate(out)), need
+            out.append((np.unique(np.concatenate((exact, less))), 0))
+    return out
+
+
+def shared_at_least(size_a: int, own_a: int, size_b: int, own_b: int) -> int:
+    """How many signatures two sets that link have in common at least.
+
+    At most d of either set's segments differ from the other's. The indexed segments
+    of both are first ones of one order, so the equal ones among the shorter list are
+    in both lists.
+    """
+    return max(1, min(own_a, own_b) - (100 - PERCENT) * (size_a + size_b) // (100 + PERCENT))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -147,7 +161,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
 
 
-_SETS = "_id long, _hash long, n int, gid long, need int, signatures array<long>"
+_SETS = "_id long, _hash long, n int, gid long, own int, signatures array<long>, own2 int, signatures2 array<long>"
 
 
 def _indexed(rows: DataFrame, frequent: Frequent | None, every: bool = False) -> DataFrame:
@@ -159,17 +173,21 @@ def _indexed(rows: DataFrame, frequent: Frequent | None, every: bool = False) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sizes, ids, needs, lists = [], [], [], []
+                sizes, ids, own, lists = [], [], ([], []), ([], [])
                 for text in as_bytes(part.column(2)):
                     tokens = shingles(text)
                     gid = set_id(tokens) if len(tokens) else None
-                    found, need = (none, 0) if gid is None or gid in seen else index_entries(tokens, listed, every)
+                    found = [] if gid is None or gid in seen else index_entries(tokens, listed, every)
                     if gid is not None and len(seen) < 1_000_000:
                         seen.add(gid)
-                    sizes.append(len(tokens)), ids.append(gid), needs.append(need), lists.append(found)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.array(needs, pa.int32()), _lists(lists)],
-                    names=["_id", "_hash", "n", "gid", "need", "signatures"])
+                    sizes.append(len(tokens)), ids.append(gid)
+                    for i in range(2):
+                        signatures, k = found[i] if i < len(found) else (none, 0)
+                        own[i].append(k), lists[i].append(signatures)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()),
+                    pa.array(own[0], pa.int32()), _lists(lists[0]), pa.array(own[1], pa.int32()), _lists(lists[1]),
+                ], names=["_id", "_hash", "n", "gid", "own", "signatures", "own2", "signatures2"])
 
     return rows.mapInArrow(index, _SETS)
 
@@ -178,62 +196,68 @@ def frequent_segments(rows: DataFrame) -> Frequent:
     """Segments found often in a sample of about SAMPLE_DOCS documents. They only order the index; links never depend on them."""
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64("_hash", "_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    found = _indexed(some, None, every=True).select("gid", F.explode("signatures").alias("s")).distinct()
+    found = _indexed(some, None, every=True).select("gid", F.explode(F.concat("signatures", "signatures2")).alias("s")).distinct()
     times = found.groupBy("s").count().where(F.col("count") >= SAMPLE_TIMES).orderBy(F.desc("count"), "s").limit(SAMPLE_LIST).toPandas()
     signatures, count = times["s"].to_numpy().astype(np.int64).view(np.uint64), times["count"].to_numpy()
     order = np.argsort(signatures)
     return Frequent(signatures[order], count[order])
 
 
-_MET = "sig long, gid long, n int, need int, center long"
+_MET = "sig long, gid long, n int, own int, center long, want int"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of each signature with two sets or more. Rows come by signature, then size. A member's center is the
-    first set of its signature that it is not too large for; centers come with themselves."""
-    last, held, center, center_n = None, None, None, 0
+    first set of its signature that it is not too large for; `want` is what a link between them takes."""
+    last, held, center = None, None, None
     for batch in batches:
-        sig, n, gid, need = (batch.column(i).to_numpy() for i in range(4))
+        sig, n, gid, own = (batch.column(i).to_numpy() for i in range(4))
         same = sig[1:] == sig[:-1]
         busy = np.concatenate(([True], same)) | np.concatenate((same, [True]))  # the ends may go on in other batches
         out = []
         at = np.flatnonzero(busy)
-        for s, size, g, k in zip(sig[at].tolist(), n[at].tolist(), gid[at].tolist(), need[at].tolist(), strict=True):
+        for s, size, g, k in zip(sig[at].tolist(), n[at].tolist(), gid[at].tolist(), own[at].tolist(), strict=True):
             if s != last:
-                last, previous, center, center_n, held = s, g, g, size, (s, g, size, k, g)
+                last, previous, center, held = s, g, (size, k, g), (s, g, size, k, g, 0)
                 continue
             if g == previous:
                 continue
             if held is not None:
                 out.append(held)
                 held = None
-            if PERCENT * size > 100 * center_n:
-                center, center_n = g, size
-            out.append((s, g, size, k, center))
+            if PERCENT * size > 100 * center[0]:
+                center = (size, k, g)
+            out.append((s, g, size, k, center[2], shared_at_least(size, k, *center[:2])))
             previous = g
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=["sig", "gid", "n", "need", "center"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["sig", "gid", "n", "own", "center", "want"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (`a`, `b`) of set ids that link, by their exact shingles."""
-    both = (
-        pairs.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    )
+    """The pairs (`a`, `b`) of set ids that link, by their exact shingles.
+
+    The texts of all `a` with one `b` meet after that of `b`, in parts of about PART_PAIRS.
+    """
+    parts = F.ceil(F.col("n") / PART_PAIRS)
+    sized = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    members = sized.join(texts.withColumnRenamed("gid", "a"), "a").select("b", "part", "a", "text")
+    firsts = sized.select("b", "part").distinct().join(texts.withColumnRenamed("gid", "b"), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
+    both = members.union(firsts).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, None
+        right = None
         for batch in batches:
             kept = []
-            for i, (b, ta, tb) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if b != last:
-                    last, right = b, shingles(tb.as_py().encode())
-                left = shingles(ta.as_py().encode())
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * common >= PERCENT * (len(left) + len(right) - common):
+            for i, (a, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                tokens = shingles(text.as_py().encode())
+                if a is None:
+                    right = tokens
+                    continue
+                common = len(np.intersect1d(tokens, right, assume_unique=True))
+                if 100 * common >= PERCENT * (len(tokens) + len(right) - common):
                     kept.append(i)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return both.mapInArrow(check, "a long, b long")
 
@@ -265,12 +289,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         a, b, need = [], [], []
         low = 0
-        for i, (gid, n, label, k, center) in enumerate(rows):
+        for i, (gid, n, label, k) in enumerate(rows):
             while PERCENT * n > 100 * rows[low][1]:
                 low += 1
-            for other, _, other_label, other_k, other_center in rows[low:i]:
-                if label != other_label and center != other and other_center != gid:
-                    a.append(min(gid, other)), b.append(max(gid, other)), need.append(min(k, other_k))
+            for other, size, other_label, other_k in rows[low:i]:
+                if label != other_label:
+                    a.append(min(gid, other)), b.append(max(gid, other)), need.append(shared_at_least(n, k, size, other_k))
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32())], names=["a", "b", "need"])
                 a, b, need = [], [], []
@@ -293,24 +317,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text without words (empty, null, white space), which links with nothing. Equal
     rows are in one class and each gives a row; an empty table gives none.
     """
+    spark = docs.sparkSession
     rows = docs.select(*row_key(doc_id, text), text_or_empty(text).alias("text"))
     sets = saved(_indexed(rows, frequent_segments(rows)), "jaccard-sets")
-    entries = sets.select(F.explode("signatures").alias("sig"), "n", "gid", "need")
+    entries = sets.select(F.explode("signatures").alias("sig"), "n", "gid", "own").union(
+        sets.where("own2 > 0 or size(signatures2) > 0").select(F.explode("signatures2"), "n", "gid", "own2"))
     met = saved(entries.repartition("sig").sortWithinPartitions("sig", "n", "gid").mapInArrow(_stars, _MET), "jaccard-met")
     # Of every set that meets another, one document's text.
     ids = met.select("gid").distinct()
     where = sets.select("gid", "_id", "_hash").join(ids, "gid").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("at")).select("gid", "at.*")
-    texts = saved(rows.join(where, ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
-    links = saved(_verified(met.where("gid <> center").select(F.col("gid").alias("a"), F.col("center").alias("b")).distinct(), texts), "jaccard-links")
-    labels = components(links)
+    where = saved(where, "jaccard-where")
+    texts = saved(rows.join(broadcast_if_few(where), ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
+    stars = met.where("gid <> center").groupBy(F.col("gid").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.min("want").alias("want"))
+    # Likely links only: what they do not unite is paired below, whole.
+    stars = saved(stars.where("2 * times >= want").select("a", "b", "times"), "jaccard-stars")
+    links = tested = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "gid long, label long")
+    for _ in range(STAR_ROUNDS):
+        apart = _label(_label(stars.join(tested, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+        best = apart.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
+        best = saved(best, "jaccard-best")
+        links = links.union(saved(_verified(best, texts), "jaccard-links"))
+        tested = tested.union(best)
+        labels = components(links)
     # What the stars left open: sets of one signature in different classes.
-    labelled = met.join(labels, "gid", "left").select("sig", "gid", "n", F.coalesce("label", "gid").alias("label"), "need", "center")
+    labelled = _label(met.select("sig", "gid", "n", "own"), labels, "gid", "label")
     split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    open_ = labelled.join(split, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "gid")
-    pairs = open_.mapInArrow(_across, "a long, b long, need int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need"))
-    more = saved(_verified(pairs.where("times >= need").select("a", "b"), texts), "jaccard-links")
-    labels = components(links.union(more))
-    return sets.join(labels, "gid", "left").select("_id", "_hash", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("label", "gid").alias("class_id"))
+    open_ = labelled.join(split, "sig", "left_semi").select("sig", "gid", "n", "label", "own")
+    open_ = open_.repartition("sig").sortWithinPartitions("sig", "n", "gid")
+    pairs = open_.mapInArrow(_across, "a long, b long, need int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("need").alias("need"))
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = saved(pairs.where("times >= need").select("a", "b").join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
+    labels = components(links.union(saved(_verified(pairs, texts), "jaccard-links")))
+    return _label(sets.where("gid is not null"), labels, "gid", "class_id").select("_id", "_hash", F.col("n").cast("bigint").alias("n_shingles"), "class_id").union(
+        sets.where("gid is null").select("_id", "_hash", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
+
+
+def _label(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
+    """`rows` with the class of the set in `column`: its own id where it has no link."""
+    found = labels.select(F.col("gid").alias(column), F.col("label").alias("_found"))
+    return rows.join(found, column, "left").withColumn(out, F.coalesce("_found", column)).drop("_found")
 
 
 def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,10 +370,13 @@ def with_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each class, that with the smallest id (of equal rows one), and all without words."""
-    found = near_duplicates(docs, doc_id, text)
+    found = saved(near_duplicates(docs, doc_id, text).where("class_id is not null"), "jaccard-classes")
     by = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_hash")))
-    kept = found.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(by.alias("at")).select("at._id", "at._hash")
-    keyed = docs.select(whole_row(docs), *row_key(doc_id, text), text_or_empty(text).alias("_text"))
-    bare = ~F.col("_text").rlike(r"[^\x20\x09-\x0D]")
-    chosen = keyed.where(~bare).join(kept, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
-    return chosen.select("_doc.*").union(keyed.where(bare).select("_doc.*"))
+    kept = found.groupBy("class_id").agg(by.alias("at")).select("at._id", "at._hash")
+    keys = saved(found.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")), "jaccard-keys")
+    dropped = broadcast_if_few(saved(keys.join(kept, ["_id", "_hash"], "left_anti").select("_id", "_hash"), "jaccard-dropped"))
+    again = broadcast_if_few(saved(keys.where("n > 1").select("_id", "_hash"), "jaccard-again"))
+    rows = docs.select(whole_row(docs), *row_key(doc_id, text)).join(dropped, ["_id", "_hash"], "left_anti")
+    once = rows.join(again, ["_id", "_hash"], "left_anti")
+    more = rows.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return once.union(more).select("_doc.*")

@@ -293,11 +293,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tables. Repeated rows are each other's copies, also where their ids are equal or
     null. Other columns are carried as they are.
     """
-    keyed = docs.select(whole_row(docs), *row_key(doc_id, text), text_or_empty(text).alias("_text"))
-    spans = repeated_spans(keyed.select("_id", "_hash", F.col("_text").alias("text")), **settings)
+    spans = repeated_spans(docs.select(*row_key(doc_id, text), text_or_empty(text).alias("text")), **settings)
     # Ranges of one document: bounded by its length.
     by_doc = spans.distinct().groupBy("_id", "_hash").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
-    rows = keyed.join(by_doc, ["_id", "_hash"], "left").select("_doc", "_text", "_spans")
+    rows = docs.select(whole_row(docs), *row_key(doc_id, text)).join(by_doc, ["_id", "_hash"], "left")
+    rows = rows.select("_doc", F.coalesce(F.col("_doc")[text].cast("string"), F.lit("")).alias("_text"), "_spans")
     schema = T.StructType([
         rows.schema["_doc"], T.StructField("_kept", T.BinaryType()),
         T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))),
@@ -325,9 +325,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     schema = T.StructType([*rows.schema.fields[:1], T.StructField("_new", T.StringType())])
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=schema.names)
+        left = [b.decode("utf-8", "ignore") if cut else None for b, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=schema.names)
 
-    cut = rows.where(F.size("_removed") > 0).select("_doc", "_kept").mapInArrow(per_batch(decode), schema)
-    rows = rows.where(F.size("_removed") == 0).select("_doc", F.lit(None).cast("string").alias("_new")).union(cut)
+    rows = rows.mapInArrow(per_batch(decode), schema)
     new = {text: F.coalesce("_new", F.col("_doc")[text])} | ({size: F.when(F.col("_new").isNull(), F.col("_doc")[size]).otherwise(F.length("_new").cast(docs.schema[size].dataType))} if size else {})
     return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
