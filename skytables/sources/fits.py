@@ -27,20 +27,27 @@ FORMATS = {
     "J": (">i4", T.IntegerType()), "K": (">i8", T.LongType()), "E": (">f4", T.FloatType()),
     "D": (">f8", T.DoubleType()), "A": ("S", T.StringType()),
 }
+#: Letters that are not read, with their bytes an element (fixed values): complex numbers and descriptors of
+#: variable-length arrays. Bits (X) take a byte for eight.
+SKIPPED = {"C": 8, "M": 16, "P": 8, "Q": 16, "X": 1}
 SPLIT_BYTES = 64 * 1024 * 1024
 BATCH_ROWS = 65_536
 
 
 class Column:
-    """One column of the table: where it is in a row and how it is read."""
+    """One column of the table: where it is in a row and how it is read. One that is not read has no `kind`."""
 
-    def __init__(self, name: str, form: str, scale: float, zero: float):
-        found = re.fullmatch(r"(\d*)([LBIJKEDA])\S*", form.strip())
+    def __init__(self, name: str, form: str, scale: float, zero: float, null: int | None = None):
+        found = re.fullmatch(r"(\d*)([LBIJKEDACMPQX])\S*", form.strip())
         if found is None:
             raise ValueError(f"column {name}: format {form!r} is not supported")
         self.name, self.letter = name, found.group(2)
         self.repeat = int(found.group(1) or 1)
-        self.scale, self.zero = scale, zero
+        self.scale, self.zero, self.null = scale, zero, null
+        if self.letter in SKIPPED:
+            n = -(-self.repeat // 8) if self.letter == "X" else self.repeat
+            self.dtype, self.kind = (name, f"V{n * SKIPPED[self.letter]}"), None
+            return
         code, kind = FORMATS[self.letter]
         if self.letter == "A":
             self.dtype = (name, f"S{self.repeat}")
@@ -56,18 +63,24 @@ class Column:
         if self.letter == "A":
             text = np.char.rstrip(np.char.decode(raw, "ascii"), "\x00 ")
             return pa.array(text.tolist(), pa.string())
+        none = None
         if self.letter == "L":
             native = raw == b"T"
+            none = ~native & (raw != b"F")
         else:
             native = raw.astype(raw.dtype.newbyteorder("="))
+            if self.null is not None and self.letter in "BIJK":
+                none = native == self.null
         if self.scale != 1:
             native = native * self.scale + self.zero
         elif self.zero != 0:
             native = native.astype("f8" if self.letter in "ED" else "i8") + (
                 self.zero if self.letter in "ED" else int(self.zero))
         if self.repeat == 1:
-            return pa.array(native).cast(arrow)
-        return pa.array(list(native)).cast(arrow)
+            return pa.array(native, mask=none).cast(arrow)
+        if none is None or not none.any():
+            return pa.array(list(native)).cast(arrow)
+        return pa.array([[None if m else v for v, m in zip(*row, strict=True)] for row in zip(native.tolist(), none.tolist(), strict=True)]).cast(arrow)
 
 
 class Table:
@@ -80,11 +93,13 @@ class Table:
         if cards.get("XTENSION") != "BINTABLE":
             raise ValueError(f"HDU {hdu} is not a binary table")
         self.start, self.row_bytes, self.n_rows = start, int(cards["NAXIS1"]), int(cards["NAXIS2"])
-        self.columns = [
-            Column(cards[f"TTYPE{i}"], cards[f"TFORM{i}"], float(cards.get(f"TSCAL{i}", 1)), float(cards.get(f"TZERO{i}", 0)))
+        columns = [
+            Column(cards[f"TTYPE{i}"], cards[f"TFORM{i}"], float(cards.get(f"TSCAL{i}", 1)), float(cards.get(f"TZERO{i}", 0)),
+                   int(cards[f"TNULL{i}"]) if f"TNULL{i}" in cards else None)
             for i in range(1, int(cards["TFIELDS"]) + 1)
         ]
-        self.dtype = np.dtype([c.dtype for c in self.columns])
+        self.columns = [c for c in columns if c.kind is not None]
+        self.dtype = np.dtype([c.dtype for c in columns])
         if self.dtype.itemsize != self.row_bytes:
             raise ValueError(f"columns add up to {self.dtype.itemsize} bytes, a row has {self.row_bytes}")
 

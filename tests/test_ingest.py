@@ -154,9 +154,15 @@ def test_fits_columns():
     scaled = fits.Column("s", "J", 0.5, 1)
     assert scaled.decode(raw[:, 0].astype(">i4"), fits._arrow(scaled.kind)).to_pylist() == [1.5, 2.5]
     flag = fits.Column("f", "L", 1, 0)
-    assert flag.decode(np.array([b"T", b"F"]), fits._arrow(flag.kind)).to_pylist() == [True, False]
+    assert flag.decode(np.array([b"T", b"F", b""]), fits._arrow(flag.kind)).to_pylist() == [True, False, None]
+    missing = fits.Column("m", "I", 1, 0, 3)
+    assert missing.decode(raw[:, 0], fits._arrow(missing.kind)).to_pylist() == [1, None]
+    widths = {"11X": 2, "2C": 16, "M": 16, "1PD(5)": 8, "Q": 16, "0P": 0}
+    for form, width in widths.items():
+        skipped = fits.Column("c", form, 1, 0)
+        assert skipped.kind is None and np.dtype([skipped.dtype]).itemsize == width
     with pytest.raises(ValueError):
-        fits.Column("c", "1PD(5)", 1, 0)
+        fits.Column("c", "1Z", 1, 0)
 
 
 # --- snapshot ---------------------------------------------------------------------------------
