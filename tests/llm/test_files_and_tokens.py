@@ -46,7 +46,7 @@ def test_token_files_round_trip(spark, tmp_path):
     part = next(p for p in sorted((tmp_path / "t").glob("*.parquet")) if pq.read_metadata(p).num_rows)
     column = pq.read_metadata(part).row_group(0).column(0)
     assert "DELTA_BINARY_PACKED" in column.encodings and column.has_column_index
-    assert "tokens" not in rows.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert "tokens:array" not in rows.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     token_files.write_token_files(nothing(spark), str(tmp_path / "n"), BYTE_BPE, 2)
     assert token_files.read_token_files(spark, str(tmp_path / "n")).count() == 0
 
@@ -80,7 +80,11 @@ def test_archives(spark, least):
 
 
 def test_index_is_in_order(spark, tmp_path):
-    runs = warc.write_archives(pages(spark).repartition(4), str(tmp_path), captured=F.concat(F.lit("2024-01-0"), (F.col("page_id") % 9 + 1).cast("string")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = warc.write_archives(pages(spark), str(tmp_path), captured=F.concat(F.lit("2024-01-0"), (F.col("page_id") % 9 + 1).cast("string")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert runs.select("archive").distinct().count() > 1
     index = [(r.url_key, r.captured, r.id is not None, r.id) for r in warc.merge_runs(runs).orderBy("place").collect()]
     assert len(index) == pages(spark).count() and index == sorted(index, key=lambda r: (r[0], r[1], r[2], r[3] or ""))
