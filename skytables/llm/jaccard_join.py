@@ -10,9 +10,9 @@ so that a passage in very many documents is not what documents meet on. A set wi
 too few non-empty segments indexes all of them, and their one-deletion
 neighbourhoods, which doubles what each segment can bear.
 
-Sets that meet are compared by their exact shingles. A star (each set with the
-first one of its segment) is verified first; only sets of a segment that are then
-in different classes are still paired. No group is expanded into all its pairs.
+Sets that meet are compared by their exact shingles. Stars (each set with the one
+of its segments' leading sets that it shares most with) are verified first, for a few
+rounds; only sets of a segment that are then in different classes are still paired.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ SAMPLE_DOCS, SAMPLE_TIMES, SAMPLE_LIST = 10_000, 3, 200_000
 #: Pairs with one set that are compared in one task.
 PART_PAIRS = 2_000
 #: Rounds in which each set is compared with the likeliest center of another class, before classes are paired.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
+#: Sets of a signature, each leading a class, that others are compared with in a round.
+CENTERS = 4
 #: Segments indexed beyond those that the farthest partner may lack.
 SHARED = 2
 
@@ -203,35 +205,55 @@ def frequent_segments(rows: DataFrame) -> Frequent:
     return Frequent(signatures[order], count[order])
 
 
-_MET = "sig long, gid long, n int, own int, center long, want int"
+_MET = "sig long, gid long, n int, own int"
+_PAIRS = "a long, b long, want int"
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each signature with two sets or more. Rows come by signature, then size. A member's center is the
-    first set of its signature that it is not too large for; `want` is what a link between them takes."""
-    last, held, center = None, None, None
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each signature with two sets or more, each once. Rows come by signature, then set."""
+    last, previous, held = None, None, None
     for batch in batches:
-        sig, n, gid, own = (batch.column(i).to_numpy() for i in range(4))
+        sig, gid, n, own = (c.to_numpy() for c in batch.columns)
         same = sig[1:] == sig[:-1]
         busy = np.concatenate(([True], same)) | np.concatenate((same, [True]))  # the ends may go on in other batches
+        at, out = np.flatnonzero(busy), []
+        for row in zip(sig[at].tolist(), gid[at].tolist(), n[at].tolist(), own[at].tolist(), strict=True):
+            if row[0] != last:
+                last, previous, held = row[0], row[1], row
+            elif row[1] != previous:
+                if held is not None:
+                    out.append(held)
+                    held = None
+                out.append(row)
+                previous = row[1]
+        if out:
+            yield _columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["sig", "gid", "n", "own"])
+
+
+def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a signature with the first one of another class whose size fits, of a few that lead their classes.
+
+    Rows come by signature, those first that share most signatures with any other
+    set: of near copies, that is the text they were copied from.
+    """
+    last, centers = None, []
+    for batch in batches:
         out = []
-        at = np.flatnonzero(busy)
-        for s, size, g, k in zip(sig[at].tolist(), n[at].tolist(), gid[at].tolist(), own[at].tolist(), strict=True):
-            if s != last:
-                last, previous, center, held = s, g, (size, k, g), (s, g, size, k, g, 0)
-                continue
-            if g == previous:
-                continue
-            if held is not None:
-                out.append(held)
-                held = None
-            if PERCENT * size > 100 * center[0]:
-                center = (size, k, g)
-            out.append((s, g, size, k, center[2], shared_at_least(size, k, *center[:2])))
-            previous = g
+        for sig, gid, n, own, label in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            if sig != last:
+                last, centers = sig, []
+            for c_gid, c_n, c_own, c_label in centers:
+                if c_label != label and PERCENT * max(n, c_n) <= 100 * min(n, c_n):
+                    out.append((gid, c_gid, shared_at_least(n, own, c_n, c_own)))
+                    break
+            if len(centers) < CENTERS and all(c[3] != label for c in centers):
+                centers.append((gid, n, own, label))
         if out:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["sig", "gid", "n", "own", "center", "want"])
+            yield _columns(out, [pa.int64(), pa.int64(), pa.int32()], ["a", "b", "want"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,29 +344,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = saved(_indexed(rows, frequent_segments(rows)), "jaccard-sets")
     entries = sets.select(F.explode("signatures").alias("sig"), "n", "gid", "own").union(
         sets.where("own2 > 0 or size(signatures2) > 0").select(F.explode("signatures2"), "n", "gid", "own2"))
-    met = saved(entries.repartition("sig").sortWithinPartitions("sig", "n", "gid").mapInArrow(_stars, _MET), "jaccard-met")
+    met = saved(entries.select("sig", "gid", "n", "own").repartition("sig").sortWithinPartitions("sig", "gid").mapInArrow(_met, _MET), "jaccard-met")
     # Of every set that meets another, one document's text.
     ids = met.select("gid").distinct()
     where = sets.select("gid", "_id", "_hash").join(ids, "gid").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("at")).select("gid", "at.*")
     where = saved(where, "jaccard-where")
     texts = saved(rows.join(broadcast_if_few(where), ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
-    stars = met.where("gid <> center").groupBy(F.col("gid").alias("a"), F.col("center").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.min("want").alias("want"))
-    # Likely links only: what they do not unite is paired below, whole.
-    stars = saved(stars.where("2 * times >= want").select("a", "b", "times"), "jaccard-stars")
+    met = met.join(broadcast_if_few(saved(met.groupBy("gid").agg(F.count(F.lit(1)).alias("meets")), "jaccard-meets")), "gid")
     links = tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "gid long, label long")
     for _ in range(STAR_ROUNDS):
-        apart = _label(_label(stars.join(tested, ["a", "b"], "left_anti"), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-        best = apart.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b")
-        best = saved(best, "jaccard-best")
+        order = ["sig", F.col("meets").desc(), "gid"]
+        rows_ = _open(met, labels).select("sig", "gid", "n", "own", "label", "meets").repartition("sig").sortWithinPartitions(*order)
+        stars = rows_.mapInArrow(_stars, _PAIRS).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("want").alias("want"))
+        # Likely links only: what they do not unite is paired below, whole.
+        likely = stars.where("2 * times >= want").join(tested, ["a", "b"], "left_anti")
+        best = saved(likely.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b"), "jaccard-best")
+        if not best.take(1):
+            break
         links = links.union(saved(_verified(best, texts), "jaccard-links"))
         tested = tested.union(best)
-        labels = components(links)
+        labels = saved(components(links), "jaccard-labels")
     # What the stars left open: sets of one signature in different classes.
-    labelled = _label(met.select("sig", "gid", "n", "own"), labels, "gid", "label")
-    split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
-    open_ = labelled.join(split, "sig", "left_semi").select("sig", "gid", "n", "label", "own")
-    open_ = open_.repartition("sig").sortWithinPartitions("sig", "n", "gid")
+    open_ = _open(met, labels).select("sig", "gid", "n", "label", "own").repartition("sig").sortWithinPartitions("sig", "n", "gid")
     pairs = open_.mapInArrow(_across, "a long, b long, need int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("need").alias("need"))
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = saved(pairs.where("times >= need").select("a", "b").join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
@@ -353,9 +375,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         sets.where("gid is null").select("_id", "_hash", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
 
 
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the signatures whose sets are not all of one class yet, with their class as `label`."""
+    labelled = _label(met, labels, "gid", "label")
+    split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("sig")
+    return labelled.join(split, "sig", "left_semi")
+
+
 def _label(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     """`rows` with the class of the set in `column`: its own id where it has no link."""
-    found = labels.select(F.col("gid").alias(column), F.col("label").alias("_found"))
+    found = broadcast_if_few(labels.select(F.col("gid").alias(column), F.col("label").alias("_found")))
     return rows.join(found, column, "left").withColumn(out, F.coalesce("_found", column)).drop("_found")
 
 
