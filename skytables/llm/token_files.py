@@ -15,7 +15,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,31 @@ FILE_OPTIONS = {
 CACHED_WORDS = 600_000
 #: Documents encoded together.
 STEP = 200
-#: Characters that regular expression libraries may class differently; a text with one is encoded whole.
-ODD = re.compile("[%s]" % re.escape("".join(
-    c for c in map(chr, range(0x10000)) if (c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf", "Co", "Cn")) and c not in "\t\n\v\f\r " and not 0xD800 <= ord(c) < 0xE000
-)))
-_LATIN = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
-#: Stretches that a byte-level pre-tokenizer never joins: Latin letters with the space before them; other
+
+
+def _class(chars: Iterable[str]) -> str:
+    """The ranges of a regular expression's character class, for characters in ascending order."""
+    ranges: list[list[int]] = []
+    for c in map(ord, chars):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+#: Characters of the basic plane, without surrogates.
+_PLANE = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+#: Characters that regular expression libraries may class differently, and those of the planes above that can be
+#: letters (all but the block of pictures); a text with one is encoded whole.
+ODD = re.compile("[%s\U00010000-\U0001efff\U00020000-\U0010ffff]" % _class(
+    c for c in _PLANE if (c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf", "Co", "Cn")) and c not in "\t\n\v\f\r "
+))
+#: Letters of every script, as `\p{L}`.
+_LETTER = _class(c for c in _PLANE if unicodedata.category(c)[0] == "L")
+#: Stretches that a byte-level pre-tokenizer never joins: letters with the space before them; other
 #: characters, with what follows an apostrophe; white space of two characters or more with all that follows it.
-STRETCH = re.compile(rf"\s\s+\S*| ?[{_LATIN}]+| ?(?:[^\s{_LATIN}']|'[{_LATIN}]*)+|\s")
+STRETCH = re.compile(rf"\s\s+\S*| ?[{_LETTER}]+| ?(?:[^\s{_LETTER}']|'[{_LETTER}]*)+|\s")
 
 
 class _Known(dict):

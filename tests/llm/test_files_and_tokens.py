@@ -29,6 +29,26 @@ def test_stretches_equal_whole_texts():
     assert got == library(texts)
 
 
+def test_words_of_mixed_scripts_equal_whole_texts():
+    random.seed(5)
+    bits = ["a", "G", "ł", "μ", "µ", "ª", "Б", "日", "ع", "ก", "ḁ", "𝐀", "𠀀", "😀", "̈", "²", "Ⅷ", "٣", " ", "'", "'μ", "5", "-"]
+    texts = ["take 5 μg daily", "5 μg", "5 µg", "aБв", "Ωmega", "日本go", "x²y"]
+    texts += ["".join(random.choice(bits) for _ in range(random.randint(0, 12))) for _ in range(4000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_files.WordEncoder(BYTE_BPE).encode(texts)]
+    assert got == library(texts)
+
+
+def test_every_cut_of_stretches_is_one_of_the_pre_tokenizer():
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(BYTE_BPE).pre_tokenizer.pre_tokenize_str
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        text = f"a{c}b"
+        if not token_files.ODD.search(text):
+            ends = np.cumsum([len(x) for x in token_files.STRETCH.findall(text)]).tolist()
+            assert ends[-1] == len(text) and set(ends) <= {end for _, (_, end) in cut(text)}, text
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = awkward(spark)
     token_files.write_token_files(docs, str(tmp_path / "t"), BYTE_BPE, 2)
