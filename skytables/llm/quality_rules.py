@@ -25,8 +25,12 @@ from .common import as_bytes, saved, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
-MIN_ACCURACY = 0.995
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shouts", "n_distinct", "n_stutters"]
+#: What is believed of a rule before any vote is seen, in votes on good documents: of PRIOR_VOTES and as many
+#: again as PRIOR_SHARE of the documents, the share PRIOR_FALSE is false. Votes of the corpus outweigh it.
+PRIOR_VOTES, PRIOR_SHARE, PRIOR_FALSE = 1000, 0.01, 0.01
+#: No better than chance.
+CHANCE = 0.5
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_distinct", "n_stutters"]
 _PREFIX = "_rule_"
 
 
@@ -54,12 +58,15 @@ def features(text: bytes) -> list[int]:
     words = text.split()  # of bytes: at ASCII white space only
     lines = [x for x in text.split(b"\n") if x.split()]
     chars = sum(map(len, words)) - len(text.translate(None, bytes(set(range(256)) - set(range(0x80, 0xC0)))))
-    ascii_upper = len(text) - len(text.translate(None, bytes(range(65, 91))))
-    ascii_lower = len(text) - len(text.translate(None, bytes(range(97, 123))))
+    upper = len(text) - len(text.translate(None, bytes(range(65, 91))))
+    letters = upper + len(text) - len(text.translate(None, bytes(range(97, 123))))
+    if not text.isascii():
+        others = [c for c in text.translate(None, bytes(range(128))).decode(errors="replace") if c.isalpha()]
+        upper, letters = upper + sum(map(str.isupper, others)), letters + len(others)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return [
         len(words), chars, symbols, len(lines) - len(set(lines)), n_repeated(words), len(lines),
-        ascii_upper, ascii_lower, text.count(b"!"), len(set(words)), sum(map(eq, words, words[1:])),
+        upper, letters, text.count(b"!"), len(set(words)), sum(map(eq, words, words[1:])),
     ]
 
 
@@ -86,7 +93,7 @@ def _vote(reject: Column, keep: Column) -> Column:
 
 def default_rules() -> dict[str, Column]:
     """Votes by rule name, over the counts of `with_features`."""
-    words, letters = F.greatest(_f("n_words"), F.lit(1)), F.greatest(_f("n_upper") + _f("n_lower"), F.lit(1))
+    words, letters = F.greatest(_f("n_words"), F.lit(1)), F.greatest(_f("n_letters"), F.lit(1))
     long_enough = _f("n_words") >= 50
     return {
         "symbols": _vote(_f("n_symbols") > 0.1 * words, _f("n_symbols") < 0.02 * words),
@@ -105,22 +112,26 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior
 
     Starts from "a document that some rule rejects is bad"; `prior` is added to every
     count. Rules count as better than chance: a vote on a good document is to keep it
-    at least MIN_ACCURACY of the time, and no less often than on a bad one. This
-    fixes which of the two classes is the good one. A combination without any vote
-    gets the share of good documents.
+    at least half of the time, and no less often than on a bad one. This fixes which of
+    the two classes is the good one. How often a vote on a good document is false is
+    estimated, from PRIOR_FALSE on: where bad documents are rejected by a single rule
+    each, votes alone cannot tell them from good ones that it rejects falsely. A
+    combination without any vote gets the share of good documents.
     """
     if not len(counts):
         return np.zeros(0)
     good = np.where((patterns < 0).any(1), 0.1, 0.9)
     voted = patterns != 0
     keeps = patterns > 0
+    believed = PRIOR_VOTES + PRIOR_SHARE * counts.sum()
     for _ in range(rounds):
         score = []
         least = None
         for share in (good, 1 - good):
             w = (counts * share)[:, None]
-            right = ((w * keeps).sum(0) + prior) / ((w * voted).sum(0) + 2 * prior)
-            right = np.maximum(right, MIN_ACCURACY) if least is None else np.minimum(right, least)
+            n = believed if least is None else 0
+            right = ((w * keeps).sum(0) + prior + (1 - PRIOR_FALSE) * n) / ((w * voted).sum(0) + 2 * prior + n)
+            right = np.maximum(right, CHANCE) if least is None else np.minimum(right, least)
             least = right
             log = np.where(voted, np.where(keeps, np.log(right), np.log1p(-right)), 0).sum(1)
             score.append(log + np.log(((counts * share).sum() + prior) / (counts.sum() + 2 * prior)))

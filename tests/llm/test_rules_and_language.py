@@ -53,6 +53,30 @@ def test_votes_are_weighed():
     assert len(quality_rules.fit_votes(np.zeros((0, 3), int), np.zeros(0))) == 0
 
 
+@pytest.mark.parametrize("false", [0.01, 0.02, 0.03, 0.05])
+def test_false_votes_are_found_out(false):
+    rng = np.random.default_rng(2)
+    good = rng.random(50_000) < 0.85
+    votes = np.stack([np.where(rng.random(good.size) < 0.2, 0, np.where(rng.random(good.size) < np.where(good, false, hit), -1, 1))
+                      for hit in (0.9, 0.8, 0.7, 0.6, 0.5, 0.5, 0.4, 0.4)], 1)
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    kept = (quality_rules.fit_votes(patterns, counts.astype(float)) >= 0.5)[inverse.reshape(-1)]
+    assert (~kept[good]).mean() < 0.2 * (votes[good] < 0).any(1).mean() and (~kept[good]).mean() < 0.012
+    assert kept[~good].mean() < 0.1
+
+
+@pytest.mark.parametrize("text, upper, letters", [("aB1", 1, 2), ("ПРИвет ok", 3, 8), ("USA 日本語 ǅ²µ", 3, 8), ("éÉ!\xa0😀", 1, 2)])
+def test_letters_of_all_scripts_count(text, upper, letters):
+    counts = dict(zip(quality_rules.FEATURES, quality_rules.features(text.encode()), strict=True))
+    assert (counts["n_upper"], counts["n_letters"]) == (upper, letters)
+
+
+def test_capitals_in_another_script_are_no_shouting(spark):
+    docs = spark.createDataFrame([(1, "тихий текст о США и NATO " * 9), (2, "ГРОМКИЙ ТЕКСТ " * 15)], "doc_id long, text string")
+    rows = quality_rules.with_features(docs).select("doc_id", quality_rules.default_rules()["shouting"].alias("vote"))
+    assert dict(map(tuple, rows.collect())) == {1: 0, 2: -1}
+
+
 def test_rules_agree_with_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = quality_rules.judge(quality_rules.with_features(docs)).join(labels, "doc_id").where("not _rule_base_failed")
