@@ -23,6 +23,17 @@ OVERHEAD = 16
 SHARD_PIECES = 50_000
 
 
+def fill(room: int, counts: list[int], have: int) -> int:
+    """Content that pieces still to come put into `room`, longest first; bit k of `have` says that counts[k] > 0."""
+    filled, most = 0, room
+    while longest := max(0, (have & ((2 << most) - 1)).bit_length() - 1):
+        n = min(counts[longest], room // longest)
+        filled += n * longest
+        room -= n * longest
+        most = min(room, longest - 1)
+    return filled
+
+
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequence number, place in it and the sequence's length, for each piece.
 
@@ -31,7 +42,8 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
     """
     capacities = tuple(sorted(capacities))
     order = np.argsort(-lengths, kind="stable")
-    left = int(lengths.sum())
+    counts = np.bincount(lengths.astype(np.int64), minlength=1).tolist()  # pieces still to come by length
+    have = sum(1 << k for k, n in enumerate(counts) if n)
     bins = np.zeros(len(lengths), np.int64)
     place = np.zeros(len(lengths), np.int64)
     room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open sequences by the room left
@@ -39,6 +51,9 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
     filled: list[int] = []
     size: list[int] = []
     for i, length in zip(order.tolist(), lengths[order].tolist(), strict=True):
+        counts[length] -= 1
+        if not counts[length]:
+            have &= ~(1 << length)
         fits = free >> length
         if fits:
             r = length + (fits & -fits).bit_length() - 1
@@ -46,13 +61,12 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, overhead
             if not room[r]:
                 free &= ~(1 << r)
         else:
-            # A longer sequence costs less a unit only as far as there is content left to fill it.
-            k, r = len(size), min((c for c in capacities if c >= length), key=lambda c: ((overhead + c) / max(1, length + min(c - length, left - length)), c))
+            # A longer sequence costs less a unit only as far as the pieces still to come fill it.
+            k, r = len(size), min((c for c in capacities if c >= length), key=lambda c: ((overhead + c) / max(1, length + fill(c - length, counts, have)), c))
             size.append(r)
             filled.append(0)
         bins[i], place[i] = k, filled[k]
         filled[k] += length
-        left -= length
         if r > length:
             room[r - length].append(k)
             free |= 1 << (r - length)

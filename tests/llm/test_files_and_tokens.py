@@ -214,6 +214,15 @@ def test_packing_holds(spark):
     assert lengths.sum() / sum(used.values()) > 0.97
 
 
+def test_opened_length_fits_what_is_to_come():
+    lengths = np.random.default_rng(9).integers(2800, 3001, 2000)  # two of them leave 2,192 of 8,192 free at least
+    bins, _, capacity = packing.pack(lengths, (3000, 8192), 16)
+    assert len(set(bins.tolist())) == 2000 and set(capacity.tolist()) == {3000}
+    small = np.concatenate((lengths, np.full(2000, 2000)))  # these fill the rest of 8,192
+    assert 8192 in set(packing.pack(small, (3000, 8192), 16)[2].tolist())
+    assert packing.fill(10, [0, 1, 0, 0, 2], 0b10010) == 9 and packing.fill(3, [5], 1) == 0 and packing.fill(0, [1, 1], 3) == 0
+
+
 def test_packing_on_awkward_rows(spark):
     docs = awkward(spark)
     rows = packing.best_fit(docs, F.length("text")).collect()
