@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import fingerprints, jaccard_join, language_id, packing, quality_rules, sentence_pieces, suffix_dedup, token_files, url_filter, warc
-from .common import table
+from . import (
+    fingerprints, jaccard_join, language_id, license_scans, packing, quality_rules, ranked_search, sentence_pieces, suffix_dedup, token_files,
+    url_filter, vector_codes, warc,
+)
+from .common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,3 +144,101 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of byte tokens, with an end token after each document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.best_fit(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 1)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    return ranked_search.search(docs, items).select("item_id", "rank", "doc_id", "score")
+
+
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+size AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM size),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+weights AS (SELECT item_id, term, count(*) * CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM asked JOIN df USING (term), corpus GROUP BY item_id, term, docs, df),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+    FROM weights JOIN tf USING (term) JOIN size USING (doc_id), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op12_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    rows = license_scans.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("_doc.doc_id", *license_scans.summary(rows))
+
+
+def _license_sql() -> str:
+    """Every block against every template, without filters."""
+    block, stride, percent = license_scans.BLOCK, license_scans.STRIDE, license_scans.THRESHOLD
+    values = ", ".join(
+        f"('{t.label}', {str(t.phrase).lower()}, {license_scans.words_of(t.text)!r})" for t in license_scans.PHRASES + license_scans.NOTICES)
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+templates(label, phrase, t) AS (VALUES {values}),
+blocks AS (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {block}) / {stride}e0) AS BIGINT)) * {stride} + 1, {stride})) AS start FROM words),
+met AS (SELECT doc_id, label, len(list_intersect(w[start + 1:start + {block}], t)) / CAST(len(list_distinct(t)) AS DOUBLE) AS share
+    FROM blocks, templates WHERE NOT phrase AND 100 * len(list_intersect(w[start + 1:start + {block}], t)) >= {percent} * len(list_distinct(t))),
+places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(t)] = t)) AS word FROM words, templates WHERE phrase),
+places_of AS (SELECT doc_id, count(*) AS n, min(word) AS first_word, max(word) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+met_of AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM met GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(p.n, 0) AS n_base, p.first_word, p.last_word,
+    array_to_string(list_sort(coalesce(p.labels, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+    greatest(CASE WHEN p.n > 0 THEN 1e0 ELSE 0e0 END, coalesce(m.share, 0e0)) AS score
+FROM words LEFT JOIN places_of p USING (doc_id) LEFT JOIN met_of m USING (doc_id)
+"""
+
+
+ORACLE_SQL["op12_license_scans"] = _license_sql()
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, books = vector_codes.encode(table(spark, folder, "embeddings"))
+    rows = vector_codes.with_label_error(saved(rows, "vector-codes"))
+    code = F.array_join(F.transform("_code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return rows.select(
+        "_doc.vec_id", code.alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"),
+        F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """All distances of every round; sums in doubles, which are exact at this size."""
+    parts, entries, rounds, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (SELECT x.vec_id, x.part, arg_min(b.entry, {{'d': list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v), 'e': b.entry}}) AS entry,
+    min(list_dot_product(x.v, x.v) - 2 * list_dot_product(x.v, b.v) + list_dot_product(b.v, b.v)) AS d
+    FROM x JOIN b{r} b USING (part) GROUP BY x.vec_id, x.part)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT part, entry, pos, floor(sum(c) / count(*)) AS c FROM (
+    SELECT part, entry, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM a{r} JOIN x USING (vec_id, part)) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list(c ORDER BY pos) AS v FROM s{r} GROUP BY ALL),
+b{r + 1} AS (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor({scale} * CAST(v AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+x AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) AS p(part)),
+starts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}),
+b0 AS (SELECT part, entry, v FROM starts JOIN x USING (vec_id)),{','.join(steps).replace(' AS (', ' AS MATERIALIZED (')},
+codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(list_aggregate(list_transform(v, lambda c: CAST(c AS BIGINT)), 'string_agg', ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books
+"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _codes_sql()
