@@ -207,7 +207,7 @@ ORACLE_SQL["op12_license_scans"] = _license_sql()
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     rows, books = vector_codes.encode(table(spark, folder, "embeddings"))
     rows = vector_codes.with_label_error(saved(rows, "vector-codes"))
-    code = F.array_join(F.transform("_code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    code = F.array_join(F.transform("_code", lambda c: F.lpad(F.lower(F.hex(c.cast("int"))), 2, "0")), "")
     return rows.select(
         "_doc.vec_id", code.alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"),
         F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))

@@ -38,7 +38,7 @@ AT_ONCE = 1024
 
 
 def largest(width: int) -> int:
-    """Components up to this size keep squared distances of `width` components in 64 bits."""
+    """Components below this size are ints, and squared distances of `width` of them fit 64 bits."""
     return 2 ** ((62 - math.ceil(math.log2(max(width, 1)))) // 2 - 1)
 
 
@@ -132,8 +132,8 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1), kind))
 
 
-_STATE = "_a array<int>, _upper array<double>, _outer array<double>, _near array<smallint>, _low array<double>, _depth array<int>"
-_FIELDS = (("a", pa.int32()), ("upper", pa.float64()), ("outer", pa.float64()), ("near", pa.int16()), ("low", pa.float64()), ("depth", pa.int32()))
+_STATE = "_a array<smallint>, _upper array<double>, _outer array<double>, _near array<smallint>, _low array<float>, _depth array<smallint>"
+_FIELDS = (("a", pa.int16()), ("upper", pa.float64()), ("outer", pa.float64()), ("near", pa.int16()), ("low", pa.float32()), ("depth", pa.int16()))
 
 
 def _assigned(rows: DataFrame, books: np.ndarray, moves: np.ndarray | None, b: int, new_b: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _assigned(rows: DataFrame, books: np.ndarray, moves: np.ndarray | None, b: i
     parts, entries, width = books.shape
     first = moves is None
     base = rows.select("_doc", "_id", "_x")
-    schema = f"_doc {base.schema['_doc'].dataType.simpleString()}, _id {base.schema['_id'].dataType.simpleString()}, _x array<bigint>, {_STATE}"
+    schema = f"_doc {base.schema['_doc'].dataType.simpleString()}, _id {base.schema['_id'].dataType.simpleString()}, _x array<int>, {_STATE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -160,10 +160,11 @@ def _assigned(rows: DataFrame, books: np.ndarray, moves: np.ndarray | None, b: i
                         for (name, _), w in zip(_FIELDS, (1, 1, 1, kept, kept, 1), strict=True):
                             value = _array(batch.column(f"_{name}"), parts * w).reshape(n, parts, w)[:, p]
                             setattr(part, name, np.array(value if w == kept and name in ("near", "low") else value[:, 0]))
-                        part.a, part.near = part.a.astype(np.int64), part.near.astype(np.int64)
+                        part.a, part.near, part.low = part.a.astype(np.int64), part.near.astype(np.int64), part.low.astype(np.float64)
                         part.moved(moves[p])
                         part.assign(own, book)
                     part.cut(min(new_b, entries - 1))
+                    part.low = np.nextafter(part.low.astype(np.float32), np.float32(-np.inf))  # never above the bound
                     done.append(part)
                 state = [_lists(np.stack([getattr(q, name).reshape(n, -1) for q in done], 1).reshape(n, -1), kind) for name, kind in _FIELDS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *state],
@@ -180,7 +181,7 @@ def _sums(rows: DataFrame, parts: int, entries: int, width: int) -> tuple[np.nda
         total, count = np.zeros((parts * entries, width), np.int64), np.zeros(parts * entries, np.int64)
         for batch in batches:
             x = _array(batch.column(0), parts * width).reshape(-1, width).astype(np.int64)
-            at = (_array(batch.column(1), parts) + np.arange(parts) * entries).reshape(-1)
+            at = (_array(batch.column(1), parts).astype(np.int64) + np.arange(parts) * entries).reshape(-1)
             by = np.argsort(at, kind="stable")
             found, start = np.unique(at[by], return_index=True)
             if len(found):
@@ -220,13 +221,13 @@ def encode(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id"
     width = head.n // parts if head else 1
     fits = F.forall("_v", lambda v: F.abs(v * scale) < float(largest(width)))
     rows = rows.where((F.size("_v") == parts * width) & fits)
-    rows = rows.select("_doc", "_id", F.transform("_v", lambda v: F.floor(v * scale).cast("bigint")).alias("_x"))
+    rows = rows.select("_doc", "_id", F.transform("_v", lambda v: F.floor(v * scale).cast("int")).alias("_x"))
     rows = saved(rows, "vector-integers")
     starts = rows.orderBy(F.asc_nulls_last("_id"), "_x").limit(entries).select("_x").collect()
     books = np.array([r._x for r in starts], np.int64).reshape(len(starts), parts, width).transpose(1, 0, 2)
     entries = len(starts)
     if not entries:
-        return rows.select("_doc", F.array().cast("array<int>").alias("_code"), F.lit(0).cast("bigint").alias("_error")), books
+        return rows.select("_doc", F.array().cast("array<smallint>").alias("_code"), F.lit(0).cast("bigint").alias("_error")), books
     b = new_b = max(1, entries // 8)
     moves = None
     for _ in range(rounds):
@@ -250,7 +251,7 @@ def encode(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id"
 def _with_errors(rows: DataFrame, books: np.ndarray) -> DataFrame:
     parts, _, width = books.shape
     own = rows.select("_doc", "_x", "_a")
-    schema = f"_doc {own.schema['_doc'].dataType.simpleString()}, _code array<int>, _error bigint"
+    schema = f"_doc {own.schema['_doc'].dataType.simpleString()}, _code array<smallint>, _error bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
