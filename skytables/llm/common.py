@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,16 +60,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for `mapInArrow` from one that handles a single batch."""
+#: Texts that a worker turns into Python objects at once.
+TEXTS_AT_ONCE = 200
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
 
-    return run
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def column_of(batch: pa.RecordBatch, path: str | tuple[str, ...]) -> pa.Array:
+    """A column, or a field within a struct column; so a text in a packed row is not sent to Python a second time."""
+    name, *fields = (path,) if isinstance(path, str) else path
+    column = batch.column(name)
+    for field in fields:
+        column = column.field(field)
+    return column
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import text_or_empty
+from .common import column_of, slices
 
 #: Buckets of hashed trigrams, a power of two.
 BUCKETS = 1 << 15
@@ -119,26 +119,26 @@ def mixture(found: np.ndarray, likelihoods: np.ndarray, penalty: float = 0.5) ->
     return out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str | tuple[str, ...] = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` (the predicted language's proportion) and `languages` (the selected set).
 
     Existing columns of these names are replaced. Null text, text without any letter
     and a model without languages give `und`, score 0 and no languages. Of equal
     proportions the language first in the alphabet wins. Repeated rows are predicted
-    alike; the text is used whole.
+    alike; the text is used whole, and a very long one costs in proportion to its length.
+    An empty table gives no row. `text` names a text column, or as a tuple one within a struct.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))]
     rows = docs.drop(*[f.name for f in added])
-    schema = T.StructType([*rows.schema.fields, *added, T.StructField("_llm_text", T.StringType())])
-    out_schema = T.StructType(schema.fields[:-1])
+    schema = T.StructType([*rows.schema.fields, *added])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, likelihoods = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             names, scores, sets = [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                found = trigrams(text.as_py()) if languages else None
+            for value in column_of(batch, text).to_pylist():
+                found = trigrams(value) if languages and value else None
                 if found is None:
                     names.append(UNKNOWN), scores.append(0.0), sets.append([])
                     continue
@@ -146,6 +146,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names.append(languages[int(share.argmax())])
                 scores.append(min(1.0, float(share.max())))
                 sets.append([languages[i] for i in np.flatnonzero(share > 0)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=out_schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=schema.names)
 
-    return rows.withColumn("_llm_text", text_or_empty(text)).mapInArrow(guess, out_schema)
+    return rows.mapInArrow(guess, schema)

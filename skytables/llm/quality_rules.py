@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import as_bytes, saved, whole_row
+from .common import as_bytes, column_of, saved, slices, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -70,14 +70,18 @@ def features(text: bytes) -> list[int]:
     ]
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the counts of FEATURES, as `_rule_<name>`. Null text has none of anything."""
+def with_features(docs: DataFrame, text: str | tuple[str, ...] = "text") -> DataFrame:
+    """`docs` with the counts of FEATURES, as `_rule_<name>`; existing columns that begin so are dropped.
+
+    Null text has none of anything; a very long text is counted whole, at a cost in
+    proportion to its length. `text` names a text column, or as a tuple one within a struct.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith(_PREFIX)])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(_PREFIX + name, T.LongType()) for name in FEATURES)])
-    at = docs.columns.index(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([features(x) for x in as_bytes(batch.column(at))], np.int64).reshape(batch.num_rows, len(FEATURES))
+        for batch in slices(batches):
+            rows = np.array([features(x) for x in as_bytes(column_of(batch, text))], np.int64).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=schema.names)
 
     return docs.mapInArrow(count, schema)
@@ -170,5 +174,4 @@ def judge(rows: DataFrame, rules: dict[str, Column] | None = None, threshold: fl
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    rows = docs.select(whole_row(docs), F.col(text).alias("_text"))
-    return judge(with_features(rows, "_text").drop("_text")).where(_f("kept")).select("_doc.*")
+    return judge(with_features(docs.select(whole_row(docs)), ("_doc", text))).where(_f("kept")).select("_doc.*")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_or_empty
+from .common import column_of
 
 #: What stands for a space in pieces (fixed value).
 MARK = "▁"
@@ -234,7 +234,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", by_rank: bool
 
     Null text counts as empty and has no pieces. A marker in the text itself reads
     back as a space. Whole texts are encoded, each by itself, so repeated rows give
-    equal ids. `path` is a vocabulary file that every machine has.
+    equal ids; a very long text costs in proportion to its length, and an empty table
+    gives no row. `path` is a vocabulary file that every machine has.
     """
     added = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_byte_pieces", T.LongType()), T.StructField("decoded", T.StringType())]
     rows = docs.drop(*[f.name for f in added])
@@ -247,15 +248,15 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", by_rank: bool
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                ids = [np.frombuffer(x, "<u4") for x in pieces.encode(part.column(part.num_columns - 1).to_pylist())]
+                ids = [np.frombuffer(x, "<u4") for x in pieces.encode([x or "" for x in column_of(part, text).to_pylist()])]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate(ids).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    *part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([pieces.decode(x) for x in ids], pa.string()),
                 ], names=schema.names)
 
-    return rows.withColumn("_llm_text", text_or_empty(text)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

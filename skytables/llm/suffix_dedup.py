@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, per_batch, row_key, saved, text_or_empty, whole_row
+from .common import as_bytes, column_of, row_key, saved, slices, text_or_empty, whole_row
 
 LIMIT = 400
 #: Length of the short strings whose least hash is a window's key.
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Ranges of one document: bounded by its length.
     by_doc = spans.distinct().groupBy("_id", "_hash").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
     rows = docs.select(whole_row(docs), *row_key(doc_id, text)).join(by_doc, ["_id", "_hash"], "left")
-    rows = rows.select("_doc", F.coalesce(F.col("_doc")[text].cast("string"), F.lit("")).alias("_text"), "_spans")
+    rows = rows.select("_doc", "_spans")
     schema = T.StructType([
         rows.schema["_doc"], T.StructField("_kept", T.BinaryType()),
         T.StructField("_removed", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))),
@@ -305,13 +305,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     range_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, removed = [], []
-            for data, found in zip(as_bytes(batch.column(batch.num_columns - 2)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for data, found in zip(as_bytes(column_of(batch, ("_doc", text))), batch.column(1).to_pylist(), strict=True):
                 left, ranges = cut_spans(data, [(f["from"], f["to"]) for f in found or []])
                 kept.append(left)
                 removed.append([{"from": a, "to": b} for a, b in ranges])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.binary()), pa.array(removed, range_type)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, range_type)], names=schema.names)
 
     return rows.mapInArrow(cut_out, schema)
 
@@ -324,10 +324,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     rows = remove_repeats(docs, doc_id, text, **settings)
     schema = T.StructType([*rows.schema.fields[:1], T.StructField("_new", T.StringType())])
 
-    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left = [b.decode("utf-8", "ignore") if cut else None for b, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=schema.names)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            left = [b.decode("utf-8", "ignore") if cut else None for b, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], names=schema.names)
 
-    rows = rows.mapInArrow(per_batch(decode), schema)
+    rows = rows.mapInArrow(decode, schema)
     new = {text: F.coalesce("_new", F.col("_doc")[text])} | ({size: F.when(F.col("_new").isNull(), F.col("_doc")[size]).otherwise(F.length("_new").cast(docs.schema[size].dataType))} if size else {})
     return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, saved
+from .common import LOWER, UPPER, saved, whole_row
 
 #: Most levels; with one more bit a key at each level they shrink by half or more, so this is far off.
 MAX_LEVELS = 64
@@ -135,13 +135,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     listed = rules.select(key.alias("key"), F.lower("action").alias("action"), F.length(F.coalesce("path", F.lit(""))).alias("n"))
     lengths = sorted(r.n for r in listed.select("n").distinct().collect())  # as many as there are path lengths
     host, path = host_and_path(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.select(whole_row(pages), host.alias("host"), path.alias("path"))
     keys = rows.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)["key"]).alias("key"))
     in_list = Cascade(listed, keys)
     blocked = Cascade(listed.where("action = 'block'"), listed)
     rows = rows.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     fits = F.array_max(F.filter("_keys", lambda c: in_list.contains(c["key"])))
     rule = fits["key"]
-    rows = rows.withColumn("rule", rule).drop("_keys")
+    rows = rows.withColumn("rule", rule)
     verdict = F.when(F.col("rule").isNull(), default).when(blocked.contains(F.col("rule")), "block").otherwise("allow")
-    return rows.withColumn("verdict", verdict)
+    made = ["host", "path", "rule", "verdict"]
+    return rows.withColumn("verdict", verdict).select(*[F.col("_doc")[c].alias(c) for c in pages.columns if c not in made], *made)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edge import awkward, nothing, words
-from skytables.llm import language_id, quality_rules
+from skytables.llm import language_id, quality_rules, sentence_pieces, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -110,3 +110,19 @@ def test_language_on_awkward_rows(spark):
     assert empty.languages == [] and language_id.predict(nothing(spark), empty).count() == 0
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
     assert not language_id.predict(docs.where("doc_id is null"), empty).where(language_id.held_out(F.col("doc_id"))).count()
+
+
+def test_columns_of_any_name(spark):
+    """Names that the operators use inside, or used once."""
+    text = "ein Text mit genug Worten für die Regeln und noch einige mehr davon " * 3
+    rows = spark.createDataFrame([(1, text, "x", 7, "k", "http://a.com/en/b")], "doc_id long, text string, _llm_text string, _rule_n_words long, _keys string, url string")
+    model = language_id.Model([], np.zeros((0, language_id.BUCKETS)))
+    assert language_id.predict(rows, model).first()._llm_text == "x"
+    assert quality_rules.keep_good(rows).collect() == rows.collect()
+    judged = quality_rules.judge(quality_rules.with_features(rows)).first()
+    assert (judged._rule_n_words, judged._keys) == (len(words(text)), "k")
+    pieces = sentence_pieces.encode_decode(rows, "/opt/tokenizers/piece_bpe_32k.model").first()
+    assert (pieces._llm_text, pieces.decoded) == ("x", text)
+    rule = spark.createDataFrame([("block", "com", "/en/")], "action string, host string, path string")
+    page = url_filter.judge_urls(rows, rule).first()
+    assert (page._keys, page.doc_id, page.rule, page.verdict) == ("k", 1, "com/en/", "block")
