@@ -14,7 +14,7 @@ MAIN_LANGUAGE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mainly in one language; those without any letter go."""
     model = language_id.train(docs)
-    rows = language_id.predict(docs.select(whole_row(docs), F.col("text").alias("_text")), model, "_text")
+    rows = language_id.predict(docs.select(whole_row(docs)), model, ("_doc", "text"))
     kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE)
     return rows.where(kept).select("_doc.*")
 
