@@ -10,9 +10,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.times import ntz
+from ..functions.angles import wrap_ra
+from ..functions.times import ntz, unix_micros
 from ..schema import folded
-from .skew import HOT_ROWS, salted_join
+from .dyadic import cell_of as time_cell, cells_of, each_level, in_use, level_of
+from .skew import HOT_ROWS, grid_join
+from .sky_join import box_level, cover, place
 
 
 class Box(NamedTuple):
@@ -73,54 +76,59 @@ def split_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
 
 
-def _index(value: Column, cell_deg: float, n: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(value / F.lit(cell_deg)))).cast("int")
-
-
-def match_boxes(
-    points: DataFrame, boxes: DataFrame, cell_deg: float = 10.0, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def match_boxes(points: DataFrame, boxes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every (point, box) with the point inside; with `t_min`/`t_max` also inside its times.
 
-    A grid makes it an equi join: a point lies in one cell, a box is repeated
-    for the cells it covers (at most the whole grid, a fixed number). Cells that
-    hold very many points are salted.
+    A box is repeated for the sky cells it touches on the level of its own size, at most
+    MAX_CELLS, and with times for the three time cells at most that it touches on the level of
+    its length. A point looks into the levels that some box is on: (level, cell) of sky and
+    time are one key, so boxes of other days are no candidates. Boxes measured to be few
+    are broadcast, and the points are not shuffled; else crowded keys are split on both sides.
     """
     boxes = _named(boxes)
-    n_ra, n_dec = int(360 // cell_deg), int(180 // cell_deg)
-    ra_lo, ra_hi = _index(F.col("ra_min"), cell_deg, n_ra), _index(F.col("ra_max"), cell_deg, n_ra)
-    columns = F.when(F.col("ra_min") <= F.col("ra_max"), F.sequence(ra_lo, ra_hi)).otherwise(
-        F.array_union(F.sequence(ra_lo, F.lit(n_ra - 1)), F.sequence(F.lit(0), ra_hi)))
-    covered = (
-        split_boxes(boxes)[0]
-        .withColumn("_row", F.explode(F.sequence(
-            _index(F.col("dec_min") + 90.0, cell_deg, n_dec), _index(F.col("dec_max") + 90.0, cell_deg, n_dec))))
-        .withColumn("_col", F.explode(columns))
-    )
-    placed = (
-        points.where(F.col("ra_deg").isNotNull() & F.col("dec_deg").isNotNull())
-        .withColumn("_row", _index(F.col("dec_deg") + 90.0, cell_deg, n_dec))
-        .withColumn("_col", _index(F.col("ra_deg"), cell_deg, n_ra))
-    )
+    timed = "t_min" in boxes.columns and "time" in points.columns
+    wraps, odd = F.col("ra_min") > F.col("ra_max"), (F.col("ra_max") < 0) | (F.col("ra_min") > 360)
+    span = F.when(wraps, F.when(odd, F.lit(360.0)).otherwise(F.col("ra_max") + 360.0 - F.col("ra_min"))).otherwise(F.col("ra_max") - F.col("ra_min"))
+    span = F.least(F.lit(360.0), span)
+    low = F.when(F.abs("ra_min") < 1e6, wrap_ra(F.col("ra_min"))).otherwise(F.lit(0.0))
+    keys = ["_sky", "_zone", "_cell"]
+    covered = split_boxes(boxes)[0].withColumn("_sky", box_level(span, F.col("dec_min"), F.col("dec_max")))
+    looked = points.where(F.col("ra_deg").isNotNull() & F.col("dec_deg").isNotNull())
+    if timed:
+        start, end = unix_micros(F.col("t_min")), unix_micros(F.col("t_max"))
+        covered = covered.withColumn("_level", level_of(end - start, 2))
+        levels = in_use(covered, F.col("_sky"), F.col("_level"))
+        covered = covered.withColumn("_tcell", F.explode(cells_of(start, end, F.col("_level"))))
+        looked = looked.where(F.col("time").isNotNull()).withColumn("_at", F.explode(each_level(levels, "sky", "level")))
+        looked = looked.withColumn("_sky", F.col("_at.sky")).withColumn("_level", F.col("_at.level")).drop("_at")
+        looked = looked.withColumn("_tcell", time_cell(unix_micros(F.col("time")), F.col("_level")))
+        keys += ["_level", "_tcell"]
+    else:
+        levels = in_use(covered, F.col("_sky"))
+        looked = looked.withColumn("_at", F.explode(each_level(levels, "sky"))).withColumn("_sky", F.col("_at.sky")).drop("_at")
+    covered = cover(covered, low, low + span, F.col("dec_min"), F.col("dec_max"), F.col("_sky"))
+    placed = place(looked, "ra_deg", "dec_deg", F.col("_sky"))
 
     ra = F.col("ra_deg")
     ra_ok = F.when(F.col("ra_min") <= F.col("ra_max"), ra.between(F.col("ra_min"), F.col("ra_max"))).otherwise(
         (ra >= F.col("ra_min")) | (ra <= F.col("ra_max")))
     inside = ra_ok & F.col("dec_deg").between(F.col("dec_min"), F.col("dec_max"))
-    if "t_min" in boxes.columns and "time" in points.columns:
+    if timed:
         inside = inside & F.col("time").between(F.col("t_min"), F.col("t_max"))
-    return salted_join(placed, covered, ["_row", "_col"], "inner", inside, hot_rows).drop("_row", "_col")
+    return grid_join(placed, covered, keys, inside, hot_rows).drop(*keys)
 
 
-def boxes_fixed(fixed: DataFrame, boxes: DataFrame, cell_deg: float = 10.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+def boxes_fixed(fixed: DataFrame, boxes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     boxes = _named(boxes)
     bounds = [c for c in boxes.columns if c not in ("t_min", "t_max")]
-    return match_boxes(fixed, boxes.select(*bounds), cell_deg, hot_rows)
+    return match_boxes(fixed, boxes.select(*bounds), hot_rows)
+
 
+def boxes_sso(ssos: DataFrame, points: DataFrame, boxes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(box_id, object) for objects with at least one point in the box and its times, each once.
 
-def boxes_sso(
-    ssos: DataFrame, points: DataFrame, boxes: DataFrame, cell_deg: float = 10.0, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(box_id, object) for objects with at least one point in the box and its times, each once."""
-    hits = match_boxes(points.select("sso_id", "time", "ra_deg", "dec_deg"), boxes, cell_deg, hot_rows)
+    Pairs are made distinct where they are found, so an object with very many points in
+    a box sends one row per task.
+    """
+    hits = match_boxes(points.select("sso_id", "time", "ra_deg", "dec_deg"), boxes, hot_rows)
     return hits.select("box_id", "sso_id").distinct().join(ssos, "sso_id")

@@ -16,8 +16,9 @@ from ..functions.angles import wrap_ra
 from ..functions.times import ntz, unix_micros
 from ..functions.values import zero_to_null
 from .boxes import Box, in_box, in_times
+from .dyadic import cells_of, in_use, level_of, look_up
 from .numbering import number_occurrences
-from .skew import HOT_ROWS, broadcast_if_small, dimension_join, hot_keys, restrict, salted_join, saved
+from .skew import HOT_ROWS, broadcast_if_small, dimension_join, grid_join, hot_keys, restrict, salted_join, saved
 
 #: Fixed sources are valid between these times, both included (fixed values).
 FIXED_T_MIN = "1970-01-01 00:00:00"
@@ -96,12 +97,12 @@ def mark_duplicates(objects: DataFrame, points: DataFrame, check: bool) -> DataF
 
 # --- interpolation -------------------------------------------------------------------------
 
-def _status(t: Column) -> Column:
+def _status(t: Column, first: Column, last: Column) -> Column:
     """Why an object has no position at `t`, from its coverage columns."""
     return (
         F.when(F.col("n_points").isNull(), F.lit("unknown"))
         .when(F.col("duplicate_times"), F.lit("duplicate_times"))
-        .when((t < F.col("t_min")) | (t > F.col("t_max")), F.lit("out_of_range"))
+        .when(t.isNull() | (t < first) | (t > last), F.lit("out_of_range"))
         .when(F.col("n_points") < 2, F.lit("too_few_points"))
         .otherwise(F.lit("ok"))
     )
@@ -163,7 +164,7 @@ def positions_from_states(states: DataFrame, t, ra_mode: str = "linear") -> Data
     ra, dec, flux = interpolate(unix_micros(t), ra_mode)
     ok = F.col("status") == "ok"
     states = states.withColumn("us0", unix_micros(F.col("time0"))).withColumn("us1", unix_micros(F.col("time1")))
-    return states.withColumn("status", _status(t)).select(
+    return states.withColumn("status", _status(t, F.col("t_min"), F.col("t_max"))).select(
         "sso_id", "t_min", "t_max", "n_points", "do_flux",
         F.when(ok, ra).alias("ra_deg"), F.when(ok, dec).alias("dec_deg"),
         F.when(ok, flux).alias("flux_mJy"), "status",
@@ -221,12 +222,13 @@ def _slice(points: DataFrame, widths: DataFrame) -> DataFrame:
     return points.join(widths, "sso_id", "left").withColumn("_slice", F.coalesce(index, F.lit(0)).cast("bigint"))
 
 
-def segments(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def segments(points: DataFrame, hot_rows: int = HOT_ROWS, keep_duplicates: bool = False) -> DataFrame:
     """One row per point with the next point of the object beside it, and the object's coverage.
 
     (`us0`, `ra_deg0`, ...) to (`us1`, `ra_deg1`, ...), times in microseconds
     since 1970; the last point of an object has no next one. `us_end` is the
-    object's last time. Objects with duplicate times give no rows.
+    object's last time. Objects with duplicate times give no rows, or with
+    `keep_duplicates` at least one, flagged `duplicate_times`.
 
     One shuffle by object serves the neighbours and the whole-object columns.
     Objects above `hot_rows` points are cut into time slices, and slices are
@@ -235,8 +237,9 @@ def segments(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     values = ("us", "ra_deg", "dec_deg", "flux_mJy")
     points = points.select("sso_id", unix_micros(F.col("time")).alias("us"), *values[1:])
     hot = hot_keys(points, ["sso_id"], hot_rows)
+    copies = None
     if hot is not None:
-        copies = duplicate_times(points.join(hot, "sso_id", "left_semi"), "us")
+        copies = saved(duplicate_times(points.join(hot, "sso_id", "left_semi"), "us"), "duplicate-times")
         points = points.join(broadcast_if_small(copies), "sso_id", "left_anti")
         points, cut = time_slices(points, hot_rows, hot)
     else:
@@ -255,74 +258,90 @@ def segments(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         per_object = Window.partitionBy("sso_id")
         wide = rows.select(
             *columns, *[f"{v}1" for v in values], *[f(c).over(per_object).alias(n) for f, c, n in object_wide])
+    else:
+        per_object, by_slice = Window.partitionBy("sso_id"), Window.partitionBy("sso_id").orderBy("_slice")
+        heads = rows.groupBy("sso_id", "_slice").agg(
+            *[f(c).alias(n) for f, c, n in object_wide],
+            *[F.min_by(f"{v}0", "us0").alias(f"_head_{v}") for v in values])
+        linked = heads.select(
+            "sso_id", "_slice", *[f(n).over(per_object).alias(n) for f, _, n in object_wide],
+            *[F.lead(f"_head_{v}").over(by_slice).alias(f"_next_{v}") for v in values])
+        last_in_slice = F.col("us1").isNull()
+        wide = rows.join(linked, ["sso_id", "_slice"]).select(
+            *columns, *[F.when(last_in_slice, F.col(f"_next_{v}")).otherwise(F.col(f"{v}1")).alias(f"{v}1") for v in values],
+            "us_end", "do_flux", "duplicate_times")
+    if not keep_duplicates:
         return wide.where(~F.col("duplicate_times")).drop("duplicate_times")
-    per_object, by_slice = Window.partitionBy("sso_id"), Window.partitionBy("sso_id").orderBy("_slice")
-    heads = rows.groupBy("sso_id", "_slice").agg(
-        *[f(c).alias(n) for f, c, n in object_wide],
-        *[F.min_by(f"{v}0", "us0").alias(f"_head_{v}") for v in values])
-    linked = heads.select(
-        "sso_id", "_slice", *[f(n).over(per_object).alias(n) for f, _, n in object_wide],
-        *[F.lead(f"_head_{v}").over(by_slice).alias(f"_next_{v}") for v in values])
-    last_in_slice = F.col("us1").isNull()
-    wide = rows.join(linked, ["sso_id", "_slice"]).select(
-        *columns, *[F.when(last_in_slice, F.col(f"_next_{v}")).otherwise(F.col(f"{v}1")).alias(f"{v}1") for v in values],
-        "us_end", "do_flux", "duplicate_times")
-    return wide.where(~F.col("duplicate_times")).drop("duplicate_times")
+    if copies is None:
+        return wide
+    return wide.unionByName(copies.select("sso_id", F.lit(True).alias("duplicate_times")), allowMissingColumns=True)
 
 
 # --- many times ----------------------------------------------------------------------------
 
-def binned_segments(points: DataFrame, bin_seconds: int, hot_rows: int) -> DataFrame:
-    """Segments, one row per time bin they touch. Half-open, the object's last one closed."""
-    return segments(points, hot_rows).where(F.col("us1").isNotNull()).withColumn(
-        "_bin", F.explode(F.sequence(time_bin(F.col("us0"), bin_seconds), time_bin(F.col("us1"), bin_seconds))))
+def leveled_segments(points: DataFrame, hot_rows: int = HOT_ROWS, keep_duplicates: bool = False) -> DataFrame:
+    """Segments with `_level`, the dyadic time level of their length; null for an object's last point.
+
+    Written once: which levels are in use, which keys are hot, and the join all read it.
+    Without `keep_duplicates` last points and objects with duplicate times are left out.
+    """
+    rows = segments(points, hot_rows, keep_duplicates)
+    if not keep_duplicates:
+        rows = rows.where(F.col("us1").isNotNull())
+    return saved(rows.withColumn("_level", level_of(F.col("us1") - F.col("us0"))), "segments")
 
 
-def time_bin(us: Column, bin_seconds: int) -> Column:
-    return F.floor(us / F.lit(bin_seconds * 1_000_000))
+def by_time_cell(seg: DataFrame) -> DataFrame:
+    """Each segment for the one or two cells that it touches on its level."""
+    return seg.withColumn("_tcell", F.explode(cells_of(F.col("us0"), F.col("us1"), F.col("_level"))))
 
 
 def covers(us: Column) -> Column:
-    """The segment holds the time."""
+    """The segment holds the time. Half-open, the object's last one closed."""
     at_end = (us == F.col("us1")) & (F.col("us1") == F.col("us_end"))
     return (F.col("us0") <= us) & ((us < F.col("us1")) | at_end)
 
 
 def positions_at_times(
-    points: DataFrame, times: DataFrame, *, bin_seconds: int = 86_400, ra_mode: str = "linear",
-    hot_rows: int = HOT_ROWS,
+    points: DataFrame, times: DataFrame, *, ra_mode: str = "linear", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every object at every distinct time of `times` (column `time`) that its points cover.
 
-    An interval join made an equi join on time bins; a bin with very many
-    segments is salted.
+    An interval join made an equi join on dyadic time cells: a segment is there twice at
+    most, a time once for each level in use. Times measured to be few are broadcast; else
+    a cell with very many segments or times is split.
     """
     wanted = times.select(F.col("time").alias("t")).where(F.col("t").isNotNull()).distinct()
-    wanted = wanted.withColumn("us", unix_micros(F.col("t"))).withColumn("_bin", time_bin(F.col("us"), bin_seconds))
-    seg = binned_segments(points, bin_seconds, hot_rows)
-    pairs = salted_join(seg, wanted, ["_bin"], "inner", covers(F.col("us")), hot_rows)
+    seg = leveled_segments(points, hot_rows)
+    wanted = look_up(wanted.withColumn("us", unix_micros(F.col("t"))), "us", in_use(seg, F.col("_level")))
+    pairs = grid_join(by_time_cell(seg), wanted, ["_level", "_tcell"], covers(F.col("us")), hot_rows)
     ra, dec, flux = interpolate(F.col("us"), ra_mode)
     return pairs.select("sso_id", F.col("t").alias("time"), ra.alias("ra_deg"), dec.alias("dec_deg"),
                         flux.alias("flux_mJy"))
 
 
 def positions_for(
-    points: DataFrame, requests: DataFrame, *, bin_seconds: int = 86_400, ra_mode: str = "linear",
-    hot_rows: int = HOT_ROWS, strict: bool = False,
+    points: DataFrame, requests: DataFrame, *, ra_mode: str = "linear", hot_rows: int = HOT_ROWS, strict: bool = False,
 ) -> DataFrame:
-    """One row per distinct (`sso_id`, `time`) request, with a status."""
-    wanted = requests.select("sso_id", F.col("time").alias("t")).distinct()
-    wanted = wanted.withColumn("us", unix_micros(F.col("t"))).withColumn("_bin", time_bin(F.col("us"), bin_seconds))
-    points = restrict(points, wanted, ["sso_id"])
-    about = mark_duplicates(coverage(points).drop("do_flux"), points, True)
-    asked = salted_join(wanted, about, ["sso_id"], "left", hot_rows=hot_rows)
-    seg = binned_segments(points, bin_seconds, hot_rows)
-    pairs = salted_join(asked, seg, ["sso_id", "_bin"], "left", covers(F.col("us")), hot_rows)
+    """One row per distinct (`sso_id`, `time`) request, with a status.
+
+    One shuffle of the points by object gives segments, coverage and duplicate times
+    together. The coverage decides the status; only requests that are `ok` look for
+    their segment, and each has exactly one.
+    """
+    wanted = saved(requests.select("sso_id", F.col("time").alias("t")).distinct(), "requests")
+    seg = leveled_segments(restrict(points, wanted, ["sso_id"]), hot_rows, keep_duplicates=True)
+    about = seg.groupBy("sso_id").agg(
+        F.min("us0").alias("_from"), F.max("us_end").alias("_to"), F.count(F.lit(1)).alias("n_points"), F.bool_or("duplicate_times").alias("duplicate_times"))
+    about = saved(about, "coverage")
+    asked = dimension_join(wanted.withColumn("us", unix_micros(F.col("t"))), about, ["sso_id"], "left", hot_rows=hot_rows)
+    asked = asked.withColumn("status", _status(F.col("us"), F.col("_from"), F.col("_to")))
+    found = look_up(asked.where("status = 'ok'").select("sso_id", "t", "us"), "us", in_use(seg, F.col("_level")))
+    pairs = grid_join(by_time_cell(seg.where(F.col("us1").isNotNull())), found, ["sso_id", "_level", "_tcell"], covers(F.col("us")), hot_rows)
     ra, dec, flux = interpolate(F.col("us"), ra_mode)
-    ok = F.col("status") == "ok"
-    result = pairs.withColumn("status", _status(F.col("t"))).select(
-        "sso_id", F.col("t").alias("time"), F.when(ok, ra).alias("ra_deg"), F.when(ok, dec).alias("dec_deg"),
-        F.when(ok, flux).alias("flux_mJy"), "status")
+    placed = pairs.select("sso_id", F.col("t").alias("time"), ra.alias("ra_deg"), dec.alias("dec_deg"), flux.alias("flux_mJy"), F.lit("ok").alias("status"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("ra_deg", "dec_deg", "flux_mJy")]
+    result = placed.unionByName(asked.where("status <> 'ok'").select("sso_id", F.col("t").alias("time"), *none, "status"))
     return _strict(result) if strict else result
 
 

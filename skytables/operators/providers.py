@@ -87,7 +87,7 @@ def all_providers(providers: list[Provider]) -> DataFrame:
 
 
 def cone_search(
-    cones: DataFrame, providers: list[Provider], cell_deg: float = 1.0, hot_rows: int = HOT_ROWS
+    cones: DataFrame, providers: list[Provider], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """What each provider lists within each cone (`cone_id`, `ra_deg`, `dec_deg`, `radius_deg`).
 
@@ -96,7 +96,7 @@ def cone_search(
     """
     targets = cones.select("cone_id", F.col("ra_deg").alias("t_ra"), F.col("dec_deg").alias("t_dec"), "radius_deg")
     listed = all_providers(providers).withColumnsRenamed({"ra_deg": "p_ra", "dec_deg": "p_dec"})
-    pairs = within_radius(targets, listed, cell_deg, hot_rows)
+    pairs = within_radius(targets, listed, hot_rows=hot_rows)
     flat = flat_distance(F.col("t_ra"), F.col("t_dec"), F.col("p_ra"), F.col("p_dec"))
     return pairs.select(
         "cone_id", "provider", "name", F.col("p_ra").alias("ra_deg"), F.col("p_dec").alias("dec_deg"),

@@ -144,6 +144,45 @@ def salted_join(
     return rows.join(other, condition, how).drop("_salt", *[f"_on_{k}" for k in on])
 
 
+def grid_join(
+    rows: DataFrame, other: DataFrame, keys: list[str], condition: Column | None = None, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner equi join for keys that may be hot on both sides.
+
+    `other` is broadcast if measured to fit. Else a key with m x `hot_rows` rows on one side
+    and n x `hot_rows` on the other becomes a grid of m x n blocks: each side's rows are
+    dealt into its own m or n parts and repeated for the parts of the other, so that a task
+    meets about `hot_rows` rows of a key from either side. `condition` and names are as for
+    `salted_join`; null keys match nothing.
+    """
+    if is_small(other):
+        rows, other, on = rows, F.broadcast(other), list(keys)
+    else:
+        ours, theirs = hot_keys(rows, keys, hot_rows), hot_keys(other, keys, hot_rows)
+        on = list(keys)
+        for hot, name in ((ours, "_row_part"), (theirs, "_other_part")):
+            if hot is None:
+                continue
+            on.append(name)
+            parts = F.ceil(F.col("n_rows") / F.lit(hot_rows)).cast("bigint")
+            one = F.lit(1).cast("bigint")
+
+            def dealt(df: DataFrame) -> DataFrame:
+                part = F.coalesce(spread(df, parts), F.lit(0)).cast("bigint")
+                return attach_hot(df, hot, keys).withColumn(name, part).drop("n_rows")
+
+            def repeated(df: DataFrame) -> DataFrame:
+                every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(parts, one) - one)
+                return attach_hot(df, hot, keys).withColumn(name, F.explode(every)).drop("n_rows")
+
+            rows, other = (dealt(rows), repeated(other)) if hot is ours else (repeated(rows), dealt(other))
+    other = other.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    match = F.lit(True) if condition is None else condition
+    for k in on:
+        match = match & (F.col(k) == F.col(f"_on_{k}"))
+    return rows.join(other, match).drop("_row_part", "_other_part", *[f"_on_{k}" for k in on])
+
+
 def dimension_join(
     rows: DataFrame, other: DataFrame, keys: list[str], how: str, small: bool | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -33,11 +33,12 @@ def brute(seen, stars, radius):
     return pairs.select("det_id", "source_id", "sep")
 
 
-@pytest.mark.parametrize("radius, cell, hot", [
-    (0.5, None, 2_000_000), (3.0, 2.0, 10), (0.0, None, 10), (40.0, 25.0, 2_000_000), (100.0, None, 50), (3.0, 0.7, 100)])
-def test_crossmatch_equals_brute_force(spark, radius, cell, hot):
+@pytest.mark.parametrize("radius, level, hot", [
+    (0.5, None, 2_000_000), (3.0, 6, 10), (0.0, None, 10), (40.0, 3, 2_000_000), (100.0, None, 50), (3.0, 8, 100)])
+def test_crossmatch_equals_brute_force(spark, monkeypatch, radius, level, hot):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0 if hot < 1000 else skew.BROADCAST_BYTES)
     seen, stars = both(spark)
-    found = crossmatch.crossmatch_all(seen, stars, radius, cell, hot)
+    found = crossmatch.crossmatch_all(seen, stars, radius, level, hot)
     plain = brute(seen, stars, radius)
     got = rows(found, "det_id", "source_id")
     assert got == rows(plain, "det_id", "source_id") and len(got) >= 20
@@ -66,6 +67,40 @@ def test_cells_shrink_to_one_at_a_pole(spark):
     assert max(counts) == 35
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_circles_of_all_sizes_in_one_batch(spark, monkeypatch, small):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", skew.BROADCAST_BYTES if small else 0)
+    seen, stars = both(spark)
+    radii = F.element_at(F.array(*[F.lit(x) for x in (1 / 3600, 0.0, 0.02, 0.7, 9.0, 60.0, 180.0)]), F.col("det_id") % 7 + 1)
+    targets = seen.select("det_id", F.col("ra_deg").alias("t_ra"), F.col("dec_deg").alias("t_dec"), radii.alias("radius_deg"))
+    listed = stars.select("source_id", F.col("ra_deg").alias("p_ra"), F.col("dec_deg").alias("p_dec"))
+    apart = separation(F.col("t_ra"), F.col("t_dec"), F.col("p_ra"), F.col("p_dec"))
+    plain = rows(targets.crossJoin(listed).where(apart <= F.col("radius_deg")), "det_id", "source_id")
+    assert rows(sky_join.within_radius(targets, listed), "det_id", "source_id") == plain and len(plain) > 500
+    reach = F.col("radius_deg") + sky_join.SLACK
+    level = sky_join.level_of(F.col("radius_deg") * 4)
+    half = sky_join.half_width(F.col("t_dec"), reach)
+    covered = sky_join.cover(targets, F.col("t_ra") - half, F.col("t_ra") + half, F.col("t_dec") - reach, F.col("t_dec") + reach, level)
+    assert covered.groupBy("det_id").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_boxes_take_few_cells(spark):
+    import random
+    r = random.Random(4)
+    some = []
+    for i in range(400):
+        a, b = sorted(max(-90.0, min(90.0, r.uniform(-90, 90) + r.choice([0, 1e-4, 1, 30]) * r.random())) for _ in range(2))
+        some.append((i, r.uniform(0, 360), 360 * r.random() ** r.choice([1, 4, 30]), a, b if r.random() < 0.5 else min(90.0, a + 10 ** r.uniform(-5, 1))))
+    df = spark.createDataFrame(some, "i int, ra double, span double, a double, b double")
+    level = sky_join.box_level(F.col("span"), F.col("a"), F.col("b"))
+    covered = sky_join.cover(df.withColumn("_sky", level), F.col("ra"), F.col("ra") + F.col("span"), F.col("a"), F.col("b"), F.col("_sky"))
+    assert covered.groupBy("i").count().agg(F.max("count")).first()[0] <= sky_join.MAX_CELLS
+    inside = df.select("*", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.37, 1.0)])).alias("x")).select(
+        "i", (F.col("ra") + F.col("x") * F.col("span")).alias("p"), (F.col("a") + F.col("x") * (F.col("b") - F.col("a"))).alias("q"), level.alias("_sky"))
+    placed = sky_join.place(inside, "p", "q", F.col("_sky"))
+    assert placed.join(covered, ["i", "_sky", "_zone", "_cell"], "left_anti").count() == 0
+
+
 def providers_of(spark):
     a = spark.createDataFrame([("x", 10.0, 20.0), ("x", 5.0, 5.0), ("y", -36.6374, 0.0)], "id string, ra double, d double")
     b = spark.createDataFrame([("x", 10.0, 21.0, 7.0)], "n string, RAJ double, DEJ double, f double")
@@ -135,6 +170,31 @@ def test_salted_join_equals_plain(spark, how):
     assert rows(salted) == rows(plain)
 
 
+@pytest.mark.parametrize("limit", [5, 1_000_000])
+def test_grid_join_equals_plain(spark, monkeypatch, limit):
+    """One key crowded on both sides, another on one, nulls and copies."""
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    left = skewed(spark)
+    right = spark.createDataFrame([(7 if i % 2 else 3 if i % 10 == 0 else None if i % 3 == 0 else i, i % 30) for i in range(90)], "k int, w int")
+    cond = (F.col("v") + F.col("w")) % 3 != 0
+    plain = left.join(right.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & cond).drop("k2")
+    met = skew.grid_join(left, right, ["k"], cond, limit)
+    assert rows(met) == rows(plain) and met.columns == ["k", "v", "w"]
+    assert rows(skew.grid_join(left, right, ["k"], hot_rows=limit)) == rows(left.join(right, "k"))
+
+
+def test_grid_join_bounds_a_block(spark, monkeypatch):
+    """A crowded cell on each side: no task meets more than about the limit of a key from either."""
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    left, right = (spark.range(n).select((F.col("id") % 1 + 7).alias("k"), F.col("id").alias(c)) for n, c in ((400, "a"), (300, "b")))
+    joined = skew.grid_join(left, right, ["k"], hot_rows=5)
+    assert joined.count() == 400 * 300
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row_part" in plan and "_other_part" in plan
+    parts = skew.attach_hot(left, skew.hot_keys(left, ["k"], 5), ["k"]).withColumn("p", skew.spread(left, F.ceil(F.col("n_rows") / 5).cast("bigint")))
+    assert parts.groupBy("p").count().agg(F.max("count")).first()[0] <= 25
+
+
 def test_salted_join_with_a_map_column(spark):
     left = spark.createDataFrame([("a", {"x": "1"})] * 30 + [("b", {"y": "2"})], "k string, config map<string,string>")
     right = spark.createDataFrame([("a",)], "k string")

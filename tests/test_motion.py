@@ -143,12 +143,13 @@ def test_hot_copies_of_one_point(spark):
 
 
 @pytest.mark.parametrize("hot", [4, 2_000_000])
-@pytest.mark.parametrize("bin_seconds", [3600, 864_000])
-def test_many_times_equal_plain_range_join(spark, hot, bin_seconds):
+@pytest.mark.parametrize("small", [True, False])
+def test_many_times_equal_plain_range_join(spark, monkeypatch, hot, small):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", skew.BROADCAST_BYTES if small else 0)
     v = Views(spark, DATA)
     moments = v.moving_sources.select("time").union(
         v.moving_sources.select((F.col("time") + F.expr("interval 17 minutes")).alias("time")))
-    found = ephemeris.positions_at_times(v.moving_sources, moments, bin_seconds=bin_seconds, hot_rows=hot)
+    found = ephemeris.positions_at_times(v.moving_sources, moments, hot_rows=hot)
     seg = ephemeris.segments(v.moving_sources).where("us1 is not null")
     plain = seg.crossJoin(moments.distinct().withColumnRenamed("time", "t")).where(ephemeris.covers(unix_micros(F.col("t"))))
     got = rows(found, "sso_id", "time")
@@ -158,16 +159,42 @@ def test_many_times_equal_plain_range_join(spark, hot, bin_seconds):
 @pytest.mark.parametrize("hot", [3, 2_000_000])
 def test_named_requests(spark, hot):
     table = points(spark, track("a", T0, hours(1), [(0, 0, 1.0), (1, 1, 2.0), (2, 2, 3.0)]),
-                   track("one", T0, hours(1), [(5, 5, 1.0)]))
+                   track("one", T0, hours(1), [(5, 5, 1.0)]), track("twice", T0, hours(0), [(1, 1, 1.0)] * 9))
     asked = spark.createDataFrame(
-        [("a", T0 + hours(0.5 * i)) for i in range(5)] + [("a", T0 + hours(3)), ("one", T0), ("x", T0), ("a", T0)],
-        "sso_id string, time timestamp_ntz")
-    found = ephemeris.positions_for(table, asked, bin_seconds=3600, hot_rows=hot)
+        [("a", T0 + hours(0.5 * i)) for i in range(5)] + [("a", T0 + hours(3)), ("one", T0), ("x", T0), ("a", T0)]
+        + [("twice", T0), ("a", None)], "sso_id string, time timestamp_ntz")
+    found = ephemeris.positions_for(table, asked, hot_rows=hot)
     got = {(r.sso_id, r.time): (r.ra_deg, r.flux_mJy, r.status) for r in found.collect()}
-    assert len(got) == 8 == found.count()
+    assert len(got) == 10 == found.count()
     assert got["a", T0 + hours(1.5)] == (1.5, 2.5, "ok") and got["a", T0 + hours(2)] == (2.0, 3.0, "ok")
     assert got["a", T0 + hours(3)][2] == "out_of_range"
     assert got["one", T0][2] == "too_few_points" and got["x", T0][2] == "unknown"
+    assert got["twice", T0][2] == "duplicate_times" and got["a", None] == (None, None, "out_of_range")
+
+
+def test_long_and_short_segments_together(spark):
+    years = [(f"p{i}", "old", None, "old", datetime(1970 + 50 * i, 1, 1), float(i), 0.0, None) for i in range(2)]
+    table = spark.createDataFrame(years + track("fast", T0, seconds(0.001), [(i, 0, None) for i in range(200)]) + track("day", T0, hours(24), [(i, 0, None) for i in range(9)]), POINT)
+    seg = ephemeris.leveled_segments(table)
+    assert ephemeris.by_time_cell(seg.where("sso_id = 'old'")).count() <= 2
+    moments = [T0, T0 + seconds(0.0505), T0 + hours(30), datetime(1970, 1, 1), datetime(2020, 1, 1), datetime(1960, 1, 1)]
+    asked = spark.createDataFrame([(m,) for m in moments], "time timestamp_ntz")
+    got = {(r.sso_id, r.time): r.ra_deg for r in ephemeris.positions_at_times(table, asked).collect()}
+    want = {("old", moments[3]), ("old", moments[4]), ("fast", T0), ("fast", moments[1]), ("day", T0), ("day", moments[1]), ("day", moments[2])}
+    assert set(got) == want and got["fast", moments[1]] == pytest.approx(50.5) and got["day", moments[2]] == 1.25
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_dyadic_cells_meet_every_moment_inside(spark, n):
+    from skytables.operators import dyadic
+    import random
+    r = random.Random(1)
+    some = [(a, a + int(2 ** r.uniform(0, 55))) for a in (r.randrange(-10**15, 10**15) for _ in range(300))]
+    df = spark.createDataFrame(some, "a long, b long").withColumn("l", dyadic.level_of(F.col("b") - F.col("a"), n))
+    cells = dyadic.cells_of(F.col("a"), F.col("b"), F.col("l"))
+    found = df.select("*", cells.alias("cells"), F.explode(F.array("a", "b", F.expr("a + (b - a) div 3"))).alias("t"))
+    assert found.where(~F.array_contains("cells", dyadic.cell_of(F.col("t"), F.col("l")))).count() == 0
+    assert found.agg(F.max(F.size("cells"))).first()[0] <= n + 1
 
 
 def test_packed_parts(spark):
@@ -186,11 +213,9 @@ def test_packed_parts(spark):
 
 @pytest.mark.parametrize("mode", ["linear", "shortest"])
 @pytest.mark.parametrize("options", [
-    {}, {"bin_seconds": 100_000, "cell_deg": 7.0}, {"bin_seconds": 7200, "cell_deg": 30.0, "hot_rows": 3}])
-def test_moving_match_equals_brute_force(spark, mode, options):
-    if not options and mode == "linear":
-        options = {"bin_seconds": 20_000, "cell_deg": 45.0}
-    options = options or {"bin_seconds": 50_000, "cell_deg": 20.0}
+    {}, {"hot_rows": 3}])
+def test_moving_match_equals_brute_force(spark, monkeypatch, mode, options):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0 if options else skew.BROADCAST_BYTES)
     v = Views(spark, DATA)
     moving = v.moving_sources.where("sso_id < 5")
     seen = v.january_detections

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from skytables.operators import boxes, ephemeris, lookups
+from skytables.operators import boxes, ephemeris, lookups, skew
 from skytables.operators.boxes import Box
 from skytables.plans.registry import Views
 from tables import T0, fixed, hours, points, rows, seconds, ssos, track
@@ -94,10 +94,11 @@ def test_boxes_split_and_match(spark):
     assert ids(boxes.boxes_fixed(table, many.drop("t_min", "t_max").where("box_id = 1"))) == ["a", "b", "d"]
 
 
-@pytest.mark.parametrize("cell, hot", [(10.0, 5), (7.0, 2_000_000), (90.0, 20)])
-def test_boxes_grid_equals_plain(spark, cell, hot):
+@pytest.mark.parametrize("broadcast, hot", [(0, 5), (0, 2_000_000), (2**25, 20)])
+def test_boxes_grid_equals_plain(spark, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", broadcast)
     v = Views(spark, DATA)
-    found = boxes.match_boxes(v.moving_sources, v.boxes, cell, hot)
+    found = boxes.match_boxes(v.moving_sources, v.boxes, hot)
     b, p = v.boxes, v.moving_sources
     ra_ok = F.when(F.col("ra_min") <= F.col("ra_max"), F.col("ra_deg").between(F.col("ra_min"), F.col("ra_max"))).otherwise(
         (F.col("ra_deg") >= F.col("ra_min")) | (F.col("ra_deg") <= F.col("ra_max")))
