@@ -176,6 +176,9 @@ def grid_join(
                 return attach_hot(df, hot, keys).withColumn(name, F.explode(every)).drop("n_rows")
 
             rows, other = (dealt(rows), repeated(other)) if hot is ours else (repeated(rows), dealt(other))
+        # By number, so that partitions of few bytes, whose rows meet many times, are not put together.
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows, other = rows.repartition(n, *on), other.repartition(n, *on)
     other = other.withColumnsRenamed({k: f"_on_{k}" for k in on})
     match = F.lit(True) if condition is None else condition
     for k in on:
