@@ -31,12 +31,12 @@ def check_box(box: Box) -> Box:
     return box
 
 
-def _moment(value: datetime | str) -> datetime:
+def moment(value: datetime | str) -> datetime:
     return value if isinstance(value, datetime) else datetime.fromisoformat(value)
 
 
 def check_times(t_min, t_max) -> None:
-    if _moment(t_min) > _moment(t_max):
+    if moment(t_min) > moment(t_max):
         raise ValueError("t_min must not exceed t_max")
 
 

@@ -377,6 +377,65 @@ def fixed_for(fixed: DataFrame, requests: DataFrame, hot_rows: int = HOT_ROWS) -
                         F.when(F.col("_known"), status).otherwise(F.lit("unknown")).alias("status"))
 
 
+def _bisect(times: Column, us: Column) -> Column:
+    """How many of the ascending `times` are not after `us`."""
+    span = F.struct(F.lit(0).alias("low"), F.size(times).alias("high"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(times) + F.lit(1))).cast("int") + 1)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        after = F.get(times, middle) > us  # null past the end, when the span is closed
+        low = F.when((s["low"] < s["high"]) & ~after, middle + 1).otherwise(s["low"])
+        high = F.when((s["low"] < s["high"]) & after, middle).otherwise(s["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.aggregate(steps, span, halve, lambda s: s["low"])
+
+
+def packed_at(packs: DataFrame, requests: DataFrame, *, ra_mode: str = "linear", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per distinct (`sso_id`, `time`) request, like `positions_for`, from the arrays made by `packed`.
+
+    The points around a time are found by bisection in the array: no join with points and no
+    window over them. Parts of one object are linked by the first point of the next; only
+    these heads, a row a part, are put in order.
+    """
+    us = F.transform("points", lambda p: unix_micros(p["time"]))
+    rows = packs.select("sso_id", "part", "share", "points", us.alias("times"))
+    equal = F.exists(F.sequence(F.lit(1), F.size("times")), lambda i: F.get(F.col("times"), i) == F.get(F.col("times"), i - 1))
+    heads = rows.select(
+        "sso_id", "part", "share", F.get("times", F.lit(0)).alias("_from"), F.element_at("times", -1).alias("_last"),
+        F.get("points", F.lit(0)).alias("_head"), F.size("times").cast("bigint").alias("_n"), equal.alias("_equal"),
+        F.forall("points", lambda p: p["flux_mJy"].isNotNull()).alias("_flux"))
+    order, whole = Window.partitionBy("sso_id").orderBy("part", "share"), Window.partitionBy("sso_id")
+    linked = saved(heads.select(
+        "sso_id", "part", "share", "_from", F.lead("_from").over(order).alias("_next_us"), F.lead("_head").over(order).alias("_next"),
+        F.min("_from").over(whole).alias("_first"), F.max("_last").over(whole).alias("_end"), F.sum("_n").over(whole).alias("n_points"),
+        F.bool_and("_flux").over(whole).alias("do_flux"), F.bool_or("_equal").over(whole).alias("_twice"),
+        (F.col("_last") == F.lead("_from").over(order)).alias("_meets")), "packed-heads")
+    about = linked.groupBy("sso_id").agg(
+        F.min("_first").alias("_first"), F.max("_end").alias("_end"), F.max("n_points").alias("n_points"), F.max("do_flux").alias("do_flux"),
+        (F.coalesce(F.bool_or("_twice"), F.lit(False)) | F.coalesce(F.bool_or("_meets"), F.lit(False))).alias("duplicate_times"))
+    wanted = requests.select("sso_id", F.col("time").alias("t")).distinct().withColumn("us", unix_micros(F.col("t")))
+    asked = saved(dimension_join(wanted, about, ["sso_id"], "left", hot_rows=hot_rows).withColumn(
+        "status", _status(F.col("us"), F.col("_first"), F.col("_end"))), "packed-requests")
+    links = linked.select("sso_id", "part", "share", "_from", "_next_us", "_next")
+    part = rows.drop("times").join(links, ["sso_id", "part", "share"]).withColumn("times", us)
+    here = (F.col("_from") <= F.col("us")) & (F.col("_next_us").isNull() | (F.col("us") < F.col("_next_us")))
+    found = grid_join(part, asked.where("status = 'ok'").select("sso_id", "t", "us", "do_flux"), ["sso_id"], here, hot_rows)
+    found = found.withColumn("_at", _bisect(F.col("times"), F.col("us")))
+    ends = {}
+    for side, point, time in (
+        ("0", F.get("points", F.col("_at") - 1), F.get("times", F.col("_at") - 1)),
+        ("1", F.coalesce(F.get("points", F.col("_at")), F.col("_next")), F.coalesce(F.get("times", F.col("_at")), F.col("_next_us"))),
+    ):
+        ends |= {f"us{side}": time, **{f"{v}{side}": point[v] for v in ("ra_deg", "dec_deg", "flux_mJy")}}
+    ra, dec, flux = interpolate(F.col("us"), ra_mode)
+    placed = found.withColumns(ends).select(
+        "sso_id", F.col("t").alias("time"), ra.alias("ra_deg"), dec.alias("dec_deg"), flux.alias("flux_mJy"), F.lit("ok").alias("status"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("ra_deg", "dec_deg", "flux_mJy")]
+    return placed.unionByName(asked.where("status <> 'ok'").select("sso_id", F.col("t").alias("time"), *none, "status"))
+
+
 def packed(points: DataFrame, pack_rows: int = 100_000) -> DataFrame:
     """The ordered points of an object as arrays of bounded length, for export.
 

@@ -19,7 +19,7 @@ from ..functions.values import double_key, row_key
 from ..schema import FIXED_SOURCES, MOVING_SOURCES, SERVICES, SOLARSYSTEM_OBJECTS, conform, folded, names
 from .lookups import raise_if_any
 from .numbering import number_occurrences
-from .skew import broadcast_if_small, dimension_join, is_small, restrict
+from .skew import broadcast_if_small, dimension_join, is_small, restrict, saved
 
 
 class Change(NamedTuple):
@@ -240,8 +240,8 @@ def partial_update(
     several updates of one key, (with it) no order. With `order`, later updates win
     column by column, of equally late ones the greater value. Each column's last value
     is a partial aggregate. All updates of a key are rejected if its new value of a
-    `unique` column is another row's or another update's, or if that of a column in
-    `parents` is not among that table's values.
+    `unique` column would be another row's too once all are applied, or if that of a
+    column in `parents` is not among that table's values.
     """
     updates = folded(updates, key, *columns, *([order] if order else []))
     present = [c for c in columns if c in updates.columns]
@@ -291,22 +291,62 @@ def partial_update(
 
 
 def _refused(table: DataFrame, latest: DataFrame, key: str, unique: list[str], parents: dict[str, DataFrame]) -> DataFrame | None:
-    """(key, reason) of updates whose values are in use, or are no value of the parent table."""
-    found = []
+    """(key, reason) of updates that would leave a `unique` value with two owners, or name a value that its parent table lacks.
+
+    Judged as of the end of the statement: a value is free if the row that has it gives it up
+    by an update that is itself not refused, so two rows may swap names. Old and new owners
+    of a value meet in one aggregate, which counts them and keeps one; no pairs are made.
+    """
+    if not unique and not parents:
+        return None
+    state = latest.select(key)
+    edges = []
     for c in unique:
-        values = latest.where(F.col(c).isNotNull()).select(key, c)
-        owners = table.select(F.col(key).alias("_owner"), c).union(values.select(F.col(key).alias("_owner"), c))
-        taken = values.join(owners, c).where(F.col(key) != F.col("_owner"))
-        found.append(taken.select(key, F.lit(f"{c} not unique").alias("reason")))
+        state = state.join(_claims(table, latest, key, c).withColumnsRenamed({"reason": f"_why_{c}", "after": f"_after_{c}"}), key, "left")
+        edges.append(f"_after_{c}")
     for c, parent in parents.items():
-        values = latest.where(F.col(c).isNotNull()).select(key, c)
-        found.append(values.join(parent.select(c), c, "left_anti").select(key, F.lit(f"unknown {c}").alias("reason")))
-    if not found:
-        return None
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.union(more)
-    return rows.groupBy(key).agg(F.min("reason").alias("reason"))
+        strange = latest.where(F.col(c).isNotNull()).select(key, c).join(parent.select(c), c, "left_anti")
+        state = state.join(strange.select(key, F.lit(f"unknown {c}").alias(f"_why_{c}")), key, "left")
+    reasons = [F.col(f"_why_{c}") for c in [*unique, *parents]]
+    state = saved(state.select(key, F.least(*reasons, F.lit(None)).alias("reason"), *edges), "update-verdicts")
+    bad, n_bad = state.where("reason is not null").select(key, "reason"), -1
+    waits = [c for c in unique if state.where(F.col(f"_after_{c}").isNotNull()).take(1)]
+    while waits and bad.count() != n_bad:  # with one such column a single pass is enough
+        n_bad = bad.count()
+        for c in waits:
+            bad = _follow(state.select(key, F.col(f"_after_{c}").alias("after")), bad, key, f"{c} not unique")
+        if len(waits) == 1:
+            break
+    return bad
+
+
+def _claims(table: DataFrame, latest: DataFrame, key: str, c: str) -> DataFrame:
+    """(key, reason, after) per update that sets `c`: why it cannot be, or which other row must give up the value first."""
+    values = latest.where(F.col(c).isNotNull()).select(key, c)
+    owned = restrict(table.where(F.col(c).isNotNull()), values, [c]).select(c, F.col(key).alias("_old"), F.lit(None).cast("boolean").alias("_new"))
+    tagged = owned.unionByName(values.select(c, F.lit(None).cast(table.schema[key].dataType).alias("_old"), F.lit(True).alias("_new")))
+    per_value = tagged.groupBy(c).agg(
+        F.count("_new").alias("n_new"), F.count("_old").alias("n_old"), F.min("_old").alias("least"), F.max("_old").alias("most")).where("n_new > 0")
+    judged = values.join(per_value, c).withColumn("owner", F.when(F.col("least") != F.col(key), F.col("least")).when(F.col("most") != F.col(key), F.col("most")))
+    movers = values.select(F.col(key).alias("owner"), F.lit(True).alias("_moves"))
+    judged = judged.join(movers, "owner", "left")
+    stays = F.col("owner").isNotNull() & (F.col("_moves").isNull() | (F.col("n_old") > 1))
+    clash = (F.col("n_new") > 1) | stays
+    return judged.select(key, F.when(clash, F.lit(f"{c} not unique")).alias("reason"), F.when(~clash, F.col("owner")).alias("after"))
+
+
+def _follow(waits: DataFrame, bad: DataFrame, key: str, reason: str) -> DataFrame:
+    """`bad` with all updates that wait, over any number of others, for one in it. Each round looks twice as far."""
+    state = saved(waits.join(bad, key, "left"), "update-waits")
+    n = state.where("reason is not null").count()
+    while True:
+        hop = state.select(F.col(key).alias("after"), F.col("reason").alias("_why"), F.col("after").alias("_then"))
+        state = saved(state.join(hop, "after", "left").select(
+            key, F.col("_then").alias("after"), F.coalesce("reason", F.when(F.col("_why").isNotNull(), F.lit(reason))).alias("reason")), "update-waits")
+        more = state.where("reason is not null").count()
+        if more == n:
+            return state.where("reason is not null").select(key, "reason")
+        n = more
 
 
 def update_source(table, updates, order=None, strict=False) -> Change:

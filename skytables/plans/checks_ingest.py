@@ -8,7 +8,7 @@ from ..functions import angles, times, values
 from ..operators.boxes import split_boxes
 from ..schema import FIXED_SOURCES, conform
 from ..session import shared_folder
-from ..sources import catalogs, fits, jpl, mpc, snapshot
+from ..sources import catalogs, fits, generations, jpl, mpc, snapshot
 from .fits_files import write_parts
 from .registry import nine, nine_digits, query
 
@@ -87,6 +87,19 @@ def ingest_jpl_ephem(v):
     return jpl.ingest_jpl(v.jpl_rows, every=10, order=["row_idx"]).points.select(*POINT)
 
 
+@query("ingest_jpl_rejected", f"""
+    SELECT concat('Obj ', CAST(u - u % 6 AS VARCHAR)) AS name, {JPL_TIME} AS time, ra_deg, dec_deg, 'name with several MPC ids' AS reason
+    FROM (SELECT *, CAST(split_part(designation, ' ', 1) AS BIGINT) - 1 AS u FROM jpl_rows) WHERE u % 6 < 2
+      AND u - u % 6 IN (SELECT a.u FROM (SELECT DISTINCT user_id AS u FROM events) a JOIN (SELECT DISTINCT user_id AS u FROM events) b ON b.u = a.u + 1 WHERE a.u % 6 = 0)
+    """, "jpl_rows")
+def ingest_jpl_rejected(v):
+    """Objects 6k and 6k + 1 come under one name and with two MPC ids."""
+    own = F.split("designation", " ")[0].cast("bigint") - 1
+    name = F.when(own % 6 == 1, own - 1).otherwise(own)
+    rows = v.jpl_rows.withColumn("designation", F.concat((own + 1).cast("string"), F.lit(" Obj "), name.cast("string")))
+    return jpl.ingest_jpl(rows, order=["row_idx"]).rejected
+
+
 @query("ingest_jpl_second_token", f"""
     SELECT CAST(split_part(designation, ' ', 1) AS BIGINT) AS mpc_id, split_part(designation, ' ', 2) AS name,
            {JPL_TIME} AS time, ra_deg, dec_deg, flux_mjy
@@ -136,6 +149,79 @@ def ingest_mpc_vectors(v):
     return mpc.parse_vectors(v.vector_lines, "heliocentric")
 
 
+def _mpc_files(v):
+    """A saved response per object of `events`, with every kind of motion, and with and without Moon and uncertainty blocks."""
+    e, u = F.col("event_id"), F.col("user_id")
+
+    def tenth(n):
+        return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"))
+
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    line = F.lit("")
+    first = F.when(e % 17 == 0, F.lit("2024 13 01 123000")).otherwise(F.concat(F.lit("2024 01 "), two(e % 28 + 1), F.lit(" 123000")))
+    fields = [
+        (0, first), (18, F.concat(two(e % 24), F.lit(" "), two(e % 60), F.lit(" 07.5"))),
+        (29, F.concat(F.when(e % 2 == 0, "+").otherwise("-"), two(e % 90), F.lit(" 30 15"))), (39, tenth(e % 900)), (47, tenth(e % 700)),
+        (56, tenth(e % 1800)), (62, tenth(e % 999)), (69, F.when(e % 13 == 0, F.lit("N/A")).otherwise(tenth(e % 200))), (73, tenth(e % 5000)), (82, tenth(e % 3600)),
+    ]
+    moon = [(92, tenth(e % 3599)), (99, tenth(e % 90)), (104, tenth(e % 80)), (110, tenth(e % 10)), (117, tenth(e % 1799)), (123, tenth(e % 70))]
+
+    def padded(line, fields):
+        for start, text in fields:
+            line = F.concat(F.rpad(line, start, " "), text)
+        return line
+
+    line = padded(line, fields)
+    line = F.when(u % 2 == 0, padded(line, moon)).otherwise(line)
+    unc = F.when(u % 2 == 0, F.rpad(line, 128, " ")).otherwise(F.rpad(line, 92, " "))
+    line = F.when(u % 5 == 0, F.rpad(F.concat(unc, F.lpad(tenth(e % 7777), 8, " "), F.lit(" "), tenth(e % 360)), 150, " ")).otherwise(line)
+    motion = F.when(u % 3 == 0, '"/hr     P.A.').when(u % 3 == 1, "RA cosD  Dec").otherwise("RA       Dec")
+    title = F.concat(F.lit("Date UT R.A. Decl. Sky Motion"), F.when(u % 2 == 0, " Moon").otherwise(""), F.when(u % 5 == 0, " Uncertainty").otherwise(""))
+    header = F.concat(F.lit("<html><pre>"), title, F.lit("\n"), F.rpad(F.rpad(F.lit("            h m s"), 73, " "), 73, " "), motion, F.lit("\n"))
+    lines = v.table("events").select("user_id", "event_id", line.alias("line"))
+    bodies = lines.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("rows"))
+    files = bodies.select("user_id", F.concat(header, F.array_join("rows.line", "\n"), F.lit("\n</pre></html>")).alias("value"))
+    folder = shared_folder(v.spark, "mpc")
+    files.repartition("user_id").write.partitionBy("user_id").text(folder)
+    return folder
+
+
+@query("ingest_mpc_files", """
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS row_idx, motion,
+           TIMESTAMP '2024-01-01 12:30:00' + INTERVAL 1 DAY * (e % 28) AS time,
+           round((e % 24 + (e % 60) / 6e1 + 75e-1 / 36e2) * 15e0, 9) AS ra_deg,
+           round((CASE WHEN e % 2 = 0 THEN 1 ELSE -1 END) * (e % 90 + 3e1 / 6e1 + 15e0 / 36e2), 9) AS dec_deg,
+           e % 900 / 1e1 AS delta_au, e % 700 / 1e1 AS r_au, e % 1800 / 1e1 AS elongation_deg, e % 999 / 1e1 AS phase_deg,
+           CASE WHEN e % 13 <> 0 THEN e % 200 / 1e1 END AS v_mag,
+           CASE WHEN motion = 'total' THEN round(e % 5000 / 1e1 / 6e1, 9) END AS proper_motion_arcmin_h,
+           CASE WHEN motion = 'total' THEN e % 3600 / 1e1 END AS direction_deg,
+           CASE WHEN motion = 'coord' THEN round(e % 5000 / 1e1 / 6e1, 9) END AS dra_arcmin_h,
+           CASE WHEN motion = 'sky' THEN round(e % 5000 / 1e1 / 6e1, 9) END AS dra_cosdec_arcmin_h,
+           CASE WHEN motion <> 'total' THEN round(e % 3600 / 1e1 / 6e1, 9) END AS ddec_arcmin_h,
+           CASE WHEN user_id % 2 = 0 THEN e % 3599 / 1e1 END AS azimuth_deg, CASE WHEN user_id % 2 = 0 THEN e % 90 / 1e1 END AS altitude_deg,
+           CASE WHEN user_id % 2 = 0 THEN e % 80 / 1e1 END AS sun_altitude_deg, CASE WHEN user_id % 2 = 0 THEN e % 10 / 1e1 END AS moon_phase,
+           CASE WHEN user_id % 2 = 0 THEN e % 1799 / 1e1 END AS moon_distance_deg, CASE WHEN user_id % 2 = 0 THEN e % 70 / 1e1 END AS moon_altitude_deg,
+           CASE WHEN user_id % 5 = 0 THEN e % 7777 / 1e1 END AS uncertainty_3sig_arcsec, CASE WHEN user_id % 5 = 0 THEN e % 360 / 1e1 END AS uncertainty_pa_deg,
+           CAST(e % 24 AS VARCHAR) || ':' || lpad(CAST(e % 60 AS VARCHAR), 2, '0') || ':07.5' AS ra_sexagesimal
+    FROM (SELECT event_id, event_id AS e, user_id, CASE user_id % 3 WHEN 0 THEN 'total' WHEN 1 THEN 'sky' ELSE 'coord' END AS motion FROM events)
+    QUALIFY e % 17 <> 0""")
+def ingest_mpc_files(v):
+    """Full sky layouts, written as files and read back, each by its own header."""
+    found = mpc.ingest_mpc_files(v.spark, _mpc_files(v), ra_format={"unit": "hourangle", "sep": ":", "precision": 1}).rows
+    object_of = F.regexp_extract("source_file", r"user_id=(\d+)", 1).cast("bigint")
+    names = [c for c in found.columns if c not in ("source_file", "row_idx", "motion", "time", "ra_sexagesimal")]
+    return found.select(object_of.alias("user_id"), F.col("row_idx").cast("bigint").alias("row_idx"), "motion", "time", *nine(*names), "ra_sexagesimal")
+
+
+@query("ingest_mpc_rejected", """
+    SELECT user_id, event_id % 24 AS hours, 'no time' AS reason FROM events WHERE event_id % 17 = 0""")
+def ingest_mpc_rejected(v):
+    """Lines whose month is 13."""
+    faulty = mpc.ingest_mpc_files(v.spark, _mpc_files(v)).rejected
+    object_of = F.regexp_extract("source_file", r"user_id=(\d+)", 1).cast("bigint")
+    return faulty.select(object_of.alias("user_id"), F.substring("line", 19, 2).cast("bigint").alias("hours"), "reason")
+
+
 @query("motion_arcmin", "SELECT event_id AS row_idx, value / 6e1 AS arcmin_h FROM events")
 def motion_arcmin(v):
     return v.table("events").select(F.col("event_id").alias("row_idx"),
@@ -149,6 +235,57 @@ def snapshot_roundtrip(v):
     return snapshot.read_snapshot(v.spark, folder, "moving_sources", keep_ids=True)
 
 
+@query("snapshot_tables", """
+    SELECT 'fixed_sources' AS "table", CAST(source_id AS VARCHAR) AS id, name, NULL AS mpc_id, NULL AS time, ra_deg, dec_deg, flux_mjy, monitored, pointing, NULL AS config
+    FROM fixed_sources
+    UNION ALL SELECT 'solarsystem_objects', CAST(sso_id AS VARCHAR), name, mpc_id, NULL, NULL, NULL, NULL, monitored, pointing, NULL FROM solarsystem_objects
+    UNION ALL SELECT 'moving_sources', CAST(ephem_id AS VARCHAR), name, mpc_id, time, ra_deg, dec_deg, flux_mjy, NULL, NULL, NULL FROM moving_sources
+    UNION ALL SELECT 'services', CAST(service_id AS VARCHAR), name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, json_extract_string(config, '$.ra_col') FROM services
+    """, "fixed_sources", "solarsystem_objects", "moving_sources", "services")
+def snapshot_tables(v):
+    """All four tables, written and read back."""
+    folder = shared_folder(v.spark, "snapshot")
+    services = v.services.withColumn("config", F.from_json("config", "map<string,string>"))
+    tables = {"fixed_sources": v.fixed_sources, "solarsystem_objects": v.solarsystem_objects, "moving_sources": v.moving_sources, "services": services}
+    snapshot.write_snapshot(tables, folder)
+    keys = {"fixed_sources": "source_id", "solarsystem_objects": "sso_id", "moving_sources": "ephem_id", "services": "service_id"}
+    kinds = {"name": "string", "mpc_id": "bigint", "time": "timestamp_ntz", "ra_deg": "double", "dec_deg": "double", "flux_mjy": "double",
+             "monitored": "boolean", "pointing": "boolean", "config": "string"}
+    out = None
+    for name, key in keys.items():
+        back = snapshot.read_snapshot(v.spark, folder, name, keep_ids=True)
+        back = back.toDF(*[c.lower() for c in back.columns])
+        if name == "services":
+            back = back.withColumn("config", F.col("config")["ra_col"])
+        row = back.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("id"),
+                          *[(F.col(c) if c in back.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("snapshot_range", "SELECT * FROM moving_sources WHERE time BETWEEN TIMESTAMP '2024-01-05 07:00:00' AND TIMESTAMP '2024-01-09 18:30:00'", "moving_sources")
+def snapshot_range(v):
+    """A time range of a stored table, from the folders of its days."""
+    folder = shared_folder(v.spark, "generations")
+    generations.write_points(v.moving_sources, folder)
+    return generations.read_points(v.spark, folder, "2024-01-05 07:00:00", "2024-01-09 18:30:00", ids="bigint")
+
+
+@query("snapshot_update", """
+    SELECT ephem_id, sso_id, mpc_id, name, CASE WHEN ephem_id % 9 = 0 THEN time + INTERVAL 2 DAY ELSE time END AS time, ra_deg,
+           CASE WHEN ephem_id % 3 = 0 THEN 1e0 ELSE dec_deg END AS dec_deg, flux_mjy
+    FROM moving_sources WHERE ephem_id NOT IN (SELECT s_suppkey * 7 FROM supplier)""", "moving_sources")
+def snapshot_update(v):
+    """Points deleted, then others moved in place and time, each as a generation of its own."""
+    folder = shared_folder(v.spark, "generations")
+    generations.write_points(v.moving_sources, folder)
+    generations.delete_points(v.spark, folder, v.table("supplier").select((F.col("s_suppkey") * 7).alias("ephem_id")), ids="bigint")
+    third = v.moving_sources.where(F.col("ephem_id") % 3 == 0)
+    later = F.when(F.col("ephem_id") % 9 == 0, F.col("time") + F.expr("interval 2 days"))
+    generations.update_points(v.spark, folder, third.select("ephem_id", later.alias("time"), F.lit(1.0).alias("dec_deg")), ids="bigint")
+    return generations.read_points(v.spark, folder, ids="bigint")
+
+
 @query("upgrade_flags", """
     SELECT source_id, ra_deg, dec_deg, name, monitored, false AS pointing FROM fixed_sources""", "fixed_sources")
 def upgrade_flags(v):

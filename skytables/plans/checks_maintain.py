@@ -157,6 +157,21 @@ def update_sso_cascade(v):
     return maintain.update_sso_cascade(_ssos(v), v.moving_sources, _sso_updates(v)).points
 
 
+@query("update_cascade_both", f"""
+    , {SSO_UPDATES}
+    SELECT 'object' AS kind, NULL AS ephem_id, sso_id, coalesce(mpc, mpc_id) AS mpc_id, coalesce(nm, name) AS name
+    FROM solarsystem_objects LEFT JOIN u ON id = sso_id
+    UNION ALL SELECT 'point', ephem_id, sso_id, CASE WHEN id IS NULL THEN mpc_id ELSE coalesce(mpc, mpc_id) END, coalesce(nm, name)
+    FROM moving_sources LEFT JOIN u ON id = sso_id""", "solarsystem_objects", "moving_sources")
+def update_cascade_both(v):
+    return _both_sides(maintain.update_sso_cascade(_ssos(v), v.moving_sources, _sso_updates(v)))
+
+
+def _both_sides(done):
+    objects = done.ssos.select(F.lit("object").alias("kind"), F.lit(None).cast("bigint").alias("ephem_id"), "sso_id", "mpc_id", "name")
+    return objects.unionByName(done.points.select(F.lit("point").alias("kind"), "ephem_id", "sso_id", "mpc_id", "name"))
+
+
 @query("update_ephem", """
     SELECT ephem_id, sso_id, mpc_id, name, coalesce(o_orderdate, time) AS time, ra_deg,
            coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 90 * 1e0 END, dec_deg) AS dec_deg,
@@ -227,6 +242,25 @@ def update_sso_rejected(v):
     return maintain.update_sso(known, updates).rejected.select("sso_id", "reason")
 
 
+@query("update_sso_swap", """
+    SELECT a.sso_id, a.mpc_id, coalesce(b.name, a.name) AS name, a.monitored, a.pointing FROM solarsystem_objects a
+    LEFT JOIN solarsystem_objects b ON b.sso_id = a.sso_id + 1 - 2 * (a.sso_id % 2)""", "solarsystem_objects")
+def update_sso_swap(v):
+    """Objects 2k and 2k + 1 swap their names in one statement; none is refused."""
+    known = v.solarsystem_objects
+    other = known.select((F.col("sso_id") + 1 - 2 * (F.col("sso_id") % 2)).alias("sso_id"), "name")
+    return maintain.update_sso(known, other.join(known.select("sso_id"), "sso_id")).table
+
+
+@query("update_sso_one_name", """
+    SELECT sso_id, 'name not unique' AS reason FROM solarsystem_objects WHERE sso_id % 3 = 0""", "solarsystem_objects")
+def update_sso_one_name(v):
+    """Very many updates to one name are all refused."""
+    known = v.solarsystem_objects
+    updates = known.where(F.col("sso_id") % 3 == 0).select("sso_id", F.lit("the same").alias("name"))
+    return maintain.update_sso(known, updates).rejected.select("sso_id", "reason")
+
+
 @query("update_ephem_rejected", """
     SELECT ephem_id, 'unknown sso_id' AS reason FROM moving_sources WHERE ephem_id % 3 = 0""", "moving_sources")
 def update_ephem_rejected(v):
@@ -277,6 +311,15 @@ def delete_sso_cascade(v):
     return maintain.delete_sso_cascade(v.solarsystem_objects, v.moving_sources, keys).points
 
 
+@query("delete_cascade_both", """
+    SELECT 'object' AS kind, NULL AS ephem_id, sso_id, mpc_id, name FROM solarsystem_objects WHERE sso_id NOT IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'point', ephem_id, sso_id, mpc_id, name FROM moving_sources WHERE sso_id NOT IN (SELECT s_suppkey FROM supplier)
+    """, "solarsystem_objects", "moving_sources")
+def delete_cascade_both(v):
+    keys = v.table("supplier").select(F.col("s_suppkey").alias("sso_id"))
+    return _both_sides(maintain.delete_sso_cascade(v.solarsystem_objects, v.moving_sources, keys))
+
+
 # --- counts and integrity ------------------------------------------------------------------
 
 @query("catalog_counts", """

@@ -196,7 +196,7 @@ def at_time_many(v):
     return found.select("sso_id", "time", *nine("ra_deg", "dec_deg", "flux_mJy"))
 
 
-@query("at_time_named", f"""
+NAMED_SQL = f"""
     , seg AS ({SEGMENTS.format(points='moving_sources')}),
     obj AS (SELECT sso_id, min(time) AS t_min, max(time) AS t_max, count(*) AS n FROM moving_sources GROUP BY sso_id),
     req AS (SELECT DISTINCT o_custkey AS sso_id, d.time AS t FROM january_detections d JOIN orders ON o_orderkey = det_id)
@@ -206,7 +206,10 @@ def at_time_many(v):
                 WHEN n < 2 THEN 'too_few_points' ELSE 'ok' END AS status
     FROM req LEFT JOIN obj ON obj.sso_id = req.sso_id
       LEFT JOIN seg ON seg.sso_id = req.sso_id AND time0 <= t AND (t < time1 OR (t = time1 AND time1 = seg.t_max))
-    """, "moving_sources", "january_detections")
+    """
+
+
+@query("at_time_named", NAMED_SQL, "moving_sources", "january_detections")
 def at_time_named(v):
     owner = v.table("orders").select(F.col("o_orderkey").alias("det_id"), F.col("o_custkey").alias("sso_id"))
     asked = v.january_detections.join(owner, "det_id").select("sso_id", "time")
@@ -214,6 +217,15 @@ def at_time_named(v):
     return found.select("sso_id", "time", *nine("ra_deg", "dec_deg", "flux_mJy"), "status")
 
 
+@query("packed_at_time", NAMED_SQL, "moving_sources", "january_detections")
+def packed_at_time(v):
+    """The same requests, answered from the packed arrays."""
+    owner = v.table("orders").select(F.col("o_orderkey").alias("det_id"), F.col("o_custkey").alias("sso_id"))
+    asked = v.january_detections.join(owner, "det_id").select("sso_id", "time")
+    found = ephemeris.packed_at(ephemeris.packed(v.moving_sources), asked)
+    return found.select("sso_id", "time", *nine("ra_deg", "dec_deg", "flux_mJy"), "status")
+
+
 @query("at_time_fixed", """
     , req AS (SELECT DISTINCT o_custkey AS source_id, o_orderdate AS time FROM orders)
     SELECT req.source_id, time, ra_deg, dec_deg, nullif(flux_mjy, 0e0) AS flux_mjy, 'ok' AS status

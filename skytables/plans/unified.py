@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import ntz
-from ..operators.boxes import Box, in_box, in_times
+from ..operators.boxes import Box, in_box, in_times, moment
 from ..operators.ephemeris import (
     FIXED_T_MAX, FIXED_T_MIN, coverage_aggs, fixed_at, fixed_at_times, object_states, positions_for, positions_from_states,
     with_point_in,
@@ -90,7 +90,8 @@ def box_at_time(
 
 
 def _at_times(fixed: DataFrame, ssos: DataFrame, points: DataFrame, times: list, options: dict) -> DataFrame:
-    """Chosen sources at each time of a list the caller typed."""
+    """Chosen sources at each distinct time of a list the caller typed."""
+    times = list(dict.fromkeys(moment(t) for t in times))
     placed = fixed_at_times(fixed, times, keep=["name"]).select(
         F.lit("fixed").alias("kind"), F.col("source_id").cast("string").alias("id"), "name", "time", "ra_deg", "dec_deg", "flux_mJy", "status")
     chosen = ssos.select("sso_id", "name")

@@ -11,6 +11,7 @@ from ..functions.times import jd_to_time
 from ..functions.values import optional_flux, parse_designation
 from ..operators.maintain import ephem_rows, sso_id_of
 from ..operators.numbering import number_rows
+from ..operators.skew import broadcast_if_small, is_small, saved
 from ..schema import SOLARSYSTEM_OBJECTS, conform, require_columns
 
 REQUIRED = {"designation", "julian_day", "ra_deg", "dec_deg"}
@@ -48,7 +49,8 @@ def ingest_jpl(
 
     `order` names the columns that give file order (its last one a row index);
     rows of `read_jpl` have them. `name_mode='second_token', monitored=False` is
-    the second form of this ingest. Rows without a designation are rejected.
+    the second form of this ingest. Rows without a designation are rejected, and so are
+    all rows of a name that comes with different MPC ids, as an object has one.
     """
     require_columns(rows, REQUIRED)
     order = order or FILE_ORDER
@@ -58,10 +60,16 @@ def ingest_jpl(
     shaped = rows.withColumn("flux_mJy", optional_flux(rows)).withColumn("MPC_id", mpc_id).withColumn("name", name)
     unnamed = shaped.where(F.col("name").isNull())
     named = shaped.where(F.col("name").isNotNull())
-    ssos = (
-        named.select("name", "MPC_id").distinct()
-        .withColumn("sso_id", sso_id_of(F.col("name"))).withColumn("monitored", F.lit(monitored))
-    )
+    mpc = F.col("MPC_id")
+    torn = (F.min(mpc) != F.max(mpc)) | ((F.count(mpc) > 0) & (F.count(mpc) < F.count(F.lit(1))))
+    objects = saved(named.groupBy("name").agg(F.min(mpc).alias("MPC_id"), F.coalesce(torn, F.lit(False)).alias("torn")), "jpl-objects")
+    ssos = objects.where("not torn").select("name", "MPC_id", sso_id_of(F.col("name")).alias("sso_id"), F.lit(monitored).alias("monitored"))
+    torn_names = objects.where("torn").select("name")
+    clashing = named.limit(0)
+    if torn_names.take(1):
+        small = is_small(torn_names)
+        clashing = named.join(broadcast_if_small(torn_names, small), "name", "left_semi")
+        named = named.join(broadcast_if_small(torn_names, small), "name", "left_anti")
     kept = downsample(named, "designation", every, order)
     points, faulty = ephem_rows(kept.select(
         sso_id_of(F.col("name")).alias("sso_id"), "MPC_id", "name", jd_to_time(F.col("julian_day")).alias("time"),
@@ -69,5 +77,7 @@ def ingest_jpl(
     rejected = unnamed.select(
         F.lit(None).cast("string").alias("name"), jd_to_time(F.col("julian_day")).alias("time"), "ra_deg", "dec_deg",
         F.lit("no designation").alias("reason"))
+    rejected = rejected.unionByName(clashing.select(
+        "name", jd_to_time(F.col("julian_day")).alias("time"), "ra_deg", "dec_deg", F.lit("name with several MPC ids").alias("reason")))
     return Ephemerides(conform(ssos, SOLARSYSTEM_OBJECTS), points,
                        rejected.unionByName(faulty.select(*rejected.columns)))

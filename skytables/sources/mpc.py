@@ -6,9 +6,11 @@ for the sky layout the last column, included.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.angles import sexagesimal_to_deg
+from ..functions.angles import deg_to_sexagesimal, sexagesimal_to_deg
 from ..functions.times import mpc_date
 
 SKY = {
@@ -38,6 +40,11 @@ VECTORS = {
 HEADER_MARK = {"sky": "h m s", "heliocentric": "JD_TT", "geocentric": "JD_TT"}
 
 
+class Ephemeris(NamedTuple):
+    rows: DataFrame
+    rejected: DataFrame
+
+
 def cut(line: Column, start: int | Column, end: int | Column) -> Column:
     """Columns `start` to `end` of a line, 0-based and inclusive, without blanks around."""
     start = F.lit(start) if isinstance(start, int) else start
@@ -63,7 +70,7 @@ def read_responses(spark: SparkSession, path: str, layout: str) -> DataFrame:
 
 def _tables(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """Text between <pre> and </pre> and the end of its header: the line break after the marker."""
-    text = spark.read.text(path, wholetext=True).select(
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.regexp_extract("value", "(?s)<pre>(.*?)</pre>", 1).alias("body"))
     mark = F.locate(HEADER_MARK[layout], F.col("body"))
@@ -93,7 +100,7 @@ def parse_sky(lines: DataFrame, motion: str = "total") -> DataFrame:
     ]
     for name, span in zip(MOTIONS[motion], MOTION_SPANS):
         value = number(cut(line, *span))
-        out.append((value / 60.0 if name.endswith("arcmin_h") else value).alias(name))
+        out.append((motion_arcmin(value) if name.endswith("arcmin_h") else value).alias(name))
     if "header" in lines.columns:
         moon = F.col("header").contains("Moon")
         unc = F.col("header").contains("Uncertainty")
@@ -120,5 +127,49 @@ def parse_vectors(lines: DataFrame, layout: str = "heliocentric") -> DataFrame:
     return lines.select(*keep, *out)
 
 
+def motion_kind(header: Column) -> Column:
+    """Which two motion columns a sky table has, by its last header line there: `total` with a position angle,
+    `sky` where RA motion is times cos(Dec), else `coord`."""
+    last = F.element_at(F.split(F.regexp_replace(header, r"\s+$", ""), "\r?\n"), -1)
+    title = F.substring(last, F.lit(MOTION_SPANS[0][0] + 1), F.lit(MOTION_SPANS[1][1] - MOTION_SPANS[0][0] + 1))
+    return F.when(title.contains("P.A."), "total").when(title.contains("cos"), "sky").otherwise("coord")
+
+
+def ingest_sky(
+    lines: DataFrame, motion: str | None = None, ra_format: dict | None = None, dec_format: dict | None = None,
+) -> Ephemeris:
+    """Rows of `read_responses(..., "sky")`, each file by the layout that its own header has.
+
+    All motion columns are there, null where a file's kind has no such column; `motion`
+    names the kind where headers do not tell. Moon and uncertainty columns are null in files
+    without them. `ra_format` and `dec_format` are arguments of `deg_to_sexagesimal` and add
+    `ra_sexagesimal` and `dec_sexagesimal`. Lines without a readable time or position are rejected.
+    """
+    kind = motion_kind(F.col("header")) if motion is None else F.lit(motion)
+    if motion is not None and motion not in MOTIONS:
+        raise ValueError(f"motion must be one of {sorted(MOTIONS)}")
+    first = parse_sky(lines.select("*", F.col("line").alias("_line"), kind.alias("motion")), "total")
+    pair = [number(cut(F.col("_line"), *span)) for span in MOTION_SPANS]
+    by_name: dict[str, Column] = {}
+    for name, columns in MOTIONS.items():
+        for column, value in zip(columns, pair, strict=True):
+            here = F.when(F.col("motion") == name, motion_arcmin(value) if column.endswith("arcmin_h") else value)
+            by_name[column] = F.coalesce(by_name[column], here) if column in by_name else here
+    rows = first.withColumns(by_name)
+    if ra_format is not None:
+        rows = rows.withColumn("ra_sexagesimal", deg_to_sexagesimal(F.col("ra_deg"), **ra_format))
+    if dec_format is not None:
+        rows = rows.withColumn("dec_sexagesimal", deg_to_sexagesimal(F.col("dec_deg"), **dec_format))
+    reason = F.when(F.col("time").isNull(), "no time").when(F.col("ra_deg").isNull() | F.col("dec_deg").isNull(), "no position")
+    rows = rows.withColumn("reason", reason)
+    faulty = rows.where(F.col("reason").isNotNull()).select("source_file", "row_idx", F.col("_line").alias("line"), "reason")
+    return Ephemeris(rows.where(F.col("reason").isNull()).drop("reason", "_line"), faulty)
+
+
+def ingest_mpc_files(spark: SparkSession, path: str, **options) -> Ephemeris:
+    """The sky tables of all saved responses under `path`; options as for `ingest_sky`."""
+    return ingest_sky(read_responses(spark, path, "sky"), **options)
+
+
 def motion_arcmin(arcsec_per_hour: Column) -> Column:
     return arcsec_per_hour / 60.0

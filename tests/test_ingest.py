@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from skytables.plans.fits_files import table_bytes
 from skytables.plans.registry import Views
-from skytables.sources import catalogs, fits, jpl, mpc, snapshot
+from skytables.operators.boxes import Box
+from skytables.sources import catalogs, fits, generations, jpl, mpc, snapshot
 from tables import T0, fixed, hours, points, rows, ssos, track
 
 DATA = "/root/testdata/sf0.001"
@@ -205,3 +206,62 @@ def test_downsample_in_slices(spark):
 def test_summary(spark):
     done = jpl.ingest_jpl(Views(spark, DATA).jpl_rows, order=["row_idx"])
     assert rows(catalogs.ingest_summary(done.ssos, done.points, "f")) == [("f", 15, 1000)]
+
+
+def test_mpc_layout_by_file(spark, tmp_path):
+    """Each file by its own header; faulty lines are rejected; sexagesimal output."""
+    head = "x<pre>Date R.A.{0}\n" + "            h m s".ljust(73) + "{1}\n"
+    line = "2024 01 05 123000".ljust(18) + "01 02 03.5 -00 30 15 ".ljust(51) + "17.5"
+    line = line.ljust(73) + "120.0".ljust(9) + "-60.0"
+    for name, more, motion in (("total", "", '"/hr  P.A.'), ("sky", "", "RA cosD  Dec"), ("coord", " Uncertainty", "RA  Dec")):
+        body = line + ("".ljust(92 - len(line)) + "9.5".ljust(9) + "45.0" if more else "")
+        (tmp_path / f"{name}.txt").write_text(head.format(more, motion) + body + "\nno data here\n</pre>")
+    done = mpc.ingest_mpc_files(spark, str(tmp_path), ra_format={"unit": "hourangle", "sep": ":"}, dec_format={"precision": 0})
+    got = {r.motion: r for r in done.rows.collect()}
+    assert (got["total"].proper_motion_arcmin_h, got["total"].direction_deg, got["total"].ddec_arcmin_h) == (2.0, -60.0, None)
+    assert (got["sky"].dra_cosdec_arcmin_h, got["sky"].ddec_arcmin_h, got["sky"].dra_arcmin_h) == (2.0, -1.0, None)
+    assert (got["coord"].dra_arcmin_h, got["coord"].uncertainty_3sig_arcsec, got["coord"].uncertainty_pa_deg) == (2.0, 9.5, 45.0)
+    assert (got["sky"].ra_sexagesimal, got["sky"].dec_sexagesimal, got["sky"].uncertainty_3sig_arcsec) == ("1:02:03.5", "-0d30m15s", None)
+    assert [r.reason for r in done.rejected.collect()] == ["no time"] * 3 and done.rejected.first().line == "no data here"
+    assert mpc.ingest_mpc_files(spark, str(tmp_path), motion="sky").rows.where("motion <> 'sky'").count() == 0
+    with pytest.raises(ValueError):
+        mpc.ingest_mpc_files(spark, str(tmp_path), motion="none")
+
+
+def test_one_object_per_name(spark):
+    rows_ = [("1 Ceres", 2460310.5, 1.0, 2.0), ("2 Ceres", 2460311.5, 1.0, 2.0), ("Vesta", 2460310.5, 1.0, 2.0), ("4 Vesta", 2460310.5, 1.0, 2.0),
+             ("3 Juno", 2460310.5, 1.0, 2.0), ("3 Juno", 2460311.5, 1.0, 2.0), ("", 2460310.5, 0.0, 0.0)]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows_)], "designation string, julian_day double, ra_deg double, dec_deg double, at int")
+    done = jpl.ingest_jpl(table, order=["at"])
+    assert [(r.MPC_id, r.name) for r in done.ssos.collect() if r.name != "Vesta"] == [(3, "Juno")]
+    assert {r.name for r in done.points.collect()} <= {"Juno", "Vesta"} and done.points.where("name = 'Juno'").count() == 2
+    reasons = sorted((r.name or "", r.reason) for r in done.rejected.collect())
+    assert ("Ceres", "name with several MPC ids") in reasons and ("", "no designation") in reasons and len(reasons) + done.points.count() == 7
+
+
+def test_generations_touch_only_their_days(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    moving = points(spark, track("a", T0, hours(6), [(i, i / 4, 1.0) for i in range(40)]), track("b", T0, hours(24), [(200 + i, -i, None) for i in range(10)]))
+    generations.write_points(moving, folder)
+    assert rows(generations.read_points(spark, folder)) == rows(moving)
+    some = generations.read_points(spark, folder, T0 + hours(30), T0 + hours(49))
+    assert len({f.split("day=")[1][:10] for f in some.inputFiles()}) == 2
+    assert rows(some) == rows(moving.where("time between '2025-02-02 06:00:00' and '2025-02-03 01:00:00'"))
+    boxed = generations.read_points(spark, folder, box=Box(200, 210, -9, -8.5))
+    assert rows(boxed, "ra_deg") == [(209.0,)] and len({f.split("day=")[1][:10] for f in boxed.inputFiles()}) == 1
+    before = {r.day: r.folder for r in generations.manifest(spark, folder).collect()}
+    changed = spark.createDataFrame([("a-5", None, 77.0), ("a-6", T0 + hours(100.5), None), ("none", None, 1.0)], "ephem_id string, time timestamp_ntz, ra_deg double")
+    done = generations.update_points(spark, folder, changed)
+    assert rows(done.missing, "ephem_id") == [("none",)]
+    after = {r.day: r.folder for r in generations.manifest(spark, folder).collect()}
+    assert {str(d) for d in after if after[d] != before[d]} == {"2025-02-02", "2025-02-05"} and len(after) == len(before)
+    got = {r.ephem_id: r for r in generations.read_points(spark, folder).collect()}
+    assert len(got) == 50 and got["a-5"].ra_deg == 77.0 and got["a-6"].time == T0 + hours(100.5)
+    generations.delete_objects(spark, folder, spark.createDataFrame([("b",)], "sso_id string"))
+    owner = ssos(spark, [("a",), ("b",)])
+    new = spark.createDataFrame([("b", T0 + hours(2000), 1.0, 1.0)], "sso_id string, time timestamp_ntz, ra_deg double, dec_deg double")
+    assert generations.insert_points(spark, folder, owner, new).added.count() == 1
+    assert generations.read_points(spark, folder).groupBy("sso_id").count().orderBy("sso_id").collect() == [("a", 40), ("b", 1)]
+    assert rows(generations.read_points(spark, folder, generation=1)) == rows(moving)
+    generations.delete_points(spark, folder, moving.select("ephem_id").union(generations.read_points(spark, folder).select("ephem_id")))
+    assert generations.read_points(spark, folder).count() == 0 == generations.manifest(spark, folder).count()

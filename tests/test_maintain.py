@@ -175,3 +175,41 @@ def test_integrity(spark):
                                        points(spark, track("a", T0, hours(1), [(0, 0, None)])))
     assert clean.count() == 0
     assert found.where(F.col("rule") == "orphan").first().detail == "sso_id,MPC_id,name"
+
+
+def _renamed(spark, known, updates):
+    table = ssos(spark, [(k,) for k in known])
+    changes = spark.createDataFrame(updates, "sso_id string, name string, MPC_id long")
+    done = maintain.update_sso(table, changes)
+    names = {r.sso_id: r.name for r in done.table.collect()}
+    assert len(set(names.values())) == len(names)
+    return names, sorted((r.sso_id, r.reason) for r in done.rejected.collect())
+
+
+def test_names_may_be_swapped_in_one_statement(spark):
+    names, rejected = _renamed(spark, "abcd", [("a", "name-b", None), ("b", "name-c", None), ("c", "name-a", None)])
+    assert names == {"a": "name-b", "b": "name-c", "c": "name-a", "d": "name-d"} and rejected == []
+
+
+def test_refusals_reach_those_that_wait(spark):
+    """A long chain whose last name stays taken, one whose last name is free, and a cycle with a second claimant."""
+    chain = [chr(97 + i) for i in range(20)]
+    taken = [(a, f"name-{b}", None) for a, b in zip(chain, chain[1:], strict=False)]
+    names, rejected = _renamed(spark, chain, taken)
+    assert rejected == [(k, "name not unique") for k in chain[:-1]] and names["a"] == "name-a"
+    names, rejected = _renamed(spark, chain, [*taken, (chain[-1], "free", None)])
+    assert rejected == [] and names["a"] == "name-b" and names[chain[-1]] == "free"
+    names, rejected = _renamed(spark, "abc", [("a", "name-b", None), ("b", "name-a", None), ("c", "name-a", None)])
+    assert [r[0] for r in rejected] == ["a", "b", "c"]
+
+
+def test_one_refused_column_holds_back_the_row(spark):
+    """b cannot have its MPC id, so it keeps its name, and a cannot have that."""
+    names, rejected = _renamed(spark, "abc", [("a", "name-b", None), ("b", "new", 3)])
+    assert rejected == [("a", "name not unique"), ("b", "MPC_id not unique")] and names == {k: f"name-{k}" for k in "abc"}
+
+
+def test_very_many_updates_to_one_name(spark):
+    many = [f"k{i}" for i in range(2000)]
+    _, rejected = _renamed(spark, many, [(k, "same", None) for k in many])
+    assert len(rejected) == 2000

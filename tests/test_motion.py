@@ -11,6 +11,7 @@ from skytables.plans.registry import Views
 from tables import POINT, T0, fixed, hours, points, rows, seconds, ssos, track
 
 DATA = "/root/testdata/sf0.001"
+POINT_COLUMNS = ("sso_id", "time", "ra_deg", "dec_deg", "flux_mJy")
 
 
 def at(spark, table, t, **options):
@@ -247,3 +248,23 @@ def test_packed_does_not_depend_on_the_layout(spark, monkeypatch):
     one, many = (rows(ephemeris.packed(moving.repartition(n), 5), "sso_id", "part", "share", "n_points", "points") for n in (1, 16))
     assert one == many and sum(r[3] for r in one) == len(rows_)
     assert max(r[3] for r in one) <= 10
+
+
+@pytest.mark.parametrize("pack, mode", [(100_000, "linear"), (5, "linear"), (5, "shortest")])
+def test_packed_ephemerides_answer_as_points_do(spark, pack, mode):
+    v = Views(spark, DATA)
+    table = v.moving_sources.withColumn("sso_id", F.col("sso_id").cast("string")).select(*POINT_COLUMNS).unionByName(points(
+        spark, track("one", T0, hours(1), [(5, 5, 1.0)]), track("twice", T0, hours(0), [(1, 1, 1.0)] * 9)).select(*POINT_COLUMNS))
+    known = table.select("sso_id", "time")
+    asked = known.union(known.select("sso_id", (F.col("time") + F.expr("interval 17 minutes")).alias("time"))).union(
+        spark.createDataFrame([("x", T0), ("one", None)], "sso_id string, time timestamp_ntz"))
+    digits = ["sso_id", "time", *[F.round(c, 9).alias(c) for c in ("ra_deg", "dec_deg", "flux_mJy")], "status"]
+    want = rows(ephemeris.positions_for(table, asked, ra_mode=mode).select(*digits))
+    got = rows(ephemeris.packed_at(ephemeris.packed(table, pack), asked, ra_mode=mode).select(*digits))
+    assert got == want and len(want) > 1900
+
+
+def test_each_time_is_asked_once(spark):
+    stars, objects, moving = catalog(spark)
+    found = unified.box_at_times(stars, objects, moving, Box(0, 4, 0, 4), T0, T0 + hours(3), [T0, T0, str(T0)])
+    assert rows(found, "kind", "id") == [("fixed", "f1"), ("sso", "davida")]
