@@ -28,7 +28,7 @@ def manifest(spark: SparkSession, path: str, generation: int | None = None) -> D
     """The entries of a generation, the latest by default: a row a day."""
     every = spark.read.parquet(f"{path}/manifest")
     number = every.agg(F.max("of")).first()[0] if generation is None else generation
-    return every.where(F.col("of") == number).drop("of")
+    return every.where((F.col("of") == number) & F.col("folder").isNotNull()).drop("of")
 
 
 def _number(spark: SparkSession, path: str) -> int:
@@ -48,7 +48,9 @@ def _commit(spark: SparkSession, path: str, number: int, table: DataFrame, kept:
         F.lit(number).alias("generation"), "day", F.concat(F.lit(f"{data}/day="), F.col("day").cast("string")).alias("folder"), *_ENTRY[3:])
     if kept is not None:
         entries = kept.select(*_ENTRY).unionByName(entries)
-    entries.coalesce(1).write.parquet(f"{path}/manifest/of={number}")  # a row a day
+    # A row a day, and one without a folder, so that a generation without points is there too.
+    head = spark.range(1).select(*[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in _ENTRY])
+    entries.select(*_ENTRY).unionByName(head).coalesce(1).write.parquet(f"{path}/manifest/of={number}")
 
 
 def write_points(points: DataFrame, path: str) -> None:
