@@ -44,13 +44,16 @@ def downsample(rows: DataFrame, key: str, every: int, order: list[str]) -> DataF
 
 def ingest_jpl(
     rows: DataFrame, every: int = 1, order: list[str] | None = None, name_mode: str = "rest", monitored: bool = True,
+    unique_names: bool | None = None,
 ) -> Ephemerides:
     """Objects and ephemeris points of `designation, julian_day, ra_deg, dec_deg[, flux_mJy]`.
 
     `order` names the columns that give file order (its last one a row index);
     rows of `read_jpl` have them. `name_mode='second_token', monitored=False` is
     the second form of this ingest. Rows without a designation are rejected, and so are
-    all rows of a name that comes with different MPC ids, as an object has one.
+    all rows of a name that comes with different MPC ids, as an object has one. The second
+    form cuts names short, so that different objects often share one; there this is
+    checked only if `unique_names` is set.
     """
     require_columns(rows, REQUIRED)
     order = order or FILE_ORDER
@@ -61,12 +64,15 @@ def ingest_jpl(
     unnamed = shaped.where(F.col("name").isNull())
     named = shaped.where(F.col("name").isNotNull())
     mpc = F.col("MPC_id")
+    unique_names = name_mode != "second_token" if unique_names is None else unique_names
     torn = (F.min(mpc) != F.max(mpc)) | ((F.count(mpc) > 0) & (F.count(mpc) < F.count(F.lit(1))))
-    objects = saved(named.groupBy("name").agg(F.min(mpc).alias("MPC_id"), F.coalesce(torn, F.lit(False)).alias("torn")), "jpl-objects")
+    keys = ["name"] if unique_names else ["name", "MPC_id"]
+    objects = named.groupBy(*keys).agg(*([F.min(mpc).alias("MPC_id")] if unique_names else []), F.coalesce(torn, F.lit(False)).alias("torn"))
+    objects = saved(objects, "jpl-objects")
     ssos = objects.where("not torn").select("name", "MPC_id", sso_id_of(F.col("name")).alias("sso_id"), F.lit(monitored).alias("monitored"))
     torn_names = objects.where("torn").select("name")
     clashing = named.limit(0)
-    if torn_names.take(1):
+    if unique_names and torn_names.take(1):
         small = is_small(torn_names)
         clashing = named.join(broadcast_if_small(torn_names, small), "name", "left_semi")
         named = named.join(broadcast_if_small(torn_names, small), "name", "left_anti")
