@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, broadcast_if_few, row_key, saved, text_or_empty, whole_row
+from .common import as_bytes, broadcast_if_few, row_key, saved, text_batches, text_or_empty, whole_row
 
 SHINGLE_WORDS = 5
 #: Two sets link if 100 * intersection >= PERCENT * union.
@@ -339,6 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     text without words (empty, null, white space), which links with nothing. Equal
     rows are in one class and each gives a row; an empty table gives none.
     """
+    text_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(*row_key(doc_id, text), text_or_empty(text).alias("text"))
     sets = saved(_indexed(rows, frequent_segments(rows)), "jaccard-sets")

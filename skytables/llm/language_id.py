@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import column_of, slices
+from .common import column_of, slices, text_batches
 
 #: Buckets of hashed trigrams, a power of two.
 BUCKETS = 1 << 15
@@ -64,6 +64,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", smoothing: float = 0.1) -> Model:
     """Trigram distributions of each language over all documents with id, text and language that are not held out."""
+    text_batches(docs)
     rows = docs.where(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
@@ -129,6 +130,7 @@ def predict(docs: DataFrame, model: Model, text: str | tuple[str, ...] = "text")
     An empty table gives no row. `text` names a text column, or as a tuple one within a struct.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))]
+    text_batches(docs)
     rows = docs.drop(*[f.name for f in added])
     schema = T.StructType([*rows.schema.fields, *added])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers

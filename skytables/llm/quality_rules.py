@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import as_bytes, column_of, saved, slices, whole_row
+from .common import as_bytes, column_of, saved, slices, text_batches, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW_WORDS = 8
@@ -76,6 +76,7 @@ def with_features(docs: DataFrame, text: str | tuple[str, ...] = "text") -> Data
     Null text has none of anything; a very long text is counted whole, at a cost in
     proportion to its length. `text` names a text column, or as a tuple one within a struct.
     """
+    text_batches(docs)
     docs = docs.drop(*[c for c in docs.columns if c.startswith(_PREFIX)])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(_PREFIX + name, T.LongType()) for name in FEATURES)])
 

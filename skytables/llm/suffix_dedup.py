@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, column_of, row_key, saved, slices, text_or_empty, whole_row
+from .common import as_bytes, column_of, row_key, saved, slices, text_batches, text_or_empty, whole_row
 
 LIMIT = 400
 #: Length of the short strings whose least hash is a window's key.
@@ -189,6 +189,8 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Byte ranges (`_id`, `_hash`, `from`, `to`) of `docs` (`_id`, `_hash`, `text`) that repeated strings cover; they may overlap."""
 
+    text_batches(docs)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
