@@ -114,7 +114,7 @@ def test_language_on_awkward_rows(spark):
 
 def test_columns_of_any_name(spark):
     """Names that the operators use inside, or used once."""
-    text = "ein Text mit genug Worten für die Regeln und noch einige mehr davon " * 3
+    text = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows = spark.createDataFrame([(1, text, "x", 7, "k", "http://a.com/en/b")], "doc_id long, text string, _llm_text string, _rule_n_words long, _keys string, url string")
     model = language_id.Model([], np.zeros((0, language_id.BUCKETS)))
     assert language_id.predict(rows, model).first()._llm_text == "x"
