@@ -233,6 +233,21 @@ def test_number_occurrences(spark, block):
         + [("b", None, 1), ("b", None, 2), ("c", 3, 1)], key=repr)
 
 
+def test_number_occurrences_of_one_crowded_key(spark):
+    data = [("hot", i * 7919 % 10_000, None if i % 3 else "x") for i in range(10_000)]
+    data += [("hot", 5, "y")] * 12 + [(None, i, None) for i in range(20)] + [("cold", 1, None), ("cold", 0, "z")]
+    df = spark.createDataFrame(data, "k string, a int, b string")
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2] is not None, r[2] or ""))
+    seen, want = {}, []
+    for r in order:
+        seen[r[0]] = seen.get(r[0], 0) + 1
+        want.append((*r, seen[r[0]]))
+    assert rows(numbering.number_occurrences(df, ["k"], "n", 5)) == sorted(want, key=repr)
+    counted = df.groupBy(*df.columns).count()
+    cut = numbering._pieces(counted, numbering.hot_keys(df, ["k"], 5), ["k"], ["a", "b"], 5)
+    assert max(r["count"] for r in cut.groupBy("k", "_piece").count().collect()) <= 5
+
+
 def test_broadcast_only_when_measured_small(spark, monkeypatch):
     small = spark.createDataFrame([("a",)], "k string")
     assert "broadcast" in skew.broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
