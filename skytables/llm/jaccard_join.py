@@ -10,9 +10,14 @@ so that a passage in very many documents is not what documents meet on. A set wi
 too few non-empty segments indexes all of them, and their one-deletion
 neighbourhoods, which doubles what each segment can bear.
 
-Sets that meet are compared by their exact shingles. Stars (each set with the one
-of its segments' leading sets that it shares most with) are verified first, for a few
-rounds; only sets of a segment that are then in different classes are still paired.
+Signatures with the same members are kept once, with their number: the segments of a
+passage are all shared by the same sets. Sets that meet are compared by their exact
+shingles. Stars (each set with the one of its segments' leading sets that it shares
+most with) are verified first, for a few rounds; only sets of a segment that are then
+in different classes are still paired, and of these only pairs whose sketches do not
+rule a link out. A sketch holds, for each of a power of two of buckets, whether the
+number of shingles in it is odd, so two sets differ in at least as many shingles as
+their sketches in bits: the filter is exact.
 """
 
 from __future__ import annotations
@@ -37,11 +42,17 @@ SAMPLE_DOCS, SAMPLE_TIMES, SAMPLE_LIST = 10_000, 3, 200_000
 #: Pairs with one set that are compared in one task.
 PART_PAIRS = 2_000
 #: Rounds in which each set is compared with the likeliest center of another class, before classes are paired.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: Sets of a signature, each leading a class, that others are compared with in a round.
 CENTERS = 4
 #: Segments indexed beyond those that the farthest partner may lack.
 SHARED = 2
+#: Bits of a sketch: the power of two from three bits a shingle on, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 4_096
+#: Members of a signature that are paired in one group; more are cut into blocks, and each two blocks are a group.
+BLOCK = 16_384
+#: Pairs whose sketches are compared at once.
+PAIRS_AT_ONCE = 30_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -157,13 +168,32 @@ def shared_at_least(size_a: int, own_a: int, size_b: int, own_b: int) -> int:
     return max(1, min(own_a, own_b) - (100 - PERCENT) * (size_a + size_b) // (100 + PERCENT))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles per bucket."""
+    bits = min(max(LEAST_BITS, 1 << (3 * len(tokens) - 1).bit_length()), MOST_BITS)
+    # The low bits choose the bucket, so the sketch of half the bits is the exclusive or of both halves.
+    odd = np.bincount((_mix(tokens * _M3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of `bits` bits as rows of words; those of fewer bits are zero."""
+    out = np.zeros((len(sketches), bits // 64), np.uint64)
+    widths = np.fromiter(map(len, sketches), np.int64, len(sketches)) * 8
+    for width in np.unique(widths[widths >= bits]).tolist():
+        at = np.flatnonzero(widths == width)
+        words = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1, bits // 64)
+        out[at] = np.bitwise_xor.reduce(words, axis=1)
+    return out
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     values = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
 
 
-_SETS = "_id long, _hash long, n int, gid long, own int, signatures array<long>, own2 int, signatures2 array<long>"
+_SETS = "_id long, _hash long, n int, gid long, own int, signatures array<long>, own2 int, signatures2 array<long>, sketch binary"
 
 
 def _indexed(rows: DataFrame, frequent: Frequent | None, every: bool = False) -> DataFrame:
@@ -175,11 +205,13 @@ def _indexed(rows: DataFrame, frequent: Frequent | None, every: bool = False) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sizes, ids, own, lists = [], [], ([], []), ([], [])
+                sizes, ids, own, lists, sketches = [], [], ([], []), ([], []), []
                 for text in as_bytes(part.column(2)):
                     tokens = shingles(text)
                     gid = set_id(tokens) if len(tokens) else None
-                    found = [] if gid is None or gid in seen else index_entries(tokens, listed, every)
+                    first = gid is not None and gid not in seen
+                    found = index_entries(tokens, listed, every) if first else []
+                    sketches.append(sketch(tokens) if first and not every else None)
                     if gid is not None and len(seen) < 1_000_000:
                         seen.add(gid)
                     sizes.append(len(tokens)), ids.append(gid)
@@ -189,7 +221,8 @@ def _indexed(rows: DataFrame, frequent: Frequent | None, every: bool = False) ->
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()),
                     pa.array(own[0], pa.int32()), _lists(lists[0]), pa.array(own[1], pa.int32()), _lists(lists[1]),
-                ], names=["_id", "_hash", "n", "gid", "own", "signatures", "own2", "signatures2"])
+                    pa.array(sketches, pa.binary()),
+                ], names=["_id", "_hash", "n", "gid", "own", "signatures", "own2", "signatures2", "sketch"])
 
     return rows.mapInArrow(index, _SETS)
 
@@ -205,29 +238,61 @@ def frequent_segments(rows: DataFrame) -> Frequent:
     return Frequent(signatures[order], count[order])
 
 
-_MET = "sig long, gid long, n int, own int"
-_PAIRS = "a long, b long, want int"
+_MET = "sig long, gid long, n int, own int, list long"
+_PAIRS = "a long, b long, want int, times long"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each signature with two sets or more, each once. Rows come by signature, then set."""
-    last, previous, held = None, None, None
+    """Members of each signature with two sets or more, each once, and then a row on the signature.
+
+    That row holds two hashes of its members (`gid` and `list`) and their number (`n`);
+    `list` is null for members. Rows come by signature, then set. However many members
+    a signature has, only sums over them are kept from batch to batch.
+    """
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+    held, open_ = none, None  # the only member so far of the last signature, or its sums if it has more
     for batch in batches:
-        sig, gid, n, own = (c.to_numpy() for c in batch.columns)
-        same = sig[1:] == sig[:-1]
-        busy = np.concatenate(([True], same)) | np.concatenate((same, [True]))  # the ends may go on in other batches
-        at, out = np.flatnonzero(busy), []
-        for row in zip(sig[at].tolist(), gid[at].tolist(), n[at].tolist(), own[at].tolist(), strict=True):
-            if row[0] != last:
-                last, previous, held = row[0], row[1], row
-            elif row[1] != previous:
-                if held is not None:
-                    out.append(held)
-                    held = None
-                out.append(row)
-                previous = row[1]
-        if out:
-            yield _columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["sig", "gid", "n", "own"])
+        rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns[:4], strict=True)]
+        if not len(rows[0]):
+            continue
+        again = np.concatenate(([False], (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])))
+        if open_ is not None:
+            again[0] = rows[0][0] == open_[0] and rows[1][0] == open_[4]
+        sig, gid, n, own = rows = [r[~again] for r in rows]
+        if not len(sig):
+            continue
+        firsts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        count = np.diff(np.append(firsts, len(sig)))
+        h = _mix(gid.view(np.uint64) * _M1 + own.astype(np.uint64))
+        x, y = np.add.reduceat(h, firsts), np.add.reduceat(_mix(h * _M3), firsts)
+        ended = []
+        if open_ is not None:
+            if sig[0] == open_[0]:
+                count[:1] += open_[1]
+                x[:1] += open_[2]  # of arrays, as these sums overflow
+                y[:1] += open_[3]
+            else:
+                ended.append(open_[:4])
+        busy = count > 1
+        members = [r[np.repeat(busy, np.diff(np.append(firsts, len(sig))))] for r in rows]
+        if busy[-1]:
+            held, open_ = none, (sig[-1], count[-1], x[-1], y[-1], gid[-1])
+        else:
+            held, open_ = [r[-1:] for r in rows], None
+        whole = np.flatnonzero(busy[:-1])
+        yield _with_lists(members, ended, (sig[firsts[whole]], count[whole], x[whole], y[whole]))
+    if open_ is not None:
+        yield _with_lists(none, [open_[:4]], (none[0], none[0], np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+
+
+def _with_lists(members: list[np.ndarray], ended: list[tuple], lists: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    sig, count, x, y = (np.concatenate((np.array([e[i] for e in ended], c.dtype), c)) for i, c in enumerate(lists))
+    k = len(members[0])
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate((members[0], sig))), pa.array(np.concatenate((members[1], x.view(np.int64)))),
+        pa.array(np.concatenate((members[2], count.astype(np.int32)))), pa.array(np.concatenate((members[3], np.zeros(len(sig), np.int32)))),
+        pa.array(np.concatenate((np.zeros(k, np.int64), y.view(np.int64))), mask=np.arange(k + len(sig)) < k),
+    ], names=["sig", "gid", "n", "own", "list"])
 
 
 def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -243,17 +308,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, centers = None, []
     for batch in batches:
         out = []
-        for sig, gid, n, own, label in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+        for sig, gid, n, own, label, times in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
             if sig != last:
                 last, centers = sig, []
             for c_gid, c_n, c_own, c_label in centers:
                 if c_label != label and PERCENT * max(n, c_n) <= 100 * min(n, c_n):
-                    out.append((gid, c_gid, shared_at_least(n, own, c_n, c_own)))
+                    out.append((gid, c_gid, shared_at_least(n, own, c_n, c_own), times))
                     break
             if len(centers) < CENTERS and all(c[3] != label for c in centers):
                 centers.append((gid, n, own, label))
         if out:
-            yield _columns(out, [pa.int64(), pa.int64(), pa.int32()], ["a", "b", "want"])
+            yield _columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], ["a", "b", "want", "times"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -302,34 +367,65 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+_OPEN = ["sig", "i", "j", "label", "block", "gid", "n", "own", "times", "sketch"]
+
+
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys the place after the last equal row."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    lasts = np.append(np.flatnonzero(new)[1:], len(new))
+    return lasts[np.cumsum(new) - 1]
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a signature in different classes and of sizes that fit. Rows come by signature, then size."""
-    rows, last = [], None
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        if len({r[2] for r in rows}) < 2:
-            return
-        a, b, need = [], [], []
-        low = 0
-        for i, (gid, n, label, k) in enumerate(rows):
-            while PERCENT * n > 100 * rows[low][1]:
-                low += 1
-            for other, size, other_label, other_k in rows[low:i]:
-                if label != other_label:
-                    a.append(min(gid, other)), b.append(max(gid, other)), need.append(shared_at_least(n, k, size, other_k))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32())], names=["a", "b", "need"])
-                a, b, need = [], [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need, pa.int32())], names=["a", "b", "need"])
+    """Pairs of a group (`sig`, `i`, `j`) in different classes, of sizes that fit and sketches that do not rule a link out.
 
+    Rows come by group, then class, in the order of _OPEN. A group is a whole signature,
+    or two blocks of one, and never has many more than 2 * BLOCK rows.
+    """
+    rest = None
     for batch in batches:
-        for sig, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if sig != last:
-                yield from pairs()
-                rows, last = [], sig
-            rows.append(row)
-    yield from pairs()
+        rest = batch if rest is None else pa.concat_batches([rest, batch])
+        sig, i, j = (rest.column(k).to_numpy() for k in range(3))
+        last = np.flatnonzero((sig != sig[-1]) | (i != i[-1]) | (j != j[-1])) if len(sig) else []
+        if len(last):
+            done, rest = rest.slice(0, last[-1] + 1), rest.slice(last[-1] + 1)
+            yield from _pairs(done)
+    if rest is not None and rest.num_rows:
+        yield from _pairs(rest)
+
+
+def _pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups. A row is paired with those of its group that come after its class."""
+    sig, i, j, label, block, gid, n, own, times = (rows.column(k).to_numpy() for k in range(9))
+    sketches = rows.column(9).to_pylist()
+    bits = np.fromiter(map(len, sketches), np.int64, len(sketches)) * 8
+    words = {b: folded(sketches, b) for b in np.unique(bits).tolist()}
+    start, end = _ends(sig, i, j, label), _ends(sig, i, j)
+    before = np.concatenate(([0], np.cumsum(end - start)))
+    for at in range(0, int(before[-1]), PAIRS_AT_ONCE):
+        pair = np.arange(at, min(at + PAIRS_AT_ONCE, int(before[-1])))
+        a = np.searchsorted(before, pair, side="right") - 1
+        b = start[a] + pair - before[a]
+        fits = PERCENT * np.maximum(n[a], n[b]).astype(np.int64) <= 100 * np.minimum(n[a], n[b]).astype(np.int64)
+        fits &= (i[a] == j[a]) | (block[a] != block[b])
+        a, b = a[fits], b[fits]
+        width, differ = np.minimum(bits[a], bits[b]), np.zeros(len(a), np.int64)
+        for w in np.unique(width).tolist():
+            of = np.flatnonzero(width == w)
+            differ[of] = np.bitwise_count(words[w][a[of]] ^ words[w][b[of]]).sum(axis=1, dtype=np.int64)
+        sizes = n[a].astype(np.int64) + n[b]
+        near = (100 + PERCENT) * differ <= (100 - PERCENT) * sizes
+        a, b, sizes = a[near], b[near], sizes[near]
+        if len(a):
+            need = np.maximum(1, np.minimum(own[a], own[b]) - (100 - PERCENT) * sizes // (100 + PERCENT))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.minimum(gid[a], gid[b])), pa.array(np.maximum(gid[a], gid[b])),
+                pa.array(need.astype(np.int32)), pa.array(times[a]),
+            ], names=["a", "b", "want", "times"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,29 +442,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     entries = sets.select(F.explode("signatures").alias("sig"), "n", "gid", "own").union(
         sets.where("own2 > 0 or size(signatures2) > 0").select(F.explode("signatures2"), "n", "gid", "own2"))
     met = saved(entries.select("sig", "gid", "n", "own").repartition("sig").sortWithinPartitions("sig", "gid").mapInArrow(_met, _MET), "jaccard-met")
+    # Of the signatures with the same members, one.
+    lists = met.where("list is not null").groupBy("gid", "list", "n").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times"))
+    lists = broadcast_if_few(saved(lists.select("sig", "times", F.col("n").alias("members")), "jaccard-lists"))
+    met = saved(met.where("list is null").drop("list").join(lists, "sig"), "jaccard-members")
     # Of every set that meets another, one document's text.
     ids = met.select("gid").distinct()
     where = sets.select("gid", "_id", "_hash").join(ids, "gid").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("at")).select("gid", "at.*")
     where = saved(where, "jaccard-where")
     texts = saved(rows.join(broadcast_if_few(where), ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
-    met = met.join(broadcast_if_few(saved(met.groupBy("gid").agg(F.count(F.lit(1)).alias("meets")), "jaccard-meets")), "gid")
+    met = met.join(broadcast_if_few(saved(met.groupBy("gid").agg(F.sum("times").alias("meets")), "jaccard-meets")), "gid")
     links = tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "gid long, label long")
     for _ in range(STAR_ROUNDS):
         order = ["sig", F.col("meets").desc(), "gid"]
-        rows_ = _open(met, labels).select("sig", "gid", "n", "own", "label", "meets").repartition("sig").sortWithinPartitions(*order)
-        stars = rows_.mapInArrow(_stars, _PAIRS).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("want").alias("want"))
+        rows_ = _open(met, labels).select("sig", "gid", "n", "own", "label", "times", "meets").repartition("sig").sortWithinPartitions(*order)
+        stars = rows_.mapInArrow(_stars, _PAIRS).groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("want").alias("want"))
         # Likely links only: what they do not unite is paired below, whole.
         likely = stars.where("2 * times >= want").join(tested, ["a", "b"], "left_anti")
         best = saved(likely.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b"), "jaccard-best")
         if not best.take(1):
             break
-        links = links.union(saved(_verified(best, texts), "jaccard-links"))
+        new = saved(_verified(best, texts), "jaccard-links")
         tested = tested.union(best)
+        if not new.take(1):
+            break
+        links = links.union(new)
         labels = saved(components(links), "jaccard-labels")
     # What the stars left open: sets of one signature in different classes.
-    open_ = _open(met, labels).select("sig", "gid", "n", "label", "own").repartition("sig").sortWithinPartitions("sig", "n", "gid")
-    pairs = open_.mapInArrow(_across, "a long, b long, need int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("need").alias("need"))
+    open_ = saved(_open(met, labels).drop("meets"), "jaccard-open")
+    sketches = sets.where("sketch is not null").join(open_.select("gid").distinct(), "gid", "left_semi").select("gid", "sketch").dropDuplicates(["gid"])
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(sketches, "gid")
+    groups = open_.select(*_OPEN).repartition("sig", "i", "j").sortWithinPartitions(*_OPEN[:4])
+    pairs = groups.mapInArrow(_across, _PAIRS).groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("want").alias("need"))
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = saved(pairs.where("times >= need").select("a", "b").join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
     labels = components(links.union(saved(_verified(pairs, texts), "jaccard-links")))

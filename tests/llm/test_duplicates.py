@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edge import awkward, classes, nothing, repeated
@@ -43,6 +44,61 @@ def test_components_of_many_near_copies_and_a_common_passage(spark):
     assert got == dict(enumerate(classes(texts)))
 
 
+def test_components_of_signatures_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    texts = synthetic(6, 200)
+    got = {r.doc_id: r.component_id for r in jaccard_join.with_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(classes(texts)))
+
+
+def test_sketches_never_overstate_a_difference():
+    """Sketches differ in no more bits than the sets in shingles, also of sets whose sketches have other widths."""
+    rng = np.random.default_rng(4)
+    for size in [1, 5, 80, 90, 300, 345, 1400, 9000]:
+        for cut in [0, 0.1, 0.25, 0.6]:
+            union = rng.integers(0, 2**64, size, dtype=np.uint64)
+            a, b = np.sort(union[:max(1, round(size * (1 - cut)))]), np.sort(union[round(size * cut / 2):])
+            x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+            bits = 8 * min(len(x), len(y))
+            differ = int(np.bitwise_count(jaccard_join.folded([x], bits) ^ jaccard_join.folded([y], bits)).sum())
+            assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 7, 1000])
+def test_members_of_signatures_over_many_batches(rows_a_batch):
+    """Members once each, signatures of one member left out, and equal lists for equal members, wherever batches end."""
+    rng = np.random.default_rng(5)
+    rows = sorted((int(s), int(g), 9, 3) for s, g in rng.integers(0, 12, (90, 2))) + [(50, 1, 9, 3), (51, 4, 9, 3), (51, 5, 9, 3), (52, 4, 9, 3), (52, 5, 9, 3), (52, 5, 9, 3)]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    batches = [jaccard_join._columns(rows[at:at + rows_a_batch], types, ["sig", "gid", "n", "own"]) for at in range(0, len(rows), rows_a_batch)]
+    out = [tuple(r.values()) for b in jaccard_join._met(iter(batches)) for r in b.to_pylist()]
+    groups = {}
+    for sig, gid, *_ in rows:
+        groups.setdefault(sig, set()).add(gid)
+    want = {sig: gids for sig, gids in groups.items() if len(gids) > 1}
+    members = [(r[0], r[1]) for r in out if r[4] is None]
+    assert sorted(members) == sorted((sig, gid) for sig, gids in want.items() for gid in gids)
+    lists = {r[0]: (r[1], r[4], r[2]) for r in out if r[4] is not None}
+    assert {sig: count for sig, (_, _, count) in lists.items()} == {sig: len(gids) for sig, gids in want.items()}
+    assert all((lists[s] == lists[t]) == (want[s] == want[t]) for s in want for t in want)
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 1000])
+def test_pairs_of_groups_over_many_batches(rows_a_batch):
+    """Pairs of other classes that reach the threshold are all there; none is of one class or of one block of two."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 120, dtype=np.uint64)
+    sets = {g: np.unique(np.concatenate((rng.choice(base, 110, replace=False), rng.integers(0, 2**64, int(rng.integers(0, 60)), dtype=np.uint64)))) for g in range(40)}
+    rows = sorted((int(rng.integers(0, 3)), 0, int(rng.integers(0, 2)), g % 7, int(rng.integers(0, 2)), g, len(t), 5, 2, jaccard_join.sketch(t)) for g, t in sets.items())
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    batches = [jaccard_join._columns(rows[at:at + rows_a_batch], types, jaccard_join._OPEN) for at in range(0, len(rows), rows_a_batch)]
+    got = {(r["a"], r["b"]) for b in jaccard_join._across(iter(batches)) for r in b.to_pylist()}
+    may = {(min(x[5], y[5]), max(x[5], y[5])) for x in rows for y in rows if x[:3] == y[:3] and x[3] != y[3] and (x[1] == x[2] or x[4] != y[4])}
+    link = {(a, b) for a, b in may if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert link and link <= got <= may and len(got) < len(may)
+
+
 def test_segments_guarantee_a_meeting():
     """Any two sets that link share a signature, whatever their sizes."""
     rng = np.random.default_rng(3)
