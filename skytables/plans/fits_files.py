@@ -1,4 +1,4 @@
-"""FITS files made from a DataFrame, one per partition: input for the FITS reader's checks."""
+"""FITS files made from a DataFrame, some per partition: input for the FITS reader's checks."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from ..session import shared_folder
 
 TEXT_BYTES = 20
+#: Rows of a file, about: what a task holds at a time.
+FILE_ROWS = 500_000
 
 
 def _card(key: str, value) -> str:
@@ -42,33 +44,47 @@ def table_bytes(columns: dict[str, np.ndarray]) -> bytes:
     return primary + _block(cards) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
 
 
-def write_parts(df: DataFrame) -> str:
-    """Writes every partition of `df` (doubles and text) as one FITS file into a shared folder.
+def _fixed_text(column: pa.ChunkedArray) -> np.ndarray:
+    """Text as arrays of TEXT_BYTES bytes, longer text cut, nulls as the word None."""
+    return np.array(column.to_pylist(), dtype=f"S{TEXT_BYTES}")
+
+
+def write_parts(df: DataFrame, file_rows: int = FILE_ROWS) -> str:
+    """Writes every partition of `df` (doubles and text) as FITS files of about `file_rows` rows into a shared folder.
 
     A file is written under another name and moved when complete, so a task that
-    runs again replaces its own file.
+    runs again replaces its own files.
     """
     folder = shared_folder(df.sparkSession, "fits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = list(batches)
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        columns = {
-            n: c.to_numpy() if pa.types.is_floating(c.type) else np.array(c.to_pylist(), dtype=f"S{TEXT_BYTES}")
-            for n, c in zip(whole.column_names, whole.columns)
-        }
         task = TaskContext.get()
         system, inner = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
         system.create_dir(inner)
-        name, draft = f"{inner}/part-{task.partitionId():06d}.fits", f"{inner}/.draft-{task.taskAttemptId()}"
-        with system.open_output_stream(draft) as out:
-            out.write(table_bytes(columns))
-        system.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"file": [name], "n_rows": [len(whole)]})
+
+        def file(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            columns = {
+                n: c.to_numpy() if pa.types.is_floating(c.type) else _fixed_text(c)
+                for n, c in zip(whole.column_names, whole.columns)
+            }
+            name = f"{inner}/part-{task.partitionId():06d}-{number:06d}.fits"
+            draft = f"{inner}/.draft-{task.taskAttemptId()}-{number}"
+            with system.open_output_stream(draft) as out:
+                out.write(table_bytes(columns))
+            system.move(draft, name)
+            return pa.RecordBatch.from_pydict({"file": [name], "n_rows": [len(whole)]})
+
+        number, held = 0, []
+        for batch in batches:
+            held.append(batch)
+            if sum(len(b) for b in held) >= file_rows:
+                yield file(number, held)
+                number, held = number + 1, []
+        if held:
+            yield file(number, held)
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     df.mapInArrow(write, "file string, n_rows bigint").agg({"n_rows": "sum"}).collect()

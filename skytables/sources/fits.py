@@ -32,6 +32,8 @@ FORMATS = {
 SKIPPED = {"C": 8, "M": 16, "P": 8, "Q": 16, "X": 1}
 SPLIT_BYTES = 64 * 1024 * 1024
 BATCH_ROWS = 65_536
+#: With more ranges than this, they are made larger, up to SPLIT_BYTES: a task costs more than reading a small one.
+RANGES = 64
 
 
 class Column:
@@ -164,9 +166,10 @@ class FitsReader(DataSourceReader):
         self.names = schema.names
 
     def partitions(self) -> list[InputPartition]:
-        ranges = []
-        for f in _files(self.path)[1]:
-            parts = max(1, -(-f.size // self.split_bytes))
+        ranges, files = [], _files(self.path)[1]
+        split = max(self.split_bytes, min(SPLIT_BYTES, sum(f.size for f in files) // RANGES))
+        for f in files:
+            parts = max(1, -(-f.size // split))
             ranges.extend(RowRange(f.path, i, parts) for i in range(parts))
         return ranges
 
