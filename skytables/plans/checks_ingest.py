@@ -11,6 +11,7 @@ from ..session import shared_folder
 from ..sources import catalogs, fits, generations, jpl, mpc, snapshot
 from .fits_files import write_parts
 from .registry import nine, nine_digits, query
+from .text_files import write_texts
 
 FIXED = ["ra_deg", "dec_deg", "flux_mJy", "name", "monitored", "pointing"]
 POINT = ["MPC_id", "name", "time", "ra_deg", "dec_deg", "flux_mJy"]
@@ -171,19 +172,20 @@ def _mpc_files(v):
             line = F.concat(F.rpad(line, start, " "), text)
         return line
 
-    line = padded(line, fields)
-    line = F.when(u % 2 == 0, padded(line, moon)).otherwise(line)
+    # In steps, as each uses the line before it several times.
+    lines = v.table("events").withColumn("line", padded(line, fields))
+    line = F.col("line")
+    lines = lines.withColumn("line", F.when(u % 2 == 0, padded(line, moon)).otherwise(line))
     unc = F.when(u % 2 == 0, F.rpad(line, 128, " ")).otherwise(F.rpad(line, 92, " "))
     line = F.when(u % 5 == 0, F.rpad(F.concat(unc, F.lpad(tenth(e % 7777), 8, " "), F.lit(" "), tenth(e % 360)), 150, " ")).otherwise(line)
     motion = F.when(u % 3 == 0, '"/hr     P.A.').when(u % 3 == 1, "RA cosD  Dec").otherwise("RA       Dec")
     title = F.concat(F.lit("Date UT R.A. Decl. Sky Motion"), F.when(u % 2 == 0, " Moon").otherwise(""), F.when(u % 5 == 0, " Uncertainty").otherwise(""))
     header = F.concat(F.lit("<html><pre>"), title, F.lit("\n"), F.rpad(F.rpad(F.lit("            h m s"), 73, " "), 73, " "), motion, F.lit("\n"))
-    lines = v.table("events").select("user_id", "event_id", line.alias("line"))
+    lines = lines.select("user_id", "event_id", line.alias("line"))
     bodies = lines.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("rows"))
     files = bodies.select("user_id", F.concat(header, F.array_join("rows.line", "\n"), F.lit("\n</pre></html>")).alias("value"))
-    folder = shared_folder(v.spark, "mpc")
-    files.repartition("user_id").write.partitionBy("user_id").text(folder)
-    return folder
+    name = F.concat(F.lit("user_id="), F.coalesce(F.col("user_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(".txt"))
+    return write_texts(files.select(name.alias("file"), "value"), "mpc")
 
 
 @query("ingest_mpc_files", """
