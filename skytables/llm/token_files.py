@@ -39,7 +39,9 @@ FILE_OPTIONS = {
 #: Stretches whose ids a worker remembers; others are encoded again.
 CACHED_WORDS = 600_000
 #: Documents encoded together.
-STEP = 200
+STEP = 500
+#: Stretches that the tokenizer gets as lines of one text.
+LINES = 64
 
 
 def _class(chars: Iterable[str]) -> str:
@@ -65,15 +67,8 @@ _LETTER = _class(c for c in _PLANE if unicodedata.category(c)[0] == "L")
 #: Stretches that a byte-level pre-tokenizer never joins: letters with the space before them; other
 #: characters, with what follows an apostrophe; white space of two characters or more with all that follows it.
 STRETCH = re.compile(rf"\s\s+\S*| ?[{_LETTER}]+| ?(?:[^\s{_LETTER}']|'[{_LETTER}]*)+|\s")
-
-
-class _Known(dict):
-    """Ids of remembered stretches, and of those at hand in `now`."""
-
-    now: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.now[word]
+#: A stretch of letters, or of other characters of the basic alphabet, that can be a line among others.
+WORD = re.compile(rf" ?(?:[{_LETTER}]+|[!-~]+)")
 
 
 class WordEncoder:
@@ -92,19 +87,40 @@ class WordEncoder:
         before = self.tokenizer.pre_tokenizer
         self.by_stretch = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Known()
+        self.known: dict[str, bytes] = {}
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        plain = self.tokenizer.truncation is None and self.tokenizer.padding is None
+        self.line_end = line_end[0] if self.by_stretch and plain and len(line_end) == 1 else None
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of stretches without white space but a space before, LINES of them as one text: a line end
+        there is a token by itself."""
+        out = []
+        for line in self._library(["\n".join(words[at:at + LINES]) for at in range(0, len(words), LINES)]):
+            cuts = (np.flatnonzero(np.frombuffer(line, "<u4") == self.line_end) * 4).tolist()
+            out += [line[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(line)], strict=True)]
+        return out
+
+    def _stretches(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of stretches or whole texts, each there once."""
+        words = [] if self.line_end is None else [p for p in new if WORD.fullmatch(p)]
+        found = dict(zip(words, self._words(words), strict=True))
+        others = [p for p in new if p not in found]
+        return found | dict(zip(others, self._library(others), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split = STRETCH.findall
         parts = [split(t) if self.by_stretch and not ODD.search(t) and not any(s in t for s in self.special) else [t] for t in texts]
         known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        known.now = now = dict(zip(new, self._library(new), strict=True))
-        out = [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        # Each stretch is looked up once among all that are remembered, then in the few at hand.
+        now = {p: known.get(p) for p in set().union(*parts)}
+        new = [p for p, ids in now.items() if ids is None]
+        now |= self._stretches(new)
+        out = [b"".join(map(now.__getitem__, ps)) for ps in parts]
         for p in new:
             if len(known) >= CACHED_WORDS:
                 break

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -233,3 +234,16 @@ def test_packing_on_awkward_rows(spark):
         assert sum(r.length for r in mine) <= mine[0].capacity
     assert sum(r.length for r in rows) == docs.selectExpr("sum(length(text)) as n").first().n
     assert packing.best_fit(nothing(spark), F.length("text")).count() == 0
+
+
+def test_unknown_words_are_encoded_as_lines_of_one_text(monkeypatch):
+    """The tokenizer gets a text for every LINES unknown words, not one for each; the ids are those of whole texts."""
+    encoder = token_files.WordEncoder(BYTE_BPE)
+    texts = [" ".join(f"{a}{b}q{n}, {b}x{a}'s" for a in "abcdefgh" for b in "tuvw") + f"\n\n {n}\n\t end. don't  stop\n" for n in ("me", "日本", "é'll", "\x00", "<|endoftext|>")]
+    want = [array("I", x.ids).tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    given, plain = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda some: given.extend(some) or plain(some))
+    assert encoder.encode(texts) == want and len(encoder.known) > 130
+    assert len(given) < 30
+    given.clear()
+    assert encoder.encode(texts) == want and sorted(given) == sorted(texts[3:])
