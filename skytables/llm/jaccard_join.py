@@ -52,7 +52,9 @@ LEAST_BITS, MOST_BITS = 256, 4_096
 #: Members of a signature that are paired in one group; more are cut into blocks, and each two blocks are a group.
 BLOCK = 16_384
 #: Pairs whose sketches are compared at once.
-PAIRS_AT_ONCE = 30_000
+PAIRS_AT_ONCE = 10_000
+#: Words whose hashes a worker remembers: some 20 MB.
+WORDS_KEPT = 100_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -67,7 +69,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > WORDS_KEPT:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -328,8 +330,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     parts = F.ceil(F.col("n") / PART_PAIRS)
     sized = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
-    members = sized.join(texts.withColumnRenamed("gid", "a"), "a").select("b", "part", "a", "text")
-    firsts = sized.select("b", "part").distinct().join(texts.withColumnRenamed("gid", "b"), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
+    # Few pairs are sent to the texts, so that of these only the ones to be compared are shuffled.
+    sized = saved(sized, "jaccard-parts")
+    members = texts.withColumnRenamed("gid", "a").join(broadcast_if_few(sized), "a").select("b", "part", "a", "text")
+    firsts = texts.withColumnRenamed("gid", "b").join(broadcast_if_few(sized.select("b", "part").distinct()), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
     both = members.union(firsts).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,9 +455,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     where = sets.select("gid", "_id", "_hash").join(ids, "gid").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("at")).select("gid", "at.*")
     where = saved(where, "jaccard-where")
     texts = saved(rows.join(broadcast_if_few(where), ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
-    met = met.join(broadcast_if_few(saved(met.groupBy("gid").agg(F.sum("times").alias("meets")), "jaccard-meets")), "gid")
-    links = tested = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "gid long, label long")
+    meets = broadcast_if_few(saved(met.groupBy("gid").agg(F.sum("times").alias("meets")), "jaccard-meets"))
+    met = saved(met.join(meets, "gid"), "jaccard-met-often")  # read in every round, so joined once
+    none = spark.range(0)  # not from Python rows, for which each executor would start workers
+    links = tested = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = none.select(F.col("id").alias("gid"), F.col("id").alias("label"))
     for _ in range(STAR_ROUNDS):
         order = ["sig", F.col("meets").desc(), "gid"]
         rows_ = _open(met, labels).select("sig", "gid", "n", "own", "label", "times", "meets").repartition("sig").sortWithinPartitions(*order)

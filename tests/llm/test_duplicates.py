@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from edge import awkward, classes, nothing, repeated
-from skytables.llm import fingerprints, jaccard_join, suffix_dedup
+from skytables.llm import common, fingerprints, jaccard_join, suffix_dedup
 
 
 def synthetic(seed, n=300):
@@ -115,6 +115,35 @@ def test_segments_guarantee_a_meeting():
             assert len(np.intersect1d(x[band][0], y[band][0])) >= jaccard_join.shared_at_least(len(a), x[band][1], len(b), y[band][1])
 
 
+def test_only_texts_of_pairs_are_shuffled(spark, capsys):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = [f"b{i}" for i in range(100)]
+        texts = spark.createDataFrame([(g, " ".join(base[g:] if g < 9 else [f"x{g}"])) for g in range(50)], "gid long, text string")
+        links = jaccard_join._verified(spark.createDataFrame([(1, 0), (2, 0), (3, 2), (9, 0), (10, 2)], "a long, b long"), texts)
+        links.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+        assert sorted(tuple(r) for r in links.collect()) == [(1, 0), (2, 0), (3, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_batches_of_texts_are_read_and_sent_in_few_rows(spark):
+    settings = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    old = {s: spark.conf.get(s) for s in settings}
+    try:
+        for rows, want in ((20_000, common.TEXTS_A_BATCH), (7, 7)):
+            for s in settings:
+                spark.conf.set(s, str(rows))
+            common.text_batches(spark.range(1))
+            assert [int(spark.conf.get(s)) for s in settings] == [want, want]
+    finally:
+        for s in settings:
+            spark.conf.set(s, old[s])
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     docs = awkward(spark)
     rows = jaccard_join.with_components(docs).collect()
