@@ -323,18 +323,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _columns(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], ["a", "b", "want", "times"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, where: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (`a`, `b`) of set ids that link, by their exact shingles.
 
-    The texts of all `a` with one `b` meet after that of `b`, in parts of about PART_PAIRS.
+    `where` has for each set (`gid`) the key (`_id`, `_hash`) of one of `rows` with its text. The texts of all `a`
+    with one `b` meet after that of `b`, in parts of about PART_PAIRS.
     """
     parts = F.ceil(F.col("n") / PART_PAIRS)
     sized = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
-    # Few pairs are sent to the texts, so that of these only the ones to be compared are shuffled.
-    sized = saved(sized, "jaccard-parts")
-    members = texts.withColumnRenamed("gid", "a").join(broadcast_if_few(sized), "a").select("b", "part", "a", "text")
-    firsts = texts.withColumnRenamed("gid", "b").join(broadcast_if_few(sized.select("b", "part").distinct()), "b").select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
-    both = members.union(firsts).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    members = sized.join(where.withColumnRenamed("gid", "a"), "a").select("_id", "_hash", "b", "part", "a")
+    firsts = sized.select("b", "part").distinct().join(where.withColumnRenamed("gid", "b"), "b").select("_id", "_hash", "b", "part", F.lit(None).cast("bigint").alias("a"))
+    # Few keys are sent to the rows, so that of the texts only those to be compared are shuffled, and none is written.
+    wanted = broadcast_if_few(saved(members.union(firsts), "jaccard-parts"))
+    both = rows.join(wanted, ["_id", "_hash"]).select("b", "part", "a", "text")
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = None
@@ -450,11 +452,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lists = met.where("list is not null").groupBy("gid", "list", "n").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("times"))
     lists = broadcast_if_few(saved(lists.select("sig", "times", F.col("n").alias("members")), "jaccard-lists"))
     met = saved(met.where("list is null").drop("list").join(lists, "sig"), "jaccard-members")
-    # Of every set that meets another, one document's text.
+    # Of every set that meets another, one document.
     ids = met.select("gid").distinct()
     where = sets.select("gid", "_id", "_hash").join(ids, "gid").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("at")).select("gid", "at.*")
     where = saved(where, "jaccard-where")
-    texts = saved(rows.join(broadcast_if_few(where), ["_id", "_hash"]).select("gid", "text"), "jaccard-texts")
     meets = broadcast_if_few(saved(met.groupBy("gid").agg(F.sum("times").alias("meets")), "jaccard-meets"))
     met = saved(met.join(meets, "gid"), "jaccard-met-often")  # read in every round, so joined once
     none = spark.range(0)  # not from Python rows, for which each executor would start workers
@@ -469,7 +470,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         best = saved(likely.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", "best.b"), "jaccard-best")
         if not best.take(1):
             break
-        new = saved(_verified(best, texts), "jaccard-links")
+        new = saved(_verified(best, where, rows), "jaccard-links")
         tested = tested.union(best)
         if not new.take(1):
             break
@@ -485,7 +486,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = groups.mapInArrow(_across, _PAIRS).groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("want").alias("need"))
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = saved(pairs.where("times >= need").select("a", "b").join(known, ["a", "b"], "left_anti"), "jaccard-pairs")
-    labels = components(links.union(saved(_verified(pairs, texts), "jaccard-links")))
+    labels = components(links.union(saved(_verified(pairs, where, rows), "jaccard-links")))
     return _label(sets.where("gid is not null"), labels, "gid", "class_id").select("_id", "_hash", F.col("n").cast("bigint").alias("n_shingles"), "class_id").union(
         sets.where("gid is null").select("_id", "_hash", F.lit(0).cast("bigint"), F.lit(None).cast("bigint")))
 
